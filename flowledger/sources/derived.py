@@ -189,6 +189,26 @@ VIEWS: dict[str, str] = {
                case when event_type = 'error' then concat('tick ', event_id, ' failed') else '' end as last_error
         from @events
     """,
+    # Status words in many spellings, known and unknown.
+    "spellings": """
+        select event_id as id, case event_id % 18 when 0 then 'success' when 1 then ' SUCCESS ' when 2 then 'Cancelled'
+               when 3 then 'canceled' when 4 then 'IN_PROGRESS' when 5 then 'running' when 6 then 'idle'
+               when 7 then 'queued' when 8 then 'not_started' when 9 then 'todo' when 10 then 'completed'
+               when 11 then 'complete' when 12 then 'skipped' when 13 then 'failed' when 14 then 'Failed '
+               when 15 then '' when 16 then 'pending' else concat('odd_', event_type) end as status
+        from @events
+    """,
+    # Times as text in the stored formats, absent, and unreadable.
+    "time_texts": """
+        select o_orderkey as id, case o_orderkey % 6
+               when 0 then concat(cast(1995 + o_orderkey % 30 as varchar(4)), '-03-0', 1 + o_orderkey % 9, 'T04:05:06Z')
+               when 1 then concat('2001-11-1', o_custkey % 10, 'T23:59:59.', 100000000 + o_orderkey % 899999999, 'Z')
+               when 2 then concat('2012-02-2', o_custkey % 9, 'T01:30:00+05:30')
+               when 3 then concat('1999-07-0', 1 + o_custkey % 9, ' 10:20:30')
+               when 4 then ''
+               else concat('yesterday ', o_custkey) end as raw
+        from @orders
+    """,
     # Step contracts: the declared output type of each step and the typed input fields of each step.
     "contract_outputs": """
         select job_id, step_key, concat('main.Out', rf) as type_name from @job_nodes
