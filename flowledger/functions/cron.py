@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from flowledger.functions.text import clean, slug
+from flowledger.functions.text import all_of, clean, slug
 
 # Descriptor names and the five fields they stand for.
 DESCRIPTORS = {
@@ -58,29 +58,52 @@ def _value(word: Column, kind: str) -> Column:
     return F.coalesce(_lookup(names, F.lower(F.trim(word))), number) if names else number
 
 
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value computed once, so nested parsing does not repeat its inputs."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def _ends(base: Column, kind: str) -> Column:
+    """First and last value of ``*``, ``a`` or ``a-b``."""
+    low, high, _ = FIELDS[kind]
+
+    def of(values: Column) -> Column:
+        return F.when(F.size(values) == 1, F.array(F.get(values, F.lit(0)), F.get(values, F.lit(0)))).when(
+            F.size(values) == 2, values
+        )
+
+    return F.when(base == "*", F.array(F.lit(low), F.lit(high))).otherwise(
+        _bind(F.transform(F.split(base, "-"), lambda word: _value(word, kind)), of)
+    )
+
+
 def _token(token: Column, kind: str) -> Column:
     """Values of one comma-separated part (``*``, ``a``, ``a-b``, each with ``/step``); NULL if malformed."""
     low, high, _ = FIELDS[kind]
-    parts = F.split(token, "/")
-    base = F.trim(F.get(parts, F.lit(0)))
-    step = F.when(F.size(parts) == 1, F.lit(1)).when(F.size(parts) == 2, _number(F.get(parts, F.lit(1))))
-    ends = F.split(base, "-")
-    first = F.when(base == "*", F.lit(low)).otherwise(_value(F.get(ends, F.lit(0)), kind))
-    last = (
-        F.when(base == "*", F.lit(high))
-        .when(F.size(ends) == 1, first)
-        .when(F.size(ends) == 2, _value(F.get(ends, F.lit(1)), kind))
-    )
-    fits = (first >= low) & (last <= high) & (first <= last) & (step > 0)
-    return F.when(fits, F.sequence(first, last, step))
+
+    def expand(parts: Column) -> Column:
+        step = F.when(F.size(parts) == 1, F.lit(1)).when(F.size(parts) == 2, _number(F.get(parts, F.lit(1))))
+        span = F.struct(_ends(F.trim(F.get(parts, F.lit(0))), kind).alias("ends"), step.alias("step"))
+
+        def sequence(s: Column) -> Column:
+            first, last = F.get(s["ends"], F.lit(0)), F.get(s["ends"], F.lit(1))
+            fits = (first >= low) & (last <= high) & (first <= last) & (s["step"] > 0)
+            return F.when(fits, F.sequence(first, last, s["step"]))
+
+        return _bind(span, sequence)
+
+    return _bind(F.split(token, "/"), expand)
 
 
 def _field(field: Column, kind: str) -> Column:
     """Allowed values of one field in order; NULL if any part is malformed."""
-    tokens = F.filter(F.transform(F.split(field, ","), F.trim), lambda t: t != "")
-    values = F.transform(tokens, lambda t: _token(t, kind))
-    whole = (F.size(tokens) > 0) & F.forall(values, lambda v: v.isNotNull())
-    return F.when(whole, F.array_sort(F.array_distinct(F.flatten(values))))
+    tokens = F.filter(F.transform(F.split(field, ","), lambda t: F.trim(t)), lambda t: t != "")
+
+    def merged(values: Column) -> Column:
+        whole = (F.size(values) > 0) & F.forall(values, lambda v: v.isNotNull())
+        return F.when(whole, F.array_sort(F.array_distinct(F.flatten(values))))
+
+    return _bind(F.transform(tokens, lambda t: _token(t, kind)), merged)
 
 
 def cron_spec(expr: Column) -> Column:
@@ -88,18 +111,21 @@ def cron_spec(expr: Column) -> Column:
 
     ``valid`` is false for a wrong number of fields or any value out of range.
     """
+
+    def of_fields(fields: Column) -> Column:
+        parsed = F.struct(*[_field(F.get(fields, F.lit(i)), kind).alias(kind) for i, kind in enumerate(FIELDS)])
+        return _bind(
+            parsed,
+            lambda p: F.struct(
+                ((F.size(fields) == 5) & all_of(*[p[kind].isNotNull() for kind in FIELDS])).alias("valid"),
+                *[p[kind].alias(kind) for kind in FIELDS],
+                _unrestricted(F.get(fields, F.lit(2))).alias("dom_any"),
+                _unrestricted(F.get(fields, F.lit(4))).alias("dow_any"),
+            ),
+        )
+
     text = F.lower(clean(F.coalesce(expr, F.lit(""))))
-    fields = F.split(F.coalesce(_lookup(DESCRIPTORS, text), text), r"\s+")
-    parsed = {kind: _field(F.get(fields, F.lit(i)), kind) for i, kind in enumerate(FIELDS)}
-    valid = F.size(fields) == 5
-    for values in parsed.values():
-        valid = valid & values.isNotNull()
-    return F.struct(
-        F.coalesce(valid, F.lit(False)).alias("valid"),
-        *[values.alias(kind) for kind, values in parsed.items()],
-        _unrestricted(F.get(fields, F.lit(2))).alias("dom_any"),
-        _unrestricted(F.get(fields, F.lit(4))).alias("dow_any"),
-    )
+    return _bind(_bind(text, lambda t: F.split(F.coalesce(_lookup(DESCRIPTORS, t), t), r"\s+")), of_fields)
 
 
 def _unrestricted(field: Column) -> Column:
@@ -157,7 +183,15 @@ def _two(word: Column) -> Column:
 def schedule_key(expr: Column) -> Column:
     """Readable key of a cron expression: ``every_5_minutes``, ``daily_at_06_30``, else ``cron_...``."""
     text = F.lower(clean(F.coalesce(expr, F.lit(""))))
-    fields = F.split(text, r"\s+")
+
+    def named(word: Column) -> Column:
+        fixed = F.when(word == "", F.lit("schedule")).otherwise(_lookup(DESCRIPTOR_KEYS, word))
+        return F.coalesce(fixed, _bind(F.split(word, r"\s+"), lambda fields: _key_of_fields(word, fields)))
+
+    return _bind(text, named)
+
+
+def _key_of_fields(text: Column, fields: Column) -> Column:
     minute, hour, dom, month, dow = (F.get(fields, F.lit(i)) for i in range(5))
     weekday_names = {str(i): name for i, name in enumerate(WEEKDAYS)} | {"7": "sun"} | {w: w for w in WEEKDAYS}
     weekday = _lookup(weekday_names, dow)
@@ -166,10 +200,9 @@ def schedule_key(expr: Column) -> Column:
     any_day = (dom == "*") & (month == "*") & (dow == "*")
     at_hour = F.concat(_two(hour), F.lit("_"), _two(minute))
     midnight = (minute == "0") & (hour == "0")
+    other = F.concat(F.lit("cron_"), slug(text))
     return (
-        F.when(text == "", F.lit("schedule"))
-        .when(_lookup(DESCRIPTOR_KEYS, text).isNotNull(), _lookup(DESCRIPTOR_KEYS, text))
-        .when(F.size(fields) != 5, F.concat(F.lit("cron_"), slug(text)))
+        F.when(F.size(fields) != 5, other)
         .when(any_day & (minute == "*") & (hour == "*"), F.lit("every_minute"))
         .when(any_day & (minute_step != "") & (hour == "*"), F.concat(F.lit("every_"), minute_step, F.lit("_minutes")))
         .when(any_day & (minute == "0") & (hour == "*"), F.lit("hourly"))
@@ -189,5 +222,5 @@ def schedule_key(expr: Column) -> Column:
             _digits(minute) & _digits(hour) & _digits(dom) & (month == "*") & (dow == "*"),
             F.concat(F.lit("monthly_on_"), dom, F.lit("_at_"), at_hour),
         )
-        .otherwise(F.concat(F.lit("cron_"), slug(text)))
+        .otherwise(other)
     )

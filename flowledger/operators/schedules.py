@@ -61,16 +61,12 @@ def occurrences(
     keys = list(keys)
     first = minute_of(start) + F.expr(_MINUTE)
     last = minute_of(end)
-    bounded = (
-        schedules.repartition(_tasks(schedules), *keys)
-        .select(
-            *keys,
-            cron_spec(F.col("cron_expr")).alias("spec"),
-            zone_or_utc(F.col("timezone")).alias("zone"),
-            first.alias("first"),
-            last.alias("last"),
-        )
-        .filter("spec.valid and first <= last")
+    bounded = schedules.repartition(_tasks(schedules), *keys).select(
+        *keys,
+        cron_spec(F.col("cron_expr")).alias("spec"),
+        zone_or_utc(F.col("timezone")).alias("zone"),
+        first.alias("first"),
+        last.alias("last"),
     )
 
     def may_match(day: Column) -> Column:
@@ -79,9 +75,8 @@ def occurrences(
             F.col("spec"), local_time(ends[1], F.col("zone"))
         )
 
-    days = F.filter(
-        F.sequence(F.date_trunc("day", "first"), F.date_trunc("day", "last"), F.expr(_DAY)), may_match
-    )
+    window = F.sequence(F.date_trunc("day", "first"), F.date_trunc("day", "last"), F.expr(_DAY))
+    days = F.when(F.col("spec.valid") & (F.col("first") <= F.col("last")), F.filter(window, may_match))
     if max_days is not None:
         days = F.slice(days, 1, max_days)
     by_day = bounded.withColumn("day", F.explode(days)).repartition(_tasks(schedules), *keys, "day")
@@ -101,7 +96,17 @@ def occurrences(
             | F.array_contains(allowed, local_end)
         )
     )
-    minutes = hours.withColumn("tick", F.explode(F.sequence(F.lit(0), F.lit(59)))).withColumn(
+    # UTC minutes of the hour at which the local clock shows an allowed minute, under the offset at
+    # the start or at the end of the hour; the exact test below settles hours with a clock change.
+    shift_start = F.minute(local_time(F.col("hour"), F.col("zone")))
+    shift_end = (F.minute(local_time(F.col("hour") + F.expr("interval 59 minutes"), F.col("zone"))) + 1) % 60
+    shifted = hours.withColumn("shifts", F.array_distinct(F.array(shift_start, shift_end)))
+    candidates = F.array_distinct(
+        F.flatten(
+            F.transform("shifts", lambda s: F.transform(F.col("spec.minute"), lambda m: (m - s + 60) % 60))
+        )
+    )
+    minutes = shifted.withColumn("tick", F.explode(candidates)).withColumn(
         "tick", F.col("hour") + F.make_dt_interval(mins=F.col("tick"))
     )
     ticks = minutes.filter(

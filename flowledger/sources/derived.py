@@ -209,6 +209,29 @@ VIEWS: dict[str, str] = {
                else concat('yesterday ', o_custkey) end as raw
         from @orders
     """,
+    # The same graphs with step keys whose order has nothing to do with the edges.
+    "mixed_nodes": """
+        select job_id, concat('n', (sort_index * 5 + job_id) % 8) as step_key, sort_index from @job_nodes
+    """,
+    "mixed_edges": """
+        select job_id, concat('n', (cast(substr(from_step_key, 2) as bigint) * 5 + job_id) % 8) as from_step_key,
+               concat('n', (cast(substr(to_step_key, 2) as bigint) * 5 + job_id) % 8) as to_step_key
+        from @job_edges
+    """,
+    # Graphs before validation: empty and repeated keys, unknown dependencies, cycles, self-loops.
+    "draft_nodes": """
+        select job_id, case when cast(q as bigint) % 17 = 0 then '' when cast(q as bigint) % 19 = 0 then 's1'
+                            else step_key end as step_key
+        from @job_nodes
+    """,
+    "draft_edges": """
+        select job_id, case when job_id % 13 = 0 then concat('x', substr(from_step_key, 2)) else from_step_key end
+                   as from_step_key, to_step_key from @job_edges
+        union all
+        select job_id, to_step_key as from_step_key, from_step_key as to_step_key from @job_edges where job_id % 29 = 0
+        union all
+        select job_id, step_key as from_step_key, step_key as to_step_key from @job_nodes where job_id % 31 = 0
+    """,
     # Step contracts: the declared output type of each step and the typed input fields of each step.
     "contract_outputs": """
         select job_id, step_key, concat('main.Out', rf) as type_name from @job_nodes
