@@ -139,10 +139,9 @@ def _run_changes(h: History) -> DataFrame:
 
 
 def _item_status(h: History) -> DataFrame:
-    links = h.queue_item_runs.select(
-        "run_id", "queue_item_id", F.col("created_at").alias("link_at"), F.col("id").alias("link_id")
-    )
-    return _folded(h, fold.item_statuses(_as_stream(_run_changes(h)).join(links, "run_id")), "queue_item_id")
+    slots = fold.link_slots(h.queue_item_runs)
+    changes = _as_stream(_run_changes(h)).join(slots, "run_id")
+    return _folded(h, fold.item_statuses(changes, slots=2), "queue_item_id")
 
 
 query("K3_item_status", LIFECYCLE_SQL)(_item_status)

@@ -8,6 +8,7 @@ plans stay short and a lost executor repeats one round at most.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,9 +20,7 @@ from flowledger.session import materialize
 
 NODE = ["job_id", "step_key"]
 EDGE = ["job_id", "from_step_key", "to_step_key"]
-# Rounds that all graphs run together; deeper graphs up to LOCAL_SIZE nodes and edges are then
-# finished one per task, larger ones go on in rounds.
-SHARED_ROUNDS = 16
+# Graphs up to this many nodes and edges are ordered whole, each inside one task; larger ones in rounds.
 LOCAL_SIZE = 100_000
 
 
@@ -76,21 +75,39 @@ def schedule_key_errors(schedules: DataFrame) -> DataFrame:
 
 
 def graph_order(
-    nodes: DataFrame,
-    edges: DataFrame,
-    shared_rounds: int = SHARED_ROUNDS,
-    local_size: int = LOCAL_SIZE,
-    hot_rows: int = HOT_ROWS,
+    nodes: DataFrame, edges: DataFrame, local_size: int = LOCAL_SIZE, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Execution order and depth: (job_id, step_key, depth, topo_index, stuck).
 
     The order takes, again and again, the smallest key among the steps whose dependencies are all
-    taken. It is computed for all graphs at once without simulating that queue. Give every step the
-    path ``p(v) = [x in max(p(d) for d in dependencies) if x > v] + [v]``, comparing paths element by
-    element: the path lists the larger keys that had to be taken just before v became the smallest.
-    Sorting steps by their path is the order. Like depth, paths need one round per layer.
+    taken; depth is the longest path from a root. ``stuck`` steps lie on or behind a cycle and come
+    last in key order. Graphs of ordinary size need one shuffle, by job; a graph too large for a task
+    is peeled layer by layer with joins. Both give the same answer.
+    """
+    sizes = (
+        nodes.select("job_id")
+        .unionByName(edges.select("job_id"))
+        .groupBy("job_id")
+        .agg(F.count(F.lit(1)).alias("size"))
+    )
+    large = materialize(sizes.filter(F.col("size") > local_size).select("job_id"), "graph-large")
+    if large.isEmpty():
+        return _order_locally(nodes, edges)
+
+    def split(rows: DataFrame, how: str) -> DataFrame:
+        return rows.join(large, "job_id", how)
+
+    small_part = _order_locally(split(nodes, "left_anti"), split(edges, "left_anti"))
+    return small_part.unionByName(_order_in_rounds(split(nodes, "left_semi"), split(edges, "left_semi"), hot_rows))
+
+
+def _order_in_rounds(nodes: DataFrame, edges: DataFrame, hot_rows: int) -> DataFrame:
+    """Order of graphs of any size, one round of joins per layer.
 
-    ``stuck`` steps lie on or behind a cycle; they come last in key order.
+    The queue is not simulated. Give every step the path
+    ``p(v) = [x in max(p(d) for d in dependencies) if x > v] + [v]``, comparing paths element by
+    element: it lists the larger keys that had to be taken just before v became the smallest.
+    Sorting the steps by their path is the order.
     """
     links = materialize(known_edges(nodes, edges), "graph-edges")
     needs = links.groupBy("job_id", F.col("to_step_key").alias("step_key")).agg(F.count(F.lit(1)).alias("need"))
@@ -107,16 +124,16 @@ def graph_order(
         ),
         "graph-start",
     )
-    finished, local = [], None
-    rounds = 0
+    finished = []
     while True:
         taken = state.filter("need = 0").select(
             *NODE,
             "depth",
             F.concat(F.filter("best", lambda x: x > F.col("step_key")), F.array("step_key")).alias("path"),
+            F.lit(False).alias("stuck"),
         )
         waiting = state.filter("need > 0")
-        finished.append(taken.withColumn("stuck", F.lit(False)))
+        finished.append(taken)
         if taken.isEmpty() or waiting.isEmpty():
             break
         sent = (
@@ -136,77 +153,70 @@ def graph_order(
             ),
             "graph-round",
         )
-        rounds += 1
-        if rounds == shared_rounds:
-            local = _small_deep_graphs(nodes, links, state, local_size)
-            state = materialize(state.join(local, "job_id", "left_anti"), "graph-large")
-            finished = [part.join(local, "job_id", "left_anti") for part in finished]
-    left_over = waiting.select(*NODE, "depth", F.array("step_key").alias("path"), F.lit(True).alias("stuck"))
-    every = left_over
+    every = waiting.select(*NODE, "depth", F.array("step_key").alias("path"), F.lit(True).alias("stuck"))
     for part in finished:
         every = every.unionByName(part)
     ranked = rank_within(every, ["job_id"], [F.col("stuck").asc(), F.col("path").asc()], "place", hot_rows)
-    columns = [*NODE, "depth", (F.col("place") - 1).alias("topo_index"), "stuck"]
-    ordered = ranked.select(*columns)
-    if local is None:
-        return ordered
-    return ordered.unionByName(_order_locally(nodes, links, local))
+    return ranked.select(*NODE, "depth", (F.col("place") - 1).alias("topo_index"), "stuck")
 
 
-def _small_deep_graphs(nodes: DataFrame, links: DataFrame, waiting: DataFrame, local_size: int) -> DataFrame:
-    """Jobs that still wait and are small enough for one task."""
-    sizes = (
-        nodes.select("job_id")
-        .unionByName(links.select("job_id"))
-        .join(waiting.select("job_id").distinct(), "job_id", "left_semi")
-        .groupBy("job_id")
-        .agg(F.count(F.lit(1)).alias("size"))
-    )
-    return materialize(sizes.filter(F.col("size") <= local_size).select("job_id"), "graph-small")
-
-
-def _order_locally(nodes: DataFrame, links: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Order and depth of graphs of proven size, one graph per group."""
-    own = nodes.select(*NODE).distinct().join(jobs, "job_id", "left_semi").withColumn(
-        "to_step_key", F.lit(None).cast("string")
+def _order_locally(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Order of graphs of proven size: shuffled and sorted by job, then read one graph at a time."""
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (
+        nodes.select(*NODE, F.lit(None).cast("string").alias("to_step_key"))
+        .unionByName(edges.select("job_id", F.col("from_step_key").alias("step_key"), "to_step_key"))
+        .repartition(tasks, "job_id")
+        .sortWithinPartitions("job_id")
     )
-    arcs = links.join(jobs, "job_id", "left_semi").select("job_id", F.col("from_step_key").alias("step_key"), "to_step_key")
     dtype = nodes.schema["job_id"].dataType.simpleString()
-    return (
-        own.unionByName(arcs)
-        .groupBy("job_id")
-        .applyInPandas(_order_one, f"job_id {dtype}, step_key string, depth long, topo_index long, stuck boolean")
+    return rows.mapInPandas(
+        _order_graphs, f"job_id {dtype}, step_key string, depth long, topo_index long, stuck boolean"
     )
 
 
-def _order_one(rows: pd.DataFrame) -> pd.DataFrame:
-    steps = rows.loc[rows.to_step_key.isna(), "step_key"]
-    arcs = rows[rows.to_step_key.notna()]
-    after = arcs.groupby("step_key").to_step_key.apply(list).to_dict()
-    need = dict.fromkeys(steps, 0) | arcs.groupby("to_step_key").size().to_dict()
+def _order_graphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["job_id", "step_key", "depth", "topo_index", "stuck"]
+    job, steps, arcs = None, set(), set()
+    for batch in batches:
+        done = []
+        for job_id, source, target in zip(batch.job_id.tolist(), batch.step_key, batch.to_step_key):
+            if job_id != job:
+                if job is not None:
+                    done += _order_one(job, steps, arcs)
+                job, steps, arcs = job_id, set(), set()
+            if target is None:
+                steps.add(source)
+            else:
+                arcs.add((source, target))
+        yield pd.DataFrame(done, columns=columns)
+    if job is not None:
+        yield pd.DataFrame(_order_one(job, steps, arcs), columns=columns)
+
+
+def _order_one(job, steps: set[str], arcs: set[tuple[str, str]]) -> list[tuple]:
+    """Rows of one graph: smallest ready key first, then whatever a cycle holds back."""
+    after: dict[str, list[str]] = {step: [] for step in steps}
+    need = dict.fromkeys(steps, 0)
     depth = dict.fromkeys(steps, 0)
-    ready = [step for step in steps if need[step] == 0]
+    for source, target in arcs:
+        if source in steps and target in steps:
+            after[source].append(target)
+            need[target] += 1
+    ready = [step for step in steps if not need[step]]
     heapq.heapify(ready)
     order = []
     while ready:
         step = heapq.heappop(ready)
         order.append(step)
-        for target in after.get(step, ()):
+        for target in after[step]:
             depth[target] = max(depth[target], depth[step] + 1)
             need[target] -= 1
-            if need[target] == 0:
+            if not need[target]:
                 heapq.heappush(ready, target)
-    stuck = sorted(set(steps) - set(order))
-    keys = order + stuck
-    return pd.DataFrame(
-        {
-            "job_id": rows.job_id.iloc[0],
-            "step_key": keys,
-            "depth": [depth[k] for k in keys],
-            "topo_index": range(len(keys)),
-            "stuck": [False] * len(order) + [True] * len(stuck),
-        }
-    )
+    free = len(order)
+    order += sorted(steps.difference(order))
+    return [(job, step, depth[step], place, place >= free) for place, step in enumerate(order)]
 
 
 def cyclic_jobs(order: DataFrame) -> DataFrame:

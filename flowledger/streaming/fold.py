@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowledger.streaming.sinks import BatchSink
 
@@ -91,58 +89,42 @@ def updates_to(sink: BatchSink, table: str) -> Callable[[DataFrame, int], None]:
     return lambda rows, batch_id: sink.write(batch_id, **{table: rows})
 
 
-ITEM_STATUS = "queue_item_id long, status string, started_at timestamp, completed_at timestamp, error_message string"
-_ITEM_STATE = (
-    "run_id array<long>, change_id array<long>, status array<string>, started_at array<timestamp>, "
-    "completed_at array<timestamp>, error_message array<string>, link_at array<timestamp>, link_id array<long>"
-)
-_RUN_FIELDS = ("change_id", "status", "started_at", "completed_at", "error_message", "link_at", "link_id")
+def link_slots(links: DataFrame) -> DataFrame:
+    """Links with their place among the links of the item, from 0. An item has one link per job of its queue."""
+    in_order = Window.partitionBy("queue_item_id").orderBy("created_at", "id")
+    return links.select("run_id", "queue_item_id", (F.row_number().over(in_order) - 1).alias("slot"))
 
 
-def item_statuses(changes: DataFrame) -> DataFrame:
-    """Item status kept up to date over a stream of run changes.
+def item_statuses(changes: DataFrame, slots: int) -> DataFrame:
+    """Item status kept up to date over a stream of run changes, in one stateful aggregation.
 
-    ``changes`` is (queue_item_id, run_id, change_id, status, started_at, completed_at, error_message,
-    link_at, link_id): each change joined to the link of its run, status already normalised. State is
-    kept per item and holds the latest change of each of its runs, one per job of the queue.
+    ``changes`` is (queue_item_id, slot, change_id, status, started_at, completed_at, error_message):
+    each change joined to the slot of its run, status already normalised. ``slots`` is the largest
+    number of jobs a queue has; state holds the latest change of each slot.
     """
-    columns = ["queue_item_id", "run_id", *_RUN_FIELDS]
-    return (
-        changes.select(*columns)
-        .groupBy("queue_item_id")
-        .applyInPandasWithState(
-            _roll_up_item, ITEM_STATUS, _ITEM_STATE, "update", GroupStateTimeout.NoTimeout
-        )
+    change = F.struct("status", "started_at", "completed_at", "error_message")
+
+    def newest(slot: int) -> Column:
+        here = F.col("slot") == slot
+        return F.max_by(F.when(here, change), F.when(here, F.col("change_id"))).alias(f"run_{slot}")
+
+    latest = changes.groupBy("queue_item_id").agg(*[newest(slot) for slot in range(slots)])
+    runs = F.filter(F.array(*[F.col(f"run_{slot}") for slot in range(slots)]), lambda r: r.isNotNull())
+    status = (
+        F.when(F.forall("runs", lambda r: r["status"] == "queued"), F.lit("queued"))
+        .when(F.exists("runs", lambda r: r["status"].isin("queued", "running")), F.lit("running"))
+        .when(F.forall("runs", lambda r: r["status"] == "success"), F.lit("complete"))
+        .otherwise(F.lit("failed"))
     )
-
-
-def _roll_up_item(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    runs: dict[int, tuple] = {}
-    if state.exists:
-        run_ids, *fields = state.get
-        runs = dict(zip(run_ids, zip(*fields)))
-    for batch in batches:
-        last = batch.sort_values("change_id").drop_duplicates("run_id", keep="last").astype(object)
-        last = last.where(last.notna(), None)
-        for row in last.itertuples(index=False):
-            if row.run_id not in runs or runs[row.run_id][0] < row.change_id:
-                runs[row.run_id] = tuple(getattr(row, f) for f in _RUN_FIELDS)
-    state.update((list(runs), *map(list, zip(*runs.values()))))
-    _, statuses, started, completed, *_ = zip(*runs.values())
-    if set(statuses) == {"queued"}:
-        status = "queued"
-    elif {"queued", "running"} & set(statuses):
-        status = "running"
-    else:
-        status = "complete" if set(statuses) == {"success"} else "failed"
-    ended = status in ("complete", "failed")
-    errors = [r[4] for r in sorted(runs.values(), key=lambda r: (r[5], r[6])) if r[4]]
-    yield pd.DataFrame(
-        {
-            "queue_item_id": [key[0]],
-            "status": [status],
-            "started_at": pd.to_datetime([min((t for t in started if t is not None), default=None)]),
-            "completed_at": pd.to_datetime([max((t for t in completed if t is not None), default=None) if ended else None]),
-            "error_message": ["" if status == "complete" or not errors else errors[0]],
-        }
+    errors = F.filter(F.transform("runs", lambda r: r["error_message"]), lambda e: e != "")
+    return latest.select("queue_item_id", runs.alias("runs")).select(
+        "queue_item_id",
+        status.alias("status"),
+        F.array_min(F.transform("runs", lambda r: r["started_at"])).alias("started_at"),
+        F.when(
+            status.isin("complete", "failed"), F.array_max(F.transform("runs", lambda r: r["completed_at"]))
+        ).alias("completed_at"),
+        F.when(status == "complete", F.lit("")).otherwise(F.coalesce(F.get(errors, F.lit(0)), F.lit(""))).alias(
+            "error_message"
+        ),
     )
