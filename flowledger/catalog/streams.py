@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
 from flowledger.catalog.core import query
 from flowledger.catalog.counted import LIFECYCLE_SQL
@@ -10,7 +10,7 @@ from flowledger.functions.status import exec_status
 from flowledger.functions.times import literal_time
 from flowledger.session import scratch_path
 from flowledger.sources.derived import History
-from flowledger.streaming import fold, ingest, sinks, ticks
+from flowledger.streaming import fold, ingest, item_status, sinks, ticks
 
 EVENTS = StructType(
     [
@@ -138,13 +138,27 @@ def _run_changes(h: History) -> DataFrame:
     return queued.toDF(*names).unionByName(now.toDF(*names))
 
 
-def _item_status(h: History) -> DataFrame:
-    slots = fold.link_slots(h.queue_item_runs)
-    changes = _as_stream(_run_changes(h)).join(slots, "run_id")
-    return _folded(h, fold.item_statuses(changes, slots=2), "queue_item_id")
+_ITEM_STATUS = StructType(
+    [
+        StructField("queue_item_id", LongType()),
+        StructField("status", StringType()),
+        StructField("started_at", TimestampType()),
+        StructField("completed_at", TimestampType()),
+        StructField("error_message", StringType()),
+    ]
+)
+
+
+def _item_status(h: History, **options) -> DataFrame:
+    sink = sinks.BatchSink(scratch_path(h.spark, "item-status"))
+    item_status.sync_item_status(
+        _as_stream(_run_changes(h)), h.queue_item_runs, sink, scratch_path(h.spark, "stream-state"), **options
+    ).awaitTermination()
+    return sink.latest(h.spark, item_status.TABLE, _ITEM_STATUS, "queue_item_id")
 
 
 query("K3_item_status", LIFECYCLE_SQL)(_item_status)
+query("K3_item_status_of_wide_items", LIFECYCLE_SQL)(lambda h: _item_status(h, max_slots=1))
 
 
 def _published(h: History) -> DataFrame:

@@ -279,9 +279,8 @@ def reachable(edges: DataFrame) -> DataFrame:
     all pairs up to length k and P those joined by a walk of exactly k, R grows by P after R. A pair
     is ``indirect`` when some path between its ends has more than one edge.
     """
-    start = edges.select(*EDGE).distinct()
-    walks = materialize(start, "reach-walks")
-    pairs = materialize(start.withColumn("indirect", F.lit(False)), "reach-pairs")
+    pairs = materialize(edges.select(*EDGE).distinct().withColumn("indirect", F.lit(False)), "reach-pairs")
+    walks = pairs.select(*EDGE)
     known = pairs.count()
     while not walks.isEmpty():
         first = walks.withColumnRenamed("to_step_key", "middle")

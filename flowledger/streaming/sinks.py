@@ -23,9 +23,16 @@ class BatchSink:
     def __init__(self, folder: str):
         self.folder = folder.rstrip("/")
 
+    def put(self, batch_id: int, name: str, rows: DataFrame) -> DataFrame:
+        """Write one table of a batch without committing it, and read it back."""
+        path = f"{self.folder}/{name}/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
     def write(self, batch_id: int, **tables: DataFrame) -> None:
+        """Write tables of a batch and commit it."""
         for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
+            self.put(batch_id, name, rows)
         spark = next(iter(tables.values())).sparkSession
         spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/commits/batch={batch_id}")
 
@@ -39,9 +46,16 @@ class BatchSink:
             return spark.createDataFrame([], full)
         return rows.join(commits, "batch", "left_semi")
 
-    def latest(self, spark: SparkSession, name: str, schema: StructType, *keys: str) -> DataFrame:
-        """Newest committed row per key, for tables written by update-mode streams."""
+    def latest(
+        self, spark: SparkSession, name: str, schema: StructType, *keys: str, before: int | None = None
+    ) -> DataFrame:
+        """Newest committed row per key, for tables written by update-mode streams.
+
+        ``before`` looks only at earlier batches, so a repeated batch sees what it saw the first time.
+        """
         rows = self.read(spark, name, schema)
+        if before is not None:
+            rows = rows.filter(F.col("batch") < before)
         return top_per_group(rows, keys, [F.col("batch").desc()], 1).drop("rank", "batch")
 
 
