@@ -57,7 +57,7 @@ LIFECYCLE_SQL = f"""
                as error_message
     from @queue_item_runs l join @runs r on r.id = l.run_id group by 1"""
 query("D6_item_lifecycle", LIFECYCLE_SQL)(
-    lambda h: counts.item_lifecycle(joins.item_runs(h.queue_item_runs, h.runs, h.jobs))
+    lambda h: counts.item_lifecycle(joins.links_with_runs(h.queue_item_runs, h.runs))
 )
 
 _QUEUE_SUMMARY_SQL = """

@@ -198,7 +198,7 @@ RETENTION_NOW, RETENTION_DAYS = "1999-06-30 12:00:00", 400
 
 
 def retention_of(h, days: int = RETENTION_DAYS):
-    ended = counts.item_lifecycle(joins.item_runs(h.queue_item_runs, h.runs, h.jobs)).select(
+    ended = counts.item_lifecycle(joins.links_with_runs(h.queue_item_runs, h.runs)).select(
         F.col("queue_item_id").alias("id"), "completed_at"
     )
     items = h.queue_items.join(ended, "id", "left")

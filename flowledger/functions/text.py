@@ -7,13 +7,16 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# All Unicode white space, not only blanks.
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# Every Unicode white space character.
+WHITE_SPACE = (
+    " \t\n\v\f\r\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def clean(value: Column) -> Column:
     """Trim every kind of white space on both ends."""
-    return F.regexp_replace(value, _EDGE_SPACE, "")
+    return F.trim(value, F.lit(WHITE_SPACE))
 
 
 def non_empty(value: Column, fallback: Column) -> Column:

@@ -22,8 +22,8 @@ def items_with_queues(items: DataFrame, queues: DataFrame) -> DataFrame:
     return items.join(names, "queue_id")
 
 
-def item_runs(links: DataFrame, runs: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Linked runs of every item with run and job columns."""
+def links_with_runs(links: DataFrame, runs: DataFrame) -> DataFrame:
+    """Linked runs of every item with the columns of the run."""
     run_columns = runs.select(
         F.col("id").alias("run_id"),
         "run_key",
@@ -36,8 +36,12 @@ def item_runs(links: DataFrame, runs: DataFrame, jobs: DataFrame) -> DataFrame:
         "rerun_step_key",
         F.col("error_message").alias("run_error_message"),
     )
-    names = jobs.select(F.col("id").alias("job_id"), "job_key", F.col("display_name").alias("job_display_name"))
-    return links.join(run_columns, "run_id").join(names, "job_id")
+    return links.join(run_columns, "run_id")
+
+
+def item_runs(links: DataFrame, runs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Linked runs of every item with run and job columns."""
+    return runs_with_jobs(links_with_runs(links, runs), jobs)
 
 
 def without_links(items: DataFrame, links: DataFrame) -> DataFrame:
