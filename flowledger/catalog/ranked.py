@@ -35,8 +35,8 @@ query("E3_health_tiles", f"select id, job_key, rank from ({_RANKED}) t where ran
 query(
     "E5_event_tail",
     """select id, run_id, event_type, total from (select *, count(*) over (partition by run_id) as total,
-       row_number() over (partition by run_id order by id desc) as rn from @run_events) t where rn <= 3""",
-)(lambda h: latest.event_tail(h.run_events, 3).select("id", "run_id", "event_type", "total"))
+       row_number() over (partition by run_id order by id desc) as rn from @run_events) t where rn <= 25""",
+)(lambda h: latest.event_tail(h.run_events, lookup.DEFAULT_PAGE).select("id", "run_id", "event_type", "total"))
 query("E7_runs_of_jobs", f"with w as ({WINDOW_SQL}) select job_key, {EFFECTIVE} as ts, id from w")(
     lambda h: latest.runs_of_jobs_in_order(runs_in_window(h)).select(
         "job_key", F.coalesce("started_at", "queued_at", "completed_at").alias("ts"), "id"

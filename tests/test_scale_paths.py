@@ -100,15 +100,15 @@ def test_transitive_reduction(spark):
 
 
 def test_skips_travel_down_deep_chains(spark):
-    size = 40
+    size = 16
     edges = spark.createDataFrame(
         [(1, f"n{i:03d}", f"n{i + 1:03d}") for i in range(size)], "run_id long, from_step_key string, to_step_key string"
     )
     steps = spark.createDataFrame(
-        [(1, f"n{i:03d}", "failed" if i == 0 else "success" if i == 35 else "pending") for i in range(size + 1)],
+        [(1, f"n{i:03d}", "failed" if i == 0 else "success" if i == 12 else "pending") for i in range(size + 1)],
         "run_id long, step_key string, status string",
     )
-    want = [(1, f"n{i:03d}") for i in range(1, 35)]
+    want = [(1, f"n{i:03d}") for i in range(1, 12)]
     for rounds in (2, 100):
         got = execution.skipped_steps(steps, edges, edge_rounds=rounds).select("run_id", "step_key")
         assert table(got) == want
@@ -249,6 +249,21 @@ def test_repeated_batches_count_once(spark):
     assert sinks.BatchSink(f"{scratch_root(spark)}/nothing").read(spark, "t", rows.schema).count() == 0
 
 
+def test_loaders_drain_or_run_on(spark, tmp_path):
+    spark.range(5).toDF("k").write.parquet(str(tmp_path / "in"))
+    rows = sinks.table_stream(spark, spark.range(1).toDF("k").schema, str(tmp_path / "in"))
+    for mode in ("poll", "stream"):
+        sink = sinks.BatchSink(str(tmp_path / mode))
+        running = sinks.load_stream(mode, rows, str(tmp_path / f"{mode}-state"), fold.updates_to(sink, "t"))
+        if mode == "poll":
+            running.awaitTermination()
+        else:
+            running.processAllAvailable()
+            assert running.isActive
+            running.stop()
+        assert table(sink.read(spark, "t", rows.schema).select("k")) == [(i,) for i in range(5)]
+
+
 ARRIVALS = (
     "queue_id long, queue_key string, source_key string, external_key string, payload_json string, queued_at timestamp, "
     "customer string"
