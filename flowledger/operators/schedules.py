@@ -29,10 +29,10 @@ MAX_DUE = 24
 TICK_SECONDS = 15
 # A schedule without a tick in five years has no next run.
 HORIZON_DAYS = 5 * 366
-# Days looked at for the next run. A matching local day covers at most two UTC days and can be
-# without a tick only when its minutes fall into a clock change; a schedule bound to one calendar
-# date matches at most six days in the horizon, any other has a normal day among the first nine.
-NEXT_RUN_DAYS = 20
+# Matching local dates looked at for the next run. The first may already be over, and one can be
+# without a tick when its minutes fall into a clock change; a schedule bound to one calendar date
+# matches at most six dates in the horizon, any other has a normal date among the first nine.
+NEXT_RUN_DAYS = 10
 
 _DAY = "interval 1 day"
 _MINUTE = "interval 1 minute"
@@ -56,7 +56,7 @@ def occurrences(
     local time, so an hour skipped by a clock change gives nothing and a repeated hour fires twice.
     Days are kept first by their local date, then hours, then minutes; the kept days are spread over
     all tasks before they are expanded, so one busy schedule does not fill one task. ``max_days``
-    looks only at the first matching days.
+    looks only at the first matching dates.
     """
     keys = list(keys)
     first = minute_of(start) + F.expr(_MINUTE)
@@ -69,17 +69,18 @@ def occurrences(
         last.alias("last"),
     )
 
-    def may_match(day: Column) -> Column:
-        ends = day, day + F.expr("interval 1439 minutes")
-        return day_matches(F.col("spec"), local_time(ends[0], F.col("zone"))) | day_matches(
-            F.col("spec"), local_time(ends[1], F.col("zone"))
-        )
-
-    window = F.sequence(F.date_trunc("day", "first"), F.date_trunc("day", "last"), F.expr(_DAY))
-    days = F.when(F.col("spec.valid") & (F.col("first") <= F.col("last")), F.filter(window, may_match))
+    # Matching dates of the local calendar, then the UTC days they can overlap.
+    local_first, local_last = (F.to_date(local_time(F.col(c), F.col("zone"))) for c in ("first", "last"))
+    dates = F.filter(F.sequence(local_first, local_last, F.expr(_DAY)), lambda d: day_matches(F.col("spec"), d))
     if max_days is not None:
-        days = F.slice(days, 1, max_days)
-    by_day = bounded.withColumn("day", F.explode(days)).repartition(_tasks(schedules), *keys, "day")
+        dates = F.slice(dates, 1, max_days)
+    around = F.transform(dates, lambda d: F.array(F.date_sub(d, 1), d, F.date_add(d, 1)))
+    days = F.filter(
+        F.array_distinct(F.flatten(around)), lambda d: d.between(F.to_date("first"), F.to_date("last"))
+    )
+    usable = F.when(F.col("spec.valid") & (F.col("first") <= F.col("last")), days)
+    by_day = bounded.withColumn("day", F.explode(usable)).repartition(_tasks(schedules), *keys, "day")
+    by_day = by_day.withColumn("day", F.col("day").cast("timestamp"))
 
     hours = by_day.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn(
         "hour", F.col("day") + F.make_dt_interval(hours=F.col("hour"))
