@@ -50,3 +50,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a :func:`materialize` result that nothing will read again."""
+    spark = df.sparkSession
+    ours = f"{scratch_root(spark).removeprefix('file://')}/flowledger/"
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        if ours in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
