@@ -1,6 +1,6 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
-A text becomes a template: numbers, names (capitalised words inside a sentence) and units after numbers turn
+A text becomes a template: numbers, names (capitalised words, not in capitals throughout, inside a sentence) and units after numbers turn
 into typed placeholders, other words are lower-cased and signs dropped. Windows of five template words are
 hashed and joined to the windows of the benchmark. A document leaks an item when it holds at least 0.8 of the
 item's windows, on alignments whose slots are consistent: within one alignment each value of the item
@@ -44,7 +44,7 @@ def _spaced(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """The words of the template."""
-    named = F.regexp_replace(_spaced(text), r"(?<=[\p{L}\p{N},;:]\s)\p{Lu}[\p{L}\p{M}]+", NAME)
+    named = F.regexp_replace(_spaced(text), r"(?<=[\p{L}\p{N},;:]\s)\p{Lu}\p{M}*\p{Ll}[\p{L}\p{M}]*", NAME)
     numbered = F.lower(F.regexp_replace(named, _NUMBER, NUMBER))
     units = F.regexp_replace(numbered, rf"(?<={NUMBER}\s)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])", UNIT)
     return F.regexp_extract_all(units, F.lit(rf"[{NAME}-{UNIT}]|{_WORD}"), F.lit(0))

@@ -36,12 +36,19 @@ def maybe_listed(ids: DataFrame, key: str) -> Column:
     return F.get(_bits(ids, key).scalar(), word).bitwiseAND(bit) != 0
 
 
+def _like(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The ids in the type of the rows' key, which hashes depend on."""
+    return ids.select(F.col(key).cast(rows.schema[key].dataType).alias(key))
+
+
 def listed(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows whose ``key`` is in the stored table ``ids``."""
-    return rows.filter(maybe_listed(ids, key)).join(ids.select(key), key, "left_semi")
+    ids = _like(ids, rows, key)
+    return rows.filter(maybe_listed(ids, key)).join(ids, key, "left_semi")
 
 
 def unlisted(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``key`` isn't in the stored table ``ids``."""
+    """The rows whose ``key`` isn't in the stored table ``ids``; a null key never is."""
+    ids = _like(ids, rows, key)
     maybe = maybe_listed(ids, key)
-    return rows.filter(~maybe).unionByName(rows.filter(maybe).join(ids.select(key), key, "left_anti"))
+    return rows.filter(~maybe).unionByName(rows.filter(maybe).join(ids, key, "left_anti"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowledger.llm import html_extraction, secret_scan, token_counts, warc
+from flowledger.llm import decontamination, embedding_dedup, html_extraction, language_id, lm_scoring, minhash, secret_scan, sentencepiece_codec, token_counts, warc
 from flowledger.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,31 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query("op2_decontamination")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op3_minhash_near_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_codec.encode_decode(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op5_embedding_near_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(language_id.documents_evidence(table(spark, folder, "documents")))
+
+
 def _spans_sql() -> str:
     """Per rule the matches that are long enough, with the lengths of what lies before them added up."""
     parts = []
@@ -71,6 +96,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return html_extraction.main_text(table(spark, folder, "pages"))
 
 
+@query("op9_lm_scoring")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 @query(
     "op10_warc",
     "WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size FROM pages), "

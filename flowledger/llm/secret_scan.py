@@ -12,12 +12,12 @@ that changes no result; repeated rows give a row each; further columns are ignor
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowledger.llm.id_filter import maybe_listed
 from flowledger.session import materialize
 
 
@@ -51,8 +51,6 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 SPANS = "array<struct<start:long,rank:int,kind:string,end:long>>"
-#: Size of the filter that keeps texts of non-candidates out of the join, in 64-bit words.
-FILTER_WORDS = 1 << 14
 
 
 def trigrams(literal: str) -> list[str]:
@@ -105,42 +103,20 @@ def spans(text: Column, rule: Rule) -> Column:
     return F.when(F.regexp_like(text, pattern), found).otherwise(zero["out"])
 
 
-def _place() -> tuple[Column, Column]:
-    """Word and bit of an id in the bit set."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS * 64))
-    return F.floor(at / 64).cast("int"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))")
-
-
-def _member(bitmap: Column) -> Column:
-    word, bit = _place()
-    return F.get(bitmap, word).bitwiseAND(bit) != 0
-
-
-def _bitmap(ids: DataFrame) -> DataFrame:
-    """One row with a fixed-size bit set of the hashed ids; all words are there, so it can be indexed."""
-    spark = ids.sparkSession
-    word, bit = _place()
-    words = ids.select(word.cast("long").alias("word"), bit.alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    every = spark.range(FILTER_WORDS).withColumnRenamed("id", "word").join(words, "word", "left")
-    packed = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-    return every.agg(F.transform(packed, lambda x: x["bits"]).alias("bitmap"))
-
-
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and ``found``: all spans (start, rank, kind, end), by start and then kind as listed."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    """doc_id, text, ``row`` (all columns) and ``found``: all spans (start, rank, kind, end), by start and then kind as listed."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     indexed = tuple(r for r in rules if queries(r))
     free = [r for r in rules if not queries(r)]
     found = materialize(candidates(rows, indexed).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds")), "secret-candidates")
-    always = F.concat(*[spans(F.col("text"), r) for r in free]) if free else F.array().cast(SPANS)
-    likely = _member(_bitmap(found).scalar())
     none = F.array().cast(SPANS)
+    always = F.concat(none, *[spans(F.col("text"), r) for r in free])
+    likely = maybe_listed(found, "doc_id")
     by_kind = [F.when(F.array_contains("kinds", r.kind), spans(F.col("text"), r)).otherwise(none) for r in indexed]
     matched = F.col("doc_id").eqNullSafe(F.col("for_id"))
-    hits = rows.filter(likely).join(found.withColumnRenamed("doc_id", "for_id"), matched, "left").select("doc_id", F.concat(always, *by_kind).alias("found"))
-    rest = rows.filter(~likely).select("doc_id", always.alias("found"))
-    return hits.unionByName(rest).select("doc_id", F.array_sort("found").alias("found"))
+    hits = rows.filter(likely).join(found.withColumnRenamed("doc_id", "for_id"), matched, "left").select("doc_id", "text", "row", F.concat(always, *by_kind).alias("found"))
+    rest = rows.filter(~likely).select("doc_id", "text", "row", always.alias("found"))
+    return hits.unionByName(rest).select("doc_id", "text", "row", F.array_sort("found").alias("found"))
 
 
 def _joined(found: Column) -> Column:
@@ -155,12 +131,22 @@ def secret_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every rule's long-enough matches replaced by ``mark``; other columns as they are."""
-    out = F.col(text)
-    for rule in RULES:
-        if rule.group:
-            out = F.regexp_replace(out, re.sub(r"\]\+\)$", f"]{{{rule.least},}})", rule.pattern), f"$1={mark}")
-        else:
-            out = F.regexp_replace(out, rule.pattern, mark)
-    return docs.withColumn(text, out)
+def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` with ``mark`` in place of every run of overlapping spans, and ``n_chars`` (if there) counted anew where that is so."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        apart = (s["start"] >= acc["at"]) & ((s["start"] > acc["at"]) | (acc["at"] == 0))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
+    hit = F.size("found") > 0
+    rows = scan(docs, doc_id, text).select("row", "text", hit.alias("hit"), F.when(hit, F.aggregate("found", zero, step, rest)).alias("clean"))
+    kinds = {f.name: f.dataType for f in docs.schema}
+    own = lambda c: F.col("row")[c]
+    out = {c: own(c) for c in docs.columns}
+    out[text] = F.when(F.col("hit"), F.col("clean")).otherwise(own(text))
+    if n_chars in out:
+        out[n_chars] = F.when(F.col("hit"), F.length("clean")).otherwise(own(n_chars)).cast(kinds[n_chars])
+    return rows.select(*[v.alias(c) for c, v in out.items()])
