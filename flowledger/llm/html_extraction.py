@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -122,11 +121,11 @@ def walk(page: str) -> Iterator[tuple[str, Node, list[Node], str]]:
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.match(page, at)
-        if m is None:  # a quote that never ends: the tag ends at the next sign that can end one
+        at = m.end()
+        if m["text"] == "<" and re.match("/?[a-zA-Z]", page[at : at + 2]):  # a quote that never ends: the tag ends at the next sign that can end one
             end = page.find(">", at)
             at = size if end < 0 else end + 1
             continue
-        at = m.end()
         if m["text"]:
             yield "text", stack[-1], stack, m["text"]
             continue

@@ -235,7 +235,7 @@ def _next_start(source: _Source, offset: int, packed: bool) -> int:
     """The next offset after ``offset`` at which a member holding a version line, or a version line, begins."""
     while True:
         offset = source.find(MEMBER if packed else b"WARC/1.", offset + 1)
-        if offset >= source.size or not packed and source.at(offset - 2, 2) == b"\r\n":
+        if offset >= source.size or not packed and re.fullmatch(rb"WARC/1\.[01]\r\n", source.at(offset, 10)):
             return offset
         if packed:
             try:
