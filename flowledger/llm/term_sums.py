@@ -10,6 +10,7 @@ it; partial sums per document are then added up by an ordinary aggregate.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A block ends at so many documents (positions are 16-bit) or characters, whichever comes first.
-BLOCK_ROWS = 16_384
-BLOCK_CHARS = 24_000_000
+BLOCK_ROWS = 32_768
+BLOCK_CHARS = 32_000_000
 #: Partial sums held by a task before they are handed on.
 HELD_SUMS = 2_000_000
 
-#: Maps an Arrow batch to (rows that describe the documents, terms of each document).
-Reader = Callable[[pa.RecordBatch, dict], tuple[pa.StructArray, Iterable[Iterable[int]]]]
+POSTINGS = "key string, block long, at binary"
+#: ``place`` is empty where the sums are of all positions from 0; ``about`` holds a block's documents. Sums are packed:
+#: most are small whole numbers, and there is one for each document in each task.
+SUMS = "block long, place binary, value binary, hits binary, about binary"
 
 
 class Numbering(dict):
@@ -45,48 +48,40 @@ class Numbering(dict):
         return self.terms.setdefault(term, len(self.terms))
 
 
-def _postings(described: list[pa.StructArray], numbers: list[np.ndarray], terms: list[str], block: int, kind: pa.DataType):
-    """One record batch of a block: a row per document, then a row per term."""
-    n = len(numbers)
-    sizes = np.array([len(x) for x in numbers], dtype=np.int64)
-    flat = np.concatenate(numbers) if n else np.empty(0, np.int32)
-    at = np.repeat(np.arange(n, dtype=np.uint16), sizes)
+def _packed(rows: list[pa.StructArray]) -> bytes:
+    """The documents of a block as an Arrow stream."""
+    sink = pa.BufferOutputStream()
+    batches = [pa.RecordBatch.from_struct_array(r) for r in rows]
+    with pa.ipc.new_stream(sink, batches[0].schema) as writer:
+        for batch in batches:
+            writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _postings(described: list[pa.StructArray], numbers: list[np.ndarray], terms: list[str], block: int) -> Iterator[pa.RecordBatch]:
+    """A row with the documents of a block, then a row per term."""
+    names = ["key", "block", "at"]
+    yield pa.RecordBatch.from_arrays([pa.array([f"d{block}"]), pa.array([block], pa.int64()), pa.array([_packed(described)], pa.binary())], names=names)
+    flat = np.concatenate(numbers)
     order = np.argsort(flat, kind="stable")
-    counts = np.bincount(flat, minlength=len(terms))
-    data = at[order].tobytes()
-    ends = np.concatenate([[0], np.cumsum(counts) * 2]).astype(np.int32)
-    rows = pa.concat_arrays(described)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([f"d{block}:{i}" for i in range(n)], pa.string()),
-            pa.array(np.full(n, block), pa.int64()),
-            pa.array([int(i).to_bytes(2, "little") for i in range(n)], pa.binary()),
-            rows,
-        ],
-        names=["key", "block", "at", "row"],
-    )
-    for lo in range(0, len(terms), 50_000):
-        hi = min(lo + 50_000, len(terms))
-        cut = ends[lo : hi + 1] - ends[lo]
-        part = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(data[ends[lo] : ends[hi]])])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(["t" + t for t in terms[lo:hi]], pa.string()), pa.array(np.full(hi - lo, block), pa.int64()), part, pa.nulls(hi - lo, kind)],
-            names=["key", "block", "at", "row"],
-        )
-
-
-def postings(docs: DataFrame, read: Callable[[], tuple[Callable, Numbering]], row_type: T.StructType) -> DataFrame:
-    """Rows (key, block, at, row): ``key`` is "d<block>:<position>" for a document, described by ``row``,
-    and "t<term>" for a term, with ``at`` holding the 16-bit positions of its documents.
+    data = np.repeat(np.arange(len(numbers), dtype=np.uint16), [len(x) for x in numbers])[order].tobytes()
+    ends = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(terms))) * 2])
+    for lo in range(0, len(terms), 20_000):
+        hi = min(lo + 20_000, len(terms))
+        cut = (ends[lo : hi + 1] - ends[lo]).astype(np.int32)
+        part = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(data[ends[lo] : ends[hi]])])
+        yield pa.RecordBatch.from_arrays([pa.array(["t" + t for t in terms[lo:hi]], pa.string()), pa.array(np.full(hi - lo, block), pa.int64()), part], names=names)
+
+
+def postings(docs: DataFrame, read: Callable[[], tuple[Callable, Numbering]]) -> DataFrame:
+    """Rows (key, block, at): key "d<block>" holds a block's documents, and "t<term>" the 16-bit positions
+    in the block of the documents that hold the term.
 
     ``read()`` is called once per task. It gives a function from an Arrow batch to (struct array that
-    describes its rows, one iterable of term-number tuples per row, characters per row), and the
-    numbering those tuples refer to. The order of rows within an input partition must not change when
-    a task is repeated, which holds for file scans.
+    describes its rows; per row its term-number tuples and its characters), and the numbering those
+    numbers refer to. The order of rows within an input partition must not change when a task is
+    repeated, which holds for file scans.
     """
-    schema = T.StructType(
-        [T.StructField("key", T.StringType()), T.StructField("block", T.LongType()), T.StructField("at", T.BinaryType()), T.StructField("row", row_type)]
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -100,7 +95,7 @@ def postings(docs: DataFrame, read: Callable[[], tuple[Callable, Numbering]], ro
 
         def flush():
             nonlocal block, chars
-            yield from _postings(described, numbers, list(numbering.terms), block, described[0].type)
+            yield from _postings(described, numbers, list(numbering.terms), block)
             described.clear()
             numbers.clear()
             numbering.clear()
@@ -124,33 +119,29 @@ def postings(docs: DataFrame, read: Callable[[], tuple[Callable, Numbering]], ro
         if numbers:
             yield from flush()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, POSTINGS)
 
 
-def _sums(batches: Iterator[pa.RecordBatch], row_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[np.ndarray]] = {}
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial sums of the rows of a task, a row per block."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     size = 0
 
+    def row(block: int, place: bytes, value: bytes, hits: bytes, about: bytes | None):
+        packed = (place, zlib.compress(value, 1), zlib.compress(hits, 1), about)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], names=["block", "place", "value", "hits", "about"])
+
     def hand_on():
         for block, (value, hits) in held.items():
-            at = np.flatnonzero(hits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), block), pa.int64()), pa.array(at, pa.int32()), pa.array(value[at]), pa.array(hits[at].astype(np.int64)), pa.nulls(len(at), row_type)],
-                names=["block", "place", "value", "hits", "row"],
-            )
+            yield row(block, b"", value.tobytes(), hits.astype(np.uint32).tobytes(), None)
         held.clear()
 
     for batch in batches:
-        key, at, value = batch.column("key"), batch.column("at"), batch.column("value")
+        at, value = batch.column("at"), batch.column("value")
         blocks = batch.column("block").to_numpy(zero_copy_only=False)
-        is_doc = np.array(pc.starts_with(key, "d").to_numpy(zero_copy_only=False), dtype=bool)
-        if is_doc.any():
-            rows = pa.array(np.flatnonzero(is_doc))
-            place = np.frombuffer(b"".join(at.take(rows).to_pylist()), dtype=np.uint16)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks[is_doc]), pa.array(place.astype(np.int32)), pa.array(np.zeros(len(place))), pa.array(np.zeros(len(place), np.int64)), batch.column("row").take(rows)],
-                names=["block", "place", "value", "hits", "row"],
-            )
+        is_doc = np.array(pc.starts_with(batch.column("key"), "d").to_numpy(zero_copy_only=False), dtype=bool)
+        for i in np.flatnonzero(is_doc).tolist():
+            yield row(int(blocks[i]), b"", b"", b"", at[i].as_py())
         found = ~is_doc & np.array(value.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
         if not found.any():
             continue
@@ -161,25 +152,23 @@ def _sums(batches: Iterator[pa.RecordBatch], row_type: pa.DataType) -> Iterator[
         own, nth = np.unique(blocks[found], return_inverse=True)
         width = int(place.max()) + 1
         cell = np.repeat(nth, lengths) * width + place
-        if len(own) * width > HELD_SUMS:  # many blocks in one batch: add up the cells that occur, and hand them on
+        if len(own) * width > HELD_SUMS:  # many blocks in one batch: only the cells that occur
             cells, of = np.unique(cell, return_inverse=True)
             value_sum, hit_sum = np.bincount(of, weights=worth), np.bincount(of)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own[cells // width]), pa.array((cells % width).astype(np.int32)), pa.array(value_sum), pa.array(hit_sum.astype(np.int64)), pa.nulls(len(cells), row_type)],
-                names=["block", "place", "value", "hits", "row"],
-            )
+            cuts = np.searchsorted(cells, np.arange(len(own) + 1) * width)
+            for b, lo, hi in zip(own.tolist(), cuts, cuts[1:], strict=False):
+                yield row(b, (cells[lo:hi] % width).astype(np.uint16).tobytes(), value_sum[lo:hi].tobytes(), hit_sum[lo:hi].astype(np.uint32).tobytes(), None)
             continue
         value_sum = np.bincount(cell, weights=worth, minlength=len(own) * width).reshape(len(own), width)
         hit_sum = np.bincount(cell, minlength=len(own) * width).reshape(len(own), width)
         for b, v, h in zip(own.tolist(), value_sum, hit_sum, strict=True):
-            if b not in held or len(held[b][0]) < width:
-                was = held.get(b)
-                grown = [np.zeros(width), np.zeros(width, np.int64)]
+            was = held.get(b)
+            if was is None or len(was[0]) < width:
+                held[b] = np.zeros(width), np.zeros(width, np.int64)
+                size += width
                 if was:
-                    grown[0][: len(was[0])], grown[1][: len(was[1])] = was
+                    held[b][0][: len(was[0])], held[b][1][: len(was[1])] = was
                     size -= len(was[0])
-                held[b] = grown
-                size += width
             held[b][0][: len(v)] += v
             held[b][1][: len(h)] += h
         if size > HELD_SUMS:
@@ -188,34 +177,40 @@ def _sums(batches: Iterator[pa.RecordBatch], row_type: pa.DataType) -> Iterator[
     yield from hand_on()
 
 
-def sum_over_terms(rows: DataFrame, values: DataFrame) -> DataFrame:
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each block with their sums; the rows of a block follow one another."""
+    value, hits, about, last = np.zeros(BLOCK_ROWS), np.zeros(BLOCK_ROWS, np.int64), b"", None
+
+    def out():
+        table = pa.ipc.open_stream(about).read_all().combine_chunks()
+        n = table.num_rows
+        for batch in table.append_column("value_sum", pa.array(value[:n])).append_column("hits", pa.array(hits[:n])).to_batches():
+            yield batch
+        value[:], hits[:] = 0, 0
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if last is not None and row["block"] != last:
+                yield from out()
+            last = row["block"]
+            if row["about"] is not None:
+                about = row["about"]
+                continue
+            v, h = np.frombuffer(zlib.decompress(row["value"])), np.frombuffer(zlib.decompress(row["hits"]), dtype=np.uint32)
+            at = np.frombuffer(row["place"], dtype=np.uint16) if row["place"] else slice(len(v))
+            value[at] += v
+            hits[at] += h
+    if last is not None:
+        yield from out()
+
+
+def sum_over_terms(rows: DataFrame, values: DataFrame, row_type: T.StructType) -> DataFrame:
     """``rows`` of :func:`postings` with ``values`` (term string, value double), each term once.
 
-    One row per document: the fields of ``row`` (numbers or booleans, so that the sum stays a hash aggregate), ``value_sum`` (sum of the value over all occurrences
-    of terms that are in ``values``) and ``hits`` (how many occurrences those are).
+    One row per document: the fields of ``row_type`` as its reader gave them, ``value_sum`` (sum of the value
+    over all occurrences of terms that are in ``values``) and ``hits`` (how many occurrences those are).
     """
-    row_type = rows.schema["row"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("block", T.LongType()),
-            T.StructField("place", T.IntegerType()),
-            T.StructField("value", T.DoubleType()),
-            T.StructField("hits", T.LongType()),
-            T.StructField("row", row_type),
-        ]
-    )
-    looked_up = rows.join(values.select(F.concat(F.lit("t"), "term").alias("key"), "value"), "key", "left").select("key", "block", "at", "value", "row")
-
-    def run(batches):
-        first = next(batches, None)
-        if first is None:
-            return
-        kind = first.schema.field("row").type
-        yield from _sums((b for part in ([first], batches) for b in part), kind)
-
-    return (
-        looked_up.mapInArrow(run, schema)
-        .groupBy("block", "place")
-        .agg(*[F.max(F.col("row")[f]).alias(f) for f in row_type.fieldNames()], F.sum("value").alias("value_sum"), F.sum("hits").alias("hits"))
-        .drop("block", "place")
-    )
+    looked_up = rows.join(values.select(F.concat(F.lit("t"), "term").alias("key"), "value"), "key", "left").select("key", "block", "at", "value")
+    partial = looked_up.mapInArrow(_sums, SUMS).repartition("block").sortWithinPartitions("block")
+    out = T.StructType([*row_type.fields, T.StructField("value_sum", T.DoubleType()), T.StructField("hits", T.LongType())])
+    return partial.mapInArrow(_totals, out)

@@ -132,7 +132,7 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     ``path`` is the tokenizer's file, readable at the same place by every executor.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = postings(plain, _reader(path), ROW)
-    summed = sum_over_terms(rows, pre_token_pieces(docs, path, text))
+    rows = postings(plain, _reader(path))
+    summed = sum_over_terms(rows, pre_token_pieces(docs, path, text), ROW)
     n: Column = F.round("value_sum").cast("long")
     return summed.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
