@@ -41,7 +41,6 @@ query(
         "id", "run_key", "job_key", "status", "triggered_by", "queued_at", "started_at", "completed_at",
         *[f"{s}_steps" for s in counts.STEP_COUNTERS],
     )
-    .orderBy(F.col("id").desc())
 )
 
 LIFECYCLE_SQL = f"""

@@ -72,6 +72,22 @@ query(
                group by s.job_id, s.topo_index, s.done)
        select job_id, step_key, topo_index from s where topo_index >= 0""",
 )(lambda h: graph.graph_order(h.mixed_nodes, h.mixed_edges).select("job_id", "step_key", "topo_index"))
+
+
+def _customer_chain(h):
+    """One graph over all customers: each depends on the one before, and keys run against the order."""
+    keys = h.customer.select(F.lit(1).cast("long").alias("job_id"), F.format_string("c%012d", F.lit(10**12 - 1) - F.col("c_custkey")).alias("step_key"), "c_custkey")
+    before = keys.select("job_id", (F.col("c_custkey") + 1).alias("c_custkey"), F.col("step_key").alias("from_step_key"))
+    edges = keys.join(before, ["job_id", "c_custkey"]).select("job_id", "from_step_key", F.col("step_key").alias("to_step_key"))
+    return keys.select("job_id", "step_key"), edges
+
+
+query(
+    "I8_order_of_a_long_chain",
+    """select 1::bigint as job_id, 'c' || lpad(cast(999999999999 - c_custkey as varchar), 12, '0') as step_key,
+              row_number() over (order by c_custkey) - 1 as depth, row_number() over (order by c_custkey) - 1 as topo_index, false as stuck
+       from @customer""",
+)(lambda h: graph.graph_order(*_customer_chain(h)))
 _DEPTH_SQL = """
     d as (select n.job_id, n.step_key, 0 as depth from @job_nodes n
           where not exists (select 1 from @job_edges e where e.job_id = n.job_id and e.to_step_key = n.step_key)

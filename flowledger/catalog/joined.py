@@ -32,7 +32,6 @@ query(
 )(
     lambda h: joins.item_runs(h.queue_item_runs, h.runs, h.jobs)
     .select("queue_item_id", "created_at", "id", "run_key", "run_status", "started_at", "parent_run_id", "job_key")
-    .orderBy("queue_item_id", "created_at", "id")
 )
 query(
     "C4_items_without_runs",

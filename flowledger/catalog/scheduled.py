@@ -184,18 +184,22 @@ query("J5_next_runs", NEXT_SQL)(
 
 
 def _tick(h):
+    # One job is unknown to the tick, and one has no steps: neither can start a run.
     return tick.scheduler_tick(
-        active(h), h.schedule_state, h.schedule_claims, h.jobs, h.job_nodes, literal_time(NOW), scheduler="main"
+        active(h), h.schedule_state, h.schedule_claims, h.jobs.filter("id <> 4"), h.job_nodes.filter("job_id <> 2"),
+        literal_time(NOW), scheduler="main",
     )
 
 
+_STARTABLE_SQL = "(select job_key from @jobs where id not in (2, 4) and id in (select job_id from @job_nodes))"
 _WON_SQL = f"""
     with due as ({_DUE_SQL}),
     kept as (select c.* from @schedule_claims c join {_ACTIVE_SQL} s using (job_key, schedule_key))
     select d.job_key, d.schedule_key, d.tick as scheduled_for, 'scheduler:' || d.schedule_key as triggered_by,
            'run_' || sha256(d.job_key || chr(0) || d.schedule_key || chr(0) || strftime(d.tick, '%Y-%m-%dT%H:%M:%SZ')) as run_key
     from due d where not exists (select 1 from kept c where c.job_key = d.job_key and c.schedule_key = d.schedule_key
-                                 and c.scheduled_for = d.tick)"""
+                                 and c.scheduled_for = d.tick)
+    and d.job_key in {_STARTABLE_SQL}"""
 query("J6_claims_won", _WON_SQL)(lambda h: _tick(h).won)
 query(
     "J7_scheduled_runs",
@@ -228,7 +232,10 @@ query(
     "J8_schedule_errors",
     f"""select job_key, schedule_key, case when timezone = 'Mars/Olympus' then 'invalid timezone ' || timezone
                else 'invalid cron expression ' || cron_expr end as error
-        from {_ACTIVE_SQL} s where timezone = 'Mars/Olympus' or kind in (5, 6)""",
+        from {_ACTIVE_SQL} s where timezone = 'Mars/Olympus' or kind in (5, 6)
+        union all
+        select job_key, schedule_key, 'no run can be created for job ' || job_key as error
+        from ({_DUE_SQL}) d where job_key not in {_STARTABLE_SQL}""",
 )(lambda h: _tick(h).errors.select("job_key", "schedule_key", "error"))
 
 _TL = ("2000-01-01 00:00:00", "1999-12-01 00:00:00", "2000-02-01 00:00:00")
@@ -248,7 +255,7 @@ def _with_jobs(h):
 query("C11_unoccupied_ticks", _MARKERS_SQL)(
     lambda h: joins.unoccupied_ticks(
         schedules.occurrences(h.schedules, literal_time(_TL[0]), literal_time(_TL[2])).withColumn("minute", F.col("tick")),
-        timeline.occupied_minutes(_with_jobs(h)),
+        timeline.occupied_minutes(_with_jobs(h), literal_time(_TL[0]), literal_time(_TL[2])),
     ).select("job_key", "schedule_key", "tick")
 )
 _ARTIFACTS_SQL = f"""
@@ -259,14 +266,28 @@ _ARTIFACTS_SQL = f"""
            r.run_key
     from @runs r join @jobs j on j.id = r.job_id"""
 query("G1_run_artifacts", _ARTIFACTS_SQL)(lambda h: timeline.run_artifacts(_with_jobs(h)))
-query(
-    "J9_timeline",
-    f"""{_ARTIFACTS_SQL}
+
+
+def _timeline_sql(markers: str) -> str:
+    return f"""{_ARTIFACTS_SQL}
         union all
         select 'schedule-' || m.job_key || '-' || m.schedule_key || '-' || epoch_ms(m.tick), 'schedule', m.job_key,
-               'will_run', m.tick, m.tick, m.tick, 0, '' from ({_MARKERS_SQL}) m""",
-)(
-    lambda h: timeline.timeline(
-        _with_jobs(h), h.schedules, *[literal_time(x) for x in _TL], cap=100_000
-    )
-)
+               'will_run', m.tick, m.tick, m.tick, 0, '' from ({markers}) m"""
+
+
+def _timeline(h, cap):
+    return timeline.timeline(_with_jobs(h), h.schedules, *[literal_time(x) for x in _TL], cap=cap)
+
+
+query("J9_timeline", _timeline_sql(_MARKERS_SQL))(lambda h: _timeline(h, None))
+query(
+    "J9_timeline_capped",
+    _timeline_sql(
+        _MARKERS_SQL.replace(
+            "select * from t where",
+            f"""select job_key, schedule_key, tick from
+                (select *, row_number() over (partition by job_key, schedule_key order by tick) as nth from t) t
+                where nth <= {schedules.MAX_MARKERS} and""",
+        )
+    ),
+)(lambda h: _timeline(h, schedules.MAX_MARKERS))

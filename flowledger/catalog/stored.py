@@ -115,7 +115,7 @@ def _claims(h):
         )
     )
     twice = due.unionByName(due)
-    return store.insert_if_absent(h.schedule_claims, twice, ["job_key", "schedule_key", "scheduled_for"])
+    return store.insert_if_absent(h.schedule_claims, twice, ["job_key", "schedule_key", "scheduled_for"], [F.col("scheduled_for")])
 
 
 query(

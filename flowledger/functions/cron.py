@@ -153,15 +153,28 @@ def cron_matches(spec: Column, local: Column) -> Column:
     )
 
 
+# Names of the time zone database without an area.
+PLAIN_ZONES = (
+    "CET CST6CDT Cuba EET EST EST5EDT Egypt Eire GB GB-Eire GMT GMT+0 GMT-0 GMT0 Greenwich HST Hongkong Iceland Iran Israel "
+    "Jamaica Japan Kwajalein Libya MET MST MST7MDT NZ NZ-CHAT Navajo PRC PST8PDT Poland Portugal ROC ROK Singapore Turkey UCT "
+    "UTC Universal W-SU WET Zulu"
+).split()
+
+
 def zone_known(timezone: Column) -> Column:
     """Whether the zone name can be used; a blank one means UTC."""
     return zone_text(timezone).isNotNull()
 
 
 def zone_text(timezone: Column) -> Column:
+    """The name of a zone of the time zone database, UTC for a blank one, else null.
+
+    Such a name has an area before a slash or is one of the few without. Offsets and abbreviations are none.
+    """
     name = clean(F.coalesce(timezone, F.lit("")))
     probe = F.concat(F.lit("2020-01-01 00:00:00 "), name).try_cast("timestamp")
-    return F.when(name == "", F.lit("UTC")).when(probe.isNotNull(), name)
+    named = name.rlike(r"^[A-Z][A-Za-z]+/[A-Z]") | name.isin(*PLAIN_ZONES)
+    return F.when(name == "", F.lit("UTC")).when(named & probe.isNotNull(), name)
 
 
 def zone_or_utc(timezone: Column) -> Column:

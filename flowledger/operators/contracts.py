@@ -9,17 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
+MISFIT = "_misfit"
 FIELD = ["job_id", "step_key", "field_pos", "field_name"]
 # Type names that are no structs.
 PLAIN_TYPES = (
     "any", "bool", "byte", "complex64", "complex128", "error", "float32", "float64", "int", "int8", "int16", "int32",
     "int64", "rune", "string", "uint", "uint8", "uint16", "uint32", "uint64", "uintptr",
 )
-# A message lists the candidates of an ambiguous field only up to this many providers; all of them
-# are in ``providers`` in any case.
-LISTED_CANDIDATES = 1000
 
 
 def field_modes(fields: DataFrame) -> DataFrame:
@@ -79,7 +77,11 @@ def providers(fields: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def contract_errors(fields: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Fields whose providers break the rule of their mode, and fields of an unsupported type."""
+    """Fields whose providers break the rule of their mode, and fields of an unsupported type.
+
+    Messages give the number of candidates; ``ambiguous_candidates`` names them, a row each. Their texts are
+    fixed values.
+    """
     counted = provider_counts(fields, outputs)
     missing = counted.filter("mode = 'singular' and candidates = 0").select(
         *FIELD,
@@ -87,32 +89,14 @@ def contract_errors(fields: DataFrame, outputs: DataFrame) -> DataFrame:
             F.lit("input field "), "field_name", F.lit(" ("), "target_type", F.lit(") requires exactly 1 provider, found 0")
         ).alias("message"),
     )
-    ambiguous = counted.filter("mode <> 'slice' and candidates > 1")
-    listed = (
-        outputs.select("job_id", F.col("type_name").alias("target_type"), "step_key")
-        .join(ambiguous.select("job_id", "target_type", "candidates").distinct(), ["job_id", "target_type"], "left_semi")
-    )
-    short = (
-        listed.groupBy("job_id", "target_type")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") <= LISTED_CANDIDATES)
-        .drop("n")
-    )
-    names = (
-        listed.join(short, ["job_id", "target_type"], "left_semi")
-        .groupBy("job_id", "target_type")
-        .agg(F.sort_array(F.collect_list("step_key")).alias("names"))
-    )
     rule = F.when(F.col("mode") == "pointer", F.lit("pointer input allows 0 or 1 provider")).otherwise(
         F.lit("expected exactly 1 provider")
     )
-    shown = F.array_join(F.array_remove(F.coalesce("names", F.array()), F.col("step_key")), ", ")
-    too_many = ambiguous.join(names, ["job_id", "target_type"], "left").select(
+    too_many = counted.filter("mode <> 'slice' and candidates > 1").select(
         *FIELD,
         F.concat(
             F.lit("input field "), "field_name", F.lit(" ("), "target_type", F.lit(") is ambiguous: "), rule,
             F.lit(", found "), F.col("candidates").cast("string"),
-            F.when(F.col("names").isNull(), F.lit("")).otherwise(F.concat(F.lit(" ("), shown, F.lit(")"))),
         ).alias("message"),
     )
     unsupported = field_modes(fields).filter("error <> ''").select(
@@ -121,10 +105,17 @@ def contract_errors(fields: DataFrame, outputs: DataFrame) -> DataFrame:
     return missing.unionByName(too_many).unionByName(unsupported)
 
 
+def ambiguous_candidates(fields: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Every candidate of every ambiguous field, one row each, however many there are."""
+    makers = outputs.select("job_id", F.col("type_name").alias("target_type"), F.col("step_key").alias("candidate"))
+    ambiguous = provider_counts(fields, outputs).filter("mode <> 'slice' and candidates > 1")
+    return ambiguous.join(makers, ["job_id", "target_type"]).filter("candidate <> step_key").select(*FIELD, "candidate")
+
+
 def ordered_providers(bindings: DataFrame, order: DataFrame) -> DataFrame:
-    """Bindings with the topological index of the provider; slice inputs are read in that order."""
+    """Bindings with the topological index of the provider, by which slice inputs are read."""
     index = order.select("job_id", F.col("step_key").alias("provider"), F.col("topo_index").alias("provider_index"))
-    return bindings.join(index, ["job_id", "provider"]).orderBy("job_id", "step_key", "field_pos", "provider_index")
+    return bindings.join(index, ["job_id", "provider"])
 
 
 def step_inputs(
@@ -138,8 +129,13 @@ def step_inputs(
     made = outputs.select("run_id", F.col("step_key").alias("provider"), "output_json")
     wanted = runs.select("run_id", "job_id").join(ordered, "job_id")
     text = F.col("output_json")
-    parsed = F.from_json(text, schema)
-    is_object = F.startswith(F.coalesce(F.schema_of_variant(F.try_parse_json(text)), F.lit("")), F.lit("OBJECT"))
+    # An output whose values don't fit the schema fills the extra column; ``null`` is an empty struct.
+    whole = StructType([*schema.fields, StructField(MISFIT, StringType())])
+    is_null = F.trim(text) == "null"
+    decoded = F.from_json(F.when(is_null, F.lit("{}")).otherwise(text), whole, {"columnNameOfCorruptRecord": MISFIT})
+    parsed = F.struct(*[decoded[f.name].alias(f.name) for f in schema.fields])
+    shape = F.schema_of_variant(F.try_parse_json(text))
+    is_object = is_null | (F.startswith(F.coalesce(shape, F.lit("")), F.lit("OBJECT")) & decoded[MISFIT].isNull())
     kind = F.when(F.col("mode") == "singular", F.lit("")).otherwise(F.concat("mode", F.lit(" ")))
     error = (
         F.when(

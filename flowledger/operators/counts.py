@@ -113,10 +113,8 @@ def group_counts(node_status: DataFrame) -> DataFrame:
 
 
 def group_members(node_status: DataFrame) -> DataFrame:
-    """Step keys of every group of every run, one per row, in key order."""
-    return node_status.select("run_id", step_group(F.col("status")).alias("step_group"), "step_key").orderBy(
-        "run_id", "step_group", "step_key"
-    )
+    """Step keys of every group of every run, one per row."""
+    return node_status.select("run_id", step_group(F.col("status")).alias("step_group"), "step_key")
 
 
 def item_metadata(metadata_with_job: DataFrame) -> DataFrame:
@@ -134,9 +132,9 @@ def item_metadata(metadata_with_job: DataFrame) -> DataFrame:
 
 
 def event_levels(events: DataFrame) -> DataFrame:
-    """Distinct levels of each run's events, blanks dropped, in order."""
+    """Distinct levels of each run's events, blanks dropped."""
     level = event_level(F.col("level"))
-    return events.select("run_id", level.alias("level")).filter("level <> ''").distinct().orderBy("run_id", "level")
+    return events.select("run_id", level.alias("level")).filter("level <> ''").distinct()
 
 
 def run_statuses(runs: DataFrame) -> DataFrame:
@@ -160,11 +158,11 @@ def run_outcome(steps_in_order: DataFrame, order: str = "topo_key") -> DataFrame
 
 
 def jobs_of_queues(queue_jobs: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Jobs of every queue, one per row, in declared order."""
+    """Jobs of every queue, one per row; ``sort_index`` gives the declared order."""
     names = jobs.select(F.col("id").alias("job_id"), "job_key", "display_name")
     return queue_jobs.join(names, "job_id").select(
         "queue_id", "sort_index", "job_key", "display_name"
-    ).orderBy("queue_id", "sort_index")
+    )
 
 
 def schedules_of_jobs(schedules: DataFrame) -> DataFrame:

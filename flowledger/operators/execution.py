@@ -11,16 +11,13 @@ from pyspark.sql import functions as F
 
 from flowledger.functions.status import exec_status
 from flowledger.functions.times import step_duration_ms
-from flowledger.operators.graph import reachable
 from flowledger.operators.joins import parent_outputs
-from flowledger.session import materialize
+from flowledger.session import materialize, scratch_path
 
 STEP = ["run_id", "step_key"]
 # Messages written with a skipped step.
 SKIPPED_BY_DEPENDENCY = "dependency output unavailable"
 SKIPPED_BY_RERUN = "rerun skipped"
-# Rounds before skip propagation switches from one edge at a time to whole paths.
-EDGE_ROUNDS = 16
 
 
 def run_edges(runs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,42 +37,33 @@ def ready_steps(steps: DataFrame, edges: DataFrame) -> DataFrame:
     return steps.filter("status = 'pending'").join(blocked, STEP, "left_anti").select(*STEP)
 
 
-def skipped_steps(steps: DataFrame, edges: DataFrame, edge_rounds: int = EDGE_ROUNDS) -> DataFrame:
+def skipped_steps(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """Pending steps that can no longer run because a step upstream did not succeed.
 
-    Only steps newly reached are carried to the next round. Chains longer than ``edge_rounds`` are
-    closed over whole paths, in as many rounds as the logarithm of their length.
+    Each round follows the edges of the steps reached in the round before, and appends what is new to one
+    written table, so there are as many rounds as the longest chain of skips has edges.
     """
-    pending = materialize(steps.filter("status = 'pending'").select(*STEP), "skip-pending")
+    spark = steps.sparkSession
     front = steps.filter(exec_status(F.col("status")).isin("failed", "canceled", "skipped")).select(*STEP)
+    pending = steps.filter("status = 'pending'").select("run_id", F.col("step_key").alias("to_step_key"))
     # Edges that end in a pending step are the only ones a skip can travel along.
-    paths = materialize(
-        edges.distinct().join(pending.withColumnRenamed("step_key", "to_step_key"), ["run_id", "to_step_key"], "left_semi"),
-        "skip-edges",
-    )
-    found = None
-    for _ in range(edge_rounds):
+    paths = materialize(edges.distinct().join(pending, ["run_id", "to_step_key"], "left_semi"), "skip-edges")
+    reached = scratch_path(spark, "skip-reached")
+    schema = steps.select(*STEP).schema
+    front.limit(0).write.parquet(reached)
+    while True:
         hit = (
             front.withColumnRenamed("step_key", "from_step_key")
             .join(paths, ["run_id", "from_step_key"])
             .select("run_id", F.col("to_step_key").alias("step_key"))
             .distinct()
         )
-        front = materialize(hit if found is None else hit.join(found, STEP, "left_anti"), "skip-round")
-        if front.isEmpty():
+        new = materialize(hit.join(spark.read.schema(schema).parquet(reached), STEP, "left_anti"), "skip-round")
+        if new.isEmpty():
             break
-        found = front if found is None else found.unionByName(front)
-    else:
-        open_runs = paths.join(front.select("run_id").distinct(), "run_id", "left_semi")
-        far = reachable(open_runs.withColumnRenamed("run_id", "job_id")).withColumnRenamed("job_id", "run_id")
-        rest = (
-            front.withColumnRenamed("step_key", "from_step_key")
-            .join(far, ["run_id", "from_step_key"])
-            .select("run_id", F.col("to_step_key").alias("step_key"))
-        )
-        found = found.unionByName(rest).distinct()
-    skipped = pending.limit(0) if found is None else found
-    return skipped.withColumns(
+        new.write.mode("append").parquet(reached)
+        front = new
+    return spark.read.schema(schema).parquet(reached).withColumns(
         {"status": F.lit("skipped"), "error_message": F.lit(SKIPPED_BY_DEPENDENCY)}
     )
 

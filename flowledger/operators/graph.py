@@ -15,13 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowledger.functions.text import clean
-from flowledger.operators.ranking import HOT_ROWS, rank_within
 from flowledger.session import materialize
 
 NODE = ["job_id", "step_key"]
 EDGE = ["job_id", "from_step_key", "to_step_key"]
-# Graphs up to this many nodes and edges are ordered whole, each inside one task; larger ones in rounds.
-LOCAL_SIZE = 100_000
 
 
 def edges_of_dependencies(nodes: DataFrame) -> DataFrame:
@@ -74,99 +71,18 @@ def schedule_key_errors(schedules: DataFrame) -> DataFrame:
     return counted.withColumn("problem", problem).filter("problem is not null")
 
 
-def graph_order(
-    nodes: DataFrame, edges: DataFrame, local_size: int = LOCAL_SIZE, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def graph_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Execution order and depth: (job_id, step_key, depth, topo_index, stuck).
 
     The order takes, again and again, the smallest key among the steps whose dependencies are all
     taken; depth is the longest path from a root. ``stuck`` steps lie on or behind a cycle and come
-    last in key order. Graphs of ordinary size need one shuffle, by job; a graph too large for a task
-    is peeled layer by layer with joins. Both give the same answer.
+    last in key order. Each choice depends on all before it, so a graph is ordered by one task: rows are
+    shuffled and sorted by job, and one graph at a time is held. The graph of a job must fit a task.
     """
-    sizes = (
-        nodes.select("job_id")
-        .unionByName(edges.select("job_id"))
-        .groupBy("job_id")
-        .agg(F.count(F.lit(1)).alias("size"))
-    )
-    large = materialize(sizes.filter(F.col("size") > local_size).select("job_id"), "graph-large")
-    if large.isEmpty():
-        return _order_locally(nodes, edges)
-
-    def split(rows: DataFrame, how: str) -> DataFrame:
-        return rows.join(large, "job_id", how)
-
-    small_part = _order_locally(split(nodes, "left_anti"), split(edges, "left_anti"))
-    return small_part.unionByName(_order_in_rounds(split(nodes, "left_semi"), split(edges, "left_semi"), hot_rows))
-
-
-def _order_in_rounds(nodes: DataFrame, edges: DataFrame, hot_rows: int) -> DataFrame:
-    """Order of graphs of any size, one round of joins per layer.
-
-    The queue is not simulated. Give every step the path
-    ``p(v) = [x in max(p(d) for d in dependencies) if x > v] + [v]``, comparing paths element by
-    element: it lists the larger keys that had to be taken just before v became the smallest.
-    Sorting the steps by their path is the order.
-    """
-    links = materialize(known_edges(nodes, edges), "graph-edges")
-    needs = links.groupBy("job_id", F.col("to_step_key").alias("step_key")).agg(F.count(F.lit(1)).alias("need"))
-    zero = F.lit(0).cast("long")
-    state = materialize(
-        nodes.select(*NODE)
-        .distinct()
-        .join(needs, NODE, "left")
-        .select(
-            *NODE,
-            F.coalesce("need", zero).alias("need"),
-            zero.alias("depth"),
-            F.array().cast("array<string>").alias("best"),
-        ),
-        "graph-start",
-    )
-    finished = []
-    while True:
-        taken = state.filter("need = 0").select(
-            *NODE,
-            "depth",
-            F.concat(F.filter("best", lambda x: x > F.col("step_key")), F.array("step_key")).alias("path"),
-            F.lit(False).alias("stuck"),
-        )
-        waiting = state.filter("need > 0")
-        finished.append(taken)
-        if taken.isEmpty() or waiting.isEmpty():
-            break
-        sent = (
-            taken.withColumnRenamed("step_key", "from_step_key")
-            .join(links, ["job_id", "from_step_key"])
-            .groupBy("job_id", F.col("to_step_key").alias("step_key"))
-            .agg(
-                F.count(F.lit(1)).alias("got"), (F.max("depth") + 1).alias("new_depth"), F.max("path").alias("new_best")
-            )
-        )
-        state = materialize(
-            waiting.join(sent, NODE, "left").select(
-                *NODE,
-                (F.col("need") - F.coalesce("got", zero)).alias("need"),
-                F.greatest("depth", F.coalesce("new_depth", zero)).alias("depth"),
-                F.greatest("best", F.coalesce("new_best", F.col("best"))).alias("best"),
-            ),
-            "graph-round",
-        )
-    every = waiting.select(*NODE, "depth", F.array("step_key").alias("path"), F.lit(True).alias("stuck"))
-    for part in finished:
-        every = every.unionByName(part)
-    ranked = rank_within(every, ["job_id"], [F.col("stuck").asc(), F.col("path").asc()], "place", hot_rows)
-    return ranked.select(*NODE, "depth", (F.col("place") - 1).alias("topo_index"), "stuck")
-
-
-def _order_locally(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Order of graphs of proven size: shuffled and sorted by job, then read one graph at a time."""
-    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = (
         nodes.select(*NODE, F.lit(None).cast("string").alias("to_step_key"))
         .unionByName(edges.select("job_id", F.col("from_step_key").alias("step_key"), "to_step_key"))
-        .repartition(tasks, "job_id")
+        .repartition("job_id")
         .sortWithinPartitions("job_id")
     )
     dtype = nodes.schema["job_id"].dataType.simpleString()
@@ -225,7 +141,7 @@ def cyclic_jobs(order: DataFrame) -> DataFrame:
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Dependencies and dependents of every step, one per row, in key order; unknown steps dropped."""
+    """Dependencies and dependents of every step, one per row; unknown steps dropped."""
     links = known_edges(nodes, edges)
     down = links.select(
         "job_id", F.col("to_step_key").alias("step_key"), F.lit("depends_on").alias("side"), F.col("from_step_key").alias("other")
@@ -233,7 +149,7 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     up = links.select(
         "job_id", F.col("from_step_key").alias("step_key"), F.lit("needed_by").alias("side"), F.col("to_step_key").alias("other")
     )
-    return down.unionByName(up).orderBy("job_id", "step_key", "side", "other")
+    return down.unionByName(up)
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -275,6 +191,8 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame) -> DataFrame:
     """Pairs (job_id, from_step_key, to_step_key, indirect) joined by a path of any length.
 
+    The result is the closure itself, so within one graph it grows with the square of its steps.
+
     Each round doubles the path length covered, so a chain of n steps needs log2(n) rounds: with R
     all pairs up to length k and P those joined by a walk of exactly k, R grows by P after R. A pair
     is ``indirect`` when some path between its ends has more than one edge.

@@ -74,7 +74,7 @@ def node_status(runs: DataFrame, nodes: DataFrame, steps: DataFrame) -> DataFram
 
 def quiet_jobs(jobs: DataFrame, runs_in_window: DataFrame) -> DataFrame:
     """Jobs without a run among ``runs_in_window`` (which carries job_key)."""
-    return jobs.join(runs_in_window.select("job_key"), "job_key", "left_anti")
+    return jobs.join(runs_in_window.select("job_key").distinct(), "job_key", "left_anti")
 
 
 def fan_out_items(items: DataFrame, queue_jobs: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def event_tail(events: DataFrame, limit: int) -> DataFrame:
     """Last ``limit`` events of every run in ascending order, with the run's total."""
     totals = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
     tail = top_per_group(events, ["run_id"], [F.col("id").desc()], limit).drop("rank")
-    return tail.join(totals, "run_id").orderBy("run_id", "id")
+    return tail.join(totals, "run_id")
 
 
 def runs_of_jobs_in_order(runs: DataFrame) -> DataFrame:

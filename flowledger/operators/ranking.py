@@ -9,34 +9,16 @@ from pyspark.sql import functions as F
 
 from flowledger.session import materialize
 
-# Groups above this many rows are numbered in range buckets instead of in one task.
-HOT_ROWS = 5_000_000
 
-
-def rank_within(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position", hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def rank_within(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
     """One-based place of each row in its group. ``order`` must be unique within the group.
 
-    Group sizes are counted first. Small groups use a plain window. Large ones are range-partitioned
-    by (group, order); each bucket is numbered on its own and shifted by the rows of the buckets
-    before it, so the result is the same and no task sees a whole large group.
+    Rows are range-partitioned by (group, order), so a large group spans many buckets. Each bucket is numbered
+    on its own and shifted by the rows of the buckets before it; no task sees a whole large group.
     """
     keys = list(keys)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    hot = sizes.filter(F.col("_size") > hot_rows).drop("_size")
-
-    def plain(part: DataFrame) -> DataFrame:
-        return part.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-
-    if hot.isEmpty():
-        return plain(rows)
-    hot = materialize(hot, "hot-groups")
-    cold_part = plain(rows.join(hot, keys, "left_anti"))
-
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot_rows_df = rows.join(hot, keys, "left_semi").repartitionByRange(parts, *[F.col(k) for k in keys], *order)
-    bucketed = materialize(hot_rows_df.withColumn("_bucket", F.spark_partition_id()), "rank-buckets")
+    ranged = rows.repartitionByRange(*[F.col(k) for k in keys], *order)
+    bucketed = materialize(ranged.withColumn("_bucket", F.spark_partition_id()), "rank-buckets")
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
         bucketed.groupBy(*keys, "_bucket")
@@ -45,10 +27,9 @@ def rank_within(
         .drop("_n")
     )
     inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
-    hot_part = (
+    return (
         bucketed.withColumn("_place", inside)
         .join(shift, [*keys, "_bucket"])
         .withColumn(name, (F.col("_shift") + F.col("_place")).cast("long"))
         .select(*rows.columns, name)
     )
-    return cold_part.select(*rows.columns, name).unionByName(hot_part)

@@ -20,48 +20,41 @@ from flowledger.functions.cron import (
 from flowledger.functions.text import clean
 from flowledger.functions.times import minute_of
 from flowledger.operators.latest import capped_occurrences
-from flowledger.operators.ranking import HOT_ROWS, rank_within
+from flowledger.operators.ranking import rank_within
+from flowledger.session import materialize
 
 KEYS = ("job_key", "schedule_key")
 # Timeline markers per schedule, due ticks per scheduler tick, seconds between ticks.
 MAX_MARKERS = 720
 MAX_DUE = 24
 TICK_SECONDS = 15
-# A schedule without a tick in five years has no next run.
+# A schedule without a tick in five years has no next run: a parameter of ``next_ticks``.
 HORIZON_DAYS = 5 * 366
-# Matching local dates looked at for the next run. The first may already be over, and one can be
-# without a tick when its minutes fall into a clock change; a schedule bound to one calendar date
-# matches at most six dates in the horizon, any other has a normal date among the first nine.
-NEXT_RUN_DAYS = 10
+# The next run is looked for in windows of so many days, each only for schedules without a tick so far.
+NEXT_RUN_WINDOWS = (1, 31, 366, HORIZON_DAYS)
 
 _DAY = "interval 1 day"
 _MINUTE = "interval 1 minute"
 
 
-def _tasks(rows: DataFrame) -> int:
-    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def occurrences(
     schedules: DataFrame,
     start: Column,
     end: Column,
     keys: Sequence[str] = KEYS,
     cap: int | None = None,
-    max_days: int | None = None,
 ) -> DataFrame:
     """Minutes in (start, end] at which each schedule fires, as (keys, tick).
 
     Malformed expressions give no ticks; unknown zones count as UTC. Each UTC minute is tested by its
     local time, so an hour skipped by a clock change gives nothing and a repeated hour fires twice.
     Days are kept first by their local date, then hours, then minutes; the kept days are spread over
-    all tasks before they are expanded, so one busy schedule does not fill one task. ``max_days``
-    looks only at the first matching dates.
+    all tasks before they are expanded, so one busy schedule does not fill one task.
     """
     keys = list(keys)
     first = minute_of(start) + F.expr(_MINUTE)
     last = minute_of(end)
-    bounded = schedules.repartition(_tasks(schedules), *keys).select(
+    bounded = schedules.repartition(*keys).select(
         *keys,
         cron_spec(F.col("cron_expr")).alias("spec"),
         zone_or_utc(F.col("timezone")).alias("zone"),
@@ -72,14 +65,12 @@ def occurrences(
     # Matching dates of the local calendar, then the UTC days they can overlap.
     local_first, local_last = (F.to_date(local_time(F.col(c), F.col("zone"))) for c in ("first", "last"))
     dates = F.filter(F.sequence(local_first, local_last, F.expr(_DAY)), lambda d: day_matches(F.col("spec"), d))
-    if max_days is not None:
-        dates = F.slice(dates, 1, max_days)
     around = F.transform(dates, lambda d: F.array(F.date_sub(d, 1), d, F.date_add(d, 1)))
     days = F.filter(
         F.array_distinct(F.flatten(around)), lambda d: d.between(F.to_date("first"), F.to_date("last"))
     )
     usable = F.when(F.col("spec.valid") & (F.col("first") <= F.col("last")), days)
-    by_day = bounded.withColumn("day", F.explode(usable)).repartition(_tasks(schedules), *keys, "day")
+    by_day = bounded.withColumn("day", F.explode(usable)).repartition(*keys, "day")
     by_day = by_day.withColumn("day", F.col("day").cast("timestamp"))
 
     hours = by_day.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn(
@@ -117,11 +108,23 @@ def occurrences(
     return ticks if cap is None else capped_occurrences(ticks, keys, cap)
 
 
-def next_ticks(schedules: DataFrame, after: Column, keys: Sequence[str] = KEYS) -> DataFrame:
-    """First tick of each schedule later than ``after``; no row where there is none."""
-    horizon = after + F.make_dt_interval(days=F.lit(HORIZON_DAYS))
-    ticks = occurrences(schedules, after, horizon, keys, max_days=NEXT_RUN_DAYS)
-    return ticks.groupBy(*keys).agg(F.min("tick").alias("next_run_at"))
+def next_ticks(
+    schedules: DataFrame, after: Column, keys: Sequence[str] = KEYS, windows: Sequence[int] = NEXT_RUN_WINDOWS
+) -> DataFrame:
+    """First tick of each schedule later than ``after``; no row where there is none in the last window.
+
+    ``windows`` are days after ``after``, ascending. What a window finds is written, and the next one takes
+    only the schedules that are left.
+    """
+    left = schedules.withColumn("_after", after).withColumn("_from", F.col("_after"))
+    found = None
+    for days in windows:
+        until = F.col("_after") + F.make_dt_interval(days=F.lit(days))
+        ticks = occurrences(left, F.col("_from"), until, keys).groupBy(*keys).agg(F.min("tick").alias("next_run_at"))
+        first = materialize(ticks, "next-runs")
+        found = first if found is None else found.unionByName(first)
+        left = left.join(first.select(*keys), list(keys), "left_anti").withColumn("_from", until)
+    return found
 
 
 def schedule_errors(schedules: DataFrame) -> DataFrame:
@@ -161,7 +164,7 @@ def next_runs(schedules: DataFrame, due: DataFrame, now: Column, max_due: int =
     return next_ticks(known, F.col("after"))
 
 
-def resolved_keys(declared: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def resolved_keys(declared: DataFrame) -> DataFrame:
     """Schedule keys in declaration order: the explicit key, or the inferred one made unique.
 
     ``declared`` is (job_key, schedule_key, cron_expr, sort_index, ...). Equal inferred keys become
@@ -187,7 +190,7 @@ def resolved_keys(declared: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
     free = rows.join(clashing, "job_key", "left_anti")
     ranked = rank_within(
-        free.filter("explicit = ''"), ["job_key", "base"], [F.col("sort_index").asc()], "place", hot_rows
+        free.filter("explicit = ''"), ["job_key", "base"], [F.col("sort_index").asc()], "place"
     ).withColumn(
         "schedule_key",
         F.when(F.col("place") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("place"))),
@@ -196,7 +199,7 @@ def resolved_keys(declared: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
     tangled = (
         rows.join(clashing, "job_key", "left_semi")
-        .repartition(_tasks(rows), "job_key")
+        .repartition("job_key")
         .sortWithinPartitions("job_key", "sort_index")
     )
     walked = tangled.mapInPandas(_walk_keys, tangled.schema)

@@ -111,9 +111,12 @@ def upsert(
     return both.select(*[F.col(c) if c in keys else pick(c).alias(c) for c in columns])
 
 
-def insert_if_absent(base: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    """Rows that win: first per key among ``rows``, and no such key in ``base``."""
-    first = top_per_group(rows, keys, list(order), 1).drop("rank") if order else rows.dropDuplicates(list(keys))
+def insert_if_absent(base: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows that win: first per key among ``rows`` by ``order``, and no such key in ``base``.
+
+    The order decides which row a retry keeps, so it has to be given.
+    """
+    first = top_per_group(rows, keys, list(order), 1).drop("rank")
     return first.join(base.select(*keys), list(keys), "left_anti")
 
 

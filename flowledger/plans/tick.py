@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,20 +19,24 @@ CLAIM_KEY = ("job_key", "schedule_key", "scheduled_for")
 
 @dataclass
 class Tick:
-    state: DataFrame
-    """New schedule state; state of inactive schedules is gone."""
     claims: DataFrame
     """Earlier claims of schedules that are still active."""
     won: DataFrame
     """Claims won by this tick."""
     queued: QueuedRuns
     errors: DataFrame
+    find_state: Callable[[], DataFrame]
+
+    @cached_property
+    def state(self) -> DataFrame:
+        """New schedule state; state of inactive schedules is gone. Searched for when it is first asked for."""
+        return self.find_state()
 
 
 def claim(due: DataFrame, claims: DataFrame) -> DataFrame:
-    """Due ticks nobody has claimed, with the label and key of the run they start."""
+    """Due ticks nobody has claimed, with the label and key of the run they start. Each column is part of the key."""
     wanted = due.select(*KEYS, F.col("tick").alias("scheduled_for"))
-    won = insert_if_absent(claims, wanted, CLAIM_KEY)
+    won = insert_if_absent(claims, wanted, CLAIM_KEY, [F.col("scheduled_for")])
     return won.withColumns(
         {
             "triggered_by": scheduler_trigger(F.col("schedule_key")),
@@ -39,6 +45,19 @@ def claim(due: DataFrame, claims: DataFrame) -> DataFrame:
     )
 
 
+def startable_jobs(jobs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """job_key of the jobs a run can be created for: known ones that have steps."""
+    known = jobs.select(F.col("id").alias("job_id"), "job_key")
+    return known.join(nodes.select("job_id"), "job_id", "left_semi").select("job_key").distinct()
+
+
+def start_errors(schedules: DataFrame, due: DataFrame, startable: DataFrame) -> DataFrame:
+    """Due schedules whose run can't be created, with the reason."""
+    blocked = due.select(*KEYS).distinct().join(startable, "job_key", "left_anti")
+    error = F.concat(F.lit("no run can be created for job "), F.col("job_key"))
+    return schedules.join(blocked, list(KEYS), "left_semi").withColumn("error", error)
+
+
 def scheduled_runs(won: DataFrame, jobs: DataFrame, nodes: DataFrame, now: Column, scheduler: str) -> QueuedRuns:
     """Queued runs of the claims won."""
     names = jobs.select(F.col("id").alias("job_id"), "job_key")
@@ -98,11 +117,13 @@ def scheduler_tick(
     kept_state = only_active(state, schedules)
     kept_claims = only_active(claims, schedules)
     due = due_ticks(schedules, kept_state, now, tick_seconds, max_due)
-    won = claim(due, kept_claims)
+    # A claim is for good, so it is only made for a run that can start; others are errors and stay due.
+    startable = startable_jobs(jobs, nodes)
+    won = claim(due.join(startable, "job_key", "left_semi"), kept_claims)
     return Tick(
-        state=next_state(kept_state, schedules, due, won, now, max_due),
         claims=kept_claims,
         won=won,
         queued=scheduled_runs(won, jobs, nodes, now, scheduler),
-        errors=schedule_errors(schedules),
+        errors=schedule_errors(schedules).unionByName(start_errors(schedules, due, startable)),
+        find_state=lambda: next_state(kept_state, schedules, due, won, now, max_due),
     )

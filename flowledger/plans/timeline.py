@@ -15,9 +15,18 @@ def _run_time() -> Column:
     return timeline_time(F.col("triggered_by"), F.col("started_at"), F.col("queued_at"), F.col("completed_at"))
 
 
-def occupied_minutes(runs: DataFrame) -> DataFrame:
-    """Minutes in which a job has a run."""
-    return runs.select("job_key", minute_of(_run_time()).alias("minute")).filter("minute is not null")
+def occupied_minutes(runs: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Minutes in which a job has a run, of those in [start, end] where given.
+
+    The time of a run is the first of three columns that is set, so each bound is put to the scan as a
+    condition on those columns; the exact one follows.
+    """
+    if start is not None and end is not None:
+        first, last = minute_of(start), minute_of(end) + F.expr("interval 1 minute")
+        inside = lambda c: F.col(c).between(first, last)
+        runs = runs.filter(inside("started_at") | inside("queued_at") | inside("completed_at"))
+    minutes = runs.select("job_key", minute_of(_run_time()).alias("minute")).filter("minute is not null")
+    return minutes if start is None else minutes.filter(F.col("minute").between(minute_of(start), minute_of(end)))
 
 
 def run_artifacts(runs: DataFrame) -> DataFrame:
@@ -36,11 +45,12 @@ def run_artifacts(runs: DataFrame) -> DataFrame:
 
 
 def schedule_markers(
-    runs: DataFrame, schedules: DataFrame, now: Column, start: Column, end: Column, cap: int = MAX_MARKERS
+    runs: DataFrame, schedules: DataFrame, now: Column, start: Column, end: Column, cap: int | None = MAX_MARKERS
 ) -> DataFrame:
-    """Future ticks not covered by a run of the same job in the same minute. The cap counts covered ones too."""
-    ticks = occurrences(schedules, F.greatest(now, start), end, cap=cap).withColumn("minute", F.col("tick"))
-    free = unoccupied_ticks(ticks, occupied_minutes(runs))
+    """Future ticks not covered by a run of the same job in the same minute. The cap, None for all, counts covered ones too."""
+    first = F.greatest(now, start)
+    ticks = occurrences(schedules, first, end, cap=cap).withColumn("minute", F.col("tick"))
+    free = unoccupied_ticks(ticks, occupied_minutes(runs, first, end))
     return free.select(
         F.concat_ws("-", F.lit("schedule"), "job_key", "schedule_key", millis(F.col("tick")).cast("string")).alias("id"),
         F.lit("schedule").alias("kind"),
@@ -55,8 +65,7 @@ def schedule_markers(
 
 
 def timeline(
-    runs: DataFrame, schedules: DataFrame, now: Column, start: Column, end: Column, cap: int = MAX_MARKERS
+    runs: DataFrame, schedules: DataFrame, now: Column, start: Column, end: Column, cap: int | None = MAX_MARKERS
 ) -> DataFrame:
-    """Run artifacts and schedule markers by time, then id. ``runs`` carries job_key."""
-    both = run_artifacts(runs).unionByName(schedule_markers(runs, schedules, now, start, end, cap))
-    return both.orderBy("ts", "id")
+    """Run artifacts and schedule markers; a page sorts them by time, then id. ``runs`` carries job_key."""
+    return run_artifacts(runs).unionByName(schedule_markers(runs, schedules, now, start, end, cap))

@@ -195,7 +195,7 @@ def test_a_scheduled_run_replaces_its_marker(spark):
         schedule(spark, "*/5 * * * *"),
         *[times.literal_time(f"2026-03-01 {t}") for t in ("10:34:00", "10:30:00", "10:45:00")],
     )
-    assert [(r.ts.strftime("%M"), r.state) for r in found.collect()] == [
+    assert [(r.ts.strftime("%M"), r.state) for r in found.orderBy("ts", "id").collect()] == [
         ("35", "succeeded"), ("40", "running"), ("45", "will_run"),
     ]
 
@@ -322,10 +322,10 @@ OUTPUT = "job_id long, step_key string, type_name string"
     [
         ("m.T", 0, 0, "input field F (m.T) requires exactly 1 provider, found 0"),
         ("m.T", 1, 1, None),
-        ("m.T", 2, 0, "input field F (m.T) is ambiguous: expected exactly 1 provider, found 2 (p0, p1)"),
+        ("m.T", 2, 0, "input field F (m.T) is ambiguous: expected exactly 1 provider, found 2"),
         ("*m.T", 0, 0, None),
         ("*m.T", 1, 1, None),
-        ("*m.T", 2, 0, "input field F (m.T) is ambiguous: pointer input allows 0 or 1 provider, found 2 (p0, p1)"),
+        ("*m.T", 2, 0, "input field F (m.T) is ambiguous: pointer input allows 0 or 1 provider, found 2"),
         ("[]m.T", 0, 0, None),
         ("[]m.T", 3, 3, None),
         ("[]string", 0, 0, "input field F: unsupported slice input type []string: expected []T where T is a struct"),
@@ -347,12 +347,12 @@ def test_slice_providers_follow_execution_order(spark):
     # a_source has to wait for root, so the root z_source could still come after it by key alone.
     order = graph.graph_order(outputs, edges)
     got = contracts.ordered_providers(bound, order).filter("step_key = 'sink'")
-    assert [r.provider for r in got.collect()] == ["a_source", "z_source"]
+    assert [r.provider for r in got.orderBy("provider_index").collect()] == ["a_source", "z_source"]
     later = outputs.filter("step_key <> 'root'").unionByName(spark.createDataFrame([(1, "zz_root", "m.Z")], OUTPUT))
     bound = contracts.providers(fields, later)
     edges = bound.select("job_id", F.col("provider").alias("from_step_key"), F.col("step_key").alias("to_step_key"))
     got = contracts.ordered_providers(bound, graph.graph_order(later, edges)).filter("step_key = 'sink'")
-    assert [r.provider for r in got.collect()] == ["z_source", "a_source"]
+    assert [r.provider for r in got.orderBy("provider_index").collect()] == ["z_source", "a_source"]
 
 
 def test_typed_step_checks_both_ends(spark):

@@ -7,7 +7,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from flowledger.functions import times
+from flowledger.functions import cron, times
 from flowledger.operators import contracts, content, counts, execution, filters, graph, schedules
 from flowledger.operators.ranking import rank_within
 from flowledger.session import scratch_root
@@ -26,9 +26,12 @@ def test_hot_groups_rank_like_others(spark):
     places = rng.sample(range(100_000), 3000)
     data = [("hot" if i % 3 else f"g{i % 50}", p) for i, p in enumerate(places)]
     rows = spark.createDataFrame(data, "g string, v long")
-    plain = rank_within(rows, ["g"], [F.col("v").asc()])
-    split = rank_within(rows, ["g"], [F.col("v").asc()], hot_rows=100)
-    assert table(plain) == table(split)
+    got = rank_within(rows, ["g"], [F.col("v").asc()])
+    want, seen = [], {}
+    for g, v in sorted(data):
+        seen[g] = seen.get(g, 0) + 1
+        want.append((g, v, seen[g]))
+    assert table(got) == want
 
 
 def random_graphs(rng, jobs):
@@ -48,14 +51,20 @@ def random_graphs(rng, jobs):
     return nodes, edges
 
 
-def test_graph_order_in_rounds_equals_order_in_one_task(spark):
+def test_graph_order_takes_the_smallest_ready_key(spark):
     nodes, edges = random_graphs(random.Random(11), 60)
-    nodes, edges = spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
-    local = graph.graph_order(nodes, edges)
-    rounds = graph.graph_order(nodes, edges, local_size=0, hot_rows=5)
-    mixed = graph.graph_order(nodes, edges, local_size=20)
-    assert table(local) == table(rounds) == table(mixed)
-    assert not graph.cyclic_jobs(local).isEmpty()
+    order = graph.graph_order(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES))
+    got = {}
+    for r in order.orderBy("job_id", "topo_index").collect():
+        got.setdefault(r.job_id, []).append((r.step_key, r.stuck))
+    for job, steps in got.items():
+        names = {n for j, n in nodes if j == job}
+        needs = {n: {a for j, a, b in edges if j == job and b == n and a in names} for n in names}
+        done = []
+        while ready := sorted(n for n in names.difference(done) if needs[n] <= set(done)):
+            done.append(ready[0])
+        assert steps == [(n, False) for n in done] + [(n, True) for n in sorted(names.difference(done))]
+    assert not graph.cyclic_jobs(order).isEmpty()
 
 
 def test_order_of_literal_graphs(spark):
@@ -109,9 +118,7 @@ def test_skips_travel_down_deep_chains(spark):
         "run_id long, step_key string, status string",
     )
     want = [(1, f"n{i:03d}") for i in range(1, 12)]
-    for rounds in (2, 100):
-        got = execution.skipped_steps(steps, edges, edge_rounds=rounds).select("run_id", "step_key")
-        assert table(got) == want
+    assert table(execution.skipped_steps(steps, edges).select("run_id", "step_key")) == want
 
 
 def test_schedule_keys_that_collide_across_names(spark):
@@ -135,12 +142,12 @@ def test_schedule_keys_that_collide_across_names(spark):
     assert table(got) == sorted(want)
 
 
-def test_hot_schedule_lists_are_numbered_in_buckets(spark):
+def test_long_schedule_lists_are_numbered(spark):
     rows = spark.range(500).select(
         F.lit("j").alias("job_key"), F.lit("").alias("schedule_key"), F.lit("0 * * * *").alias("cron_expr"),
         F.col("id").alias("sort_index"),
     )
-    got = schedules.resolved_keys(rows, hot_rows=50).orderBy("sort_index").select("schedule_key")
+    got = schedules.resolved_keys(rows).orderBy("sort_index").select("schedule_key")
     assert [r[0] for r in got.collect()] == ["hourly"] + [f"hourly_{i}" for i in range(2, 501)]
 
 
@@ -218,14 +225,33 @@ def test_trailing_day_against_brute_force(spark):
         assert got[i] == (len(near), sum(near))
 
 
-def test_ambiguous_field_with_very_many_providers(spark, monkeypatch):
-    monkeypatch.setattr(contracts, "LISTED_CANDIDATES", 10)
+def test_ambiguous_field_with_very_many_providers(spark):
     fields = spark.createDataFrame(
         [(1, "me", 1, "F", "m.T")], "job_id long, step_key string, field_pos long, field_name string, field_type string"
     )
-    outputs = spark.createDataFrame([(1, f"p{i}", "m.T") for i in range(50)], "job_id long, step_key string, type_name string")
+    outputs = spark.createDataFrame([(1, f"p{i}", "m.T") for i in range(2000)] + [(1, "me", "m.T")], "job_id long, step_key string, type_name string")
     (message,) = contracts.contract_errors(fields, outputs).select("message").first()
-    assert message == "input field F (m.T) is ambiguous: expected exactly 1 provider, found 50"
+    assert message == "input field F (m.T) is ambiguous: expected exactly 1 provider, found 2000"
+    assert {r.candidate for r in contracts.ambiguous_candidates(fields, outputs).collect()} == {f"p{i}" for i in range(2000)}
+
+
+def test_next_run_far_away(spark):
+    rows = spark.createDataFrame(
+        [("j", "leap", "0 0 29 2 *", "UTC"), ("j", "daily", "30 6 * * *", "UTC"), ("j", "never", "0 0 31 2 *", "UTC")],
+        "job_key string, schedule_key string, cron_expr string, timezone string",
+    )
+    got = {r.schedule_key: r.next_run_at for r in schedules.next_ticks(rows, times.literal_time("2096-03-01 00:00:00")).collect()}
+    assert got == {"daily": dt.datetime(2096, 3, 1, 6, 30)}
+    far = (1, 366, 9 * 366)
+    got = {r.schedule_key: r.next_run_at for r in schedules.next_ticks(rows, times.literal_time("2096-03-01 00:00:00"), windows=far).collect()}
+    assert got == {"daily": dt.datetime(2096, 3, 1, 6, 30), "leap": dt.datetime(2104, 2, 29)}
+
+
+def test_offsets_and_abbreviations_are_no_zones(spark):
+    names = ["Europe/Berlin", "UTC", "", "Japan", "+05:30", "PST", "GMT+5", "Mars/Olympus", "utc"]
+    rows = spark.createDataFrame([(n,) for n in names], "z string")
+    got = {r.z: r.known for r in rows.select("z", cron.zone_known(F.col("z")).alias("known")).collect()}
+    assert [n for n in names if got[n]] == ["Europe/Berlin", "UTC", "", "Japan"]
 
 
 def test_blank_needles_cross_texts_only_where_they_touch(spark):
