@@ -209,7 +209,7 @@ query(
     "K6_first_claims",
     """select distinct 'job_' || (user_id % 7) as job_key, event_type as schedule_key,
               cast(date_trunc('day', ts) as timestamp) as scheduled_for from @events""",
-)(lambda h: _appended(h, ticks.first_claims(_as_stream(_tick_arrivals(h)))))
+)(lambda h: _appended(h, ticks.first_claims(_as_stream(_tick_arrivals(h)), keep_for="60 days")))
 query(
     "K7_on_time_ticks",
     """select id, created_at as scheduled_for from @run_events
@@ -226,7 +226,10 @@ query(
 )
 query(
     "K8_heartbeats",
-    f"""select scheduler_key, max(last_heartbeat_at) as last_heartbeat_at, arg_max(last_error, last_heartbeat_at) as last_error,
+    f"""select scheduler_key, max(last_heartbeat_at) as last_heartbeat_at,
+               arg_max_null(last_tick_started_at, last_heartbeat_at) as last_tick_started_at,
+               arg_max_null(last_tick_completed_at, last_heartbeat_at) as last_tick_completed_at,
+               arg_max_null(last_error, last_heartbeat_at) as last_error,
                cast(epoch(timestamp '{NOW}') as bigint) - cast(floor(epoch(max(last_heartbeat_at))) as bigint) as age_seconds
         from @heartbeats group by 1""",
 )(

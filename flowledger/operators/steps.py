@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -65,11 +65,13 @@ def publish_metadata(rows: DataFrame, metadata: Column) -> DataFrame:
 def capture_failures(rows: DataFrame, step: str, fn: Callable[[dict], dict]) -> DataFrame:
     """Apply ``fn`` to each row; a failing row gives its message and the others go on.
 
-    Adds status, error_message and output_json. Rows stream through in Arrow batches.
+    Adds status, error_message and output_json. Rows stream through in Arrow batches, whose values keep
+    their types: a whole number stays one where others of its column are absent.
     """
-    schema = StructType([*rows.schema.fields]).add("status", "string").add("error_message", "string").add(
-        "output_json", "string"
-    )
+    added = ("status", "error_message", "output_json")
+    schema = StructType([*rows.schema.fields])
+    for name in added:
+        schema = schema.add(name, "string")
 
     def one(record: dict) -> tuple[str, str, str]:
         try:
@@ -77,11 +79,10 @@ def capture_failures(rows: DataFrame, step: str, fn: Callable[[dict], dict]) ->
         except Exception as error:
             return "failed", f"panic in step {step}: {error}", "{}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [one(record) for record in batch.to_dict("records")]
-            yield batch.assign(
-                status=[d[0] for d in done], error_message=[d[1] for d in done], output_json=[d[2] for d in done]
-            )
+            done = [one(record) for record in batch.to_pylist()]
+            texts = [pa.array([d[i] for d in done], pa.string()) for i in range(len(added))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *texts], names=[*batch.schema.names, *added])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -186,6 +186,8 @@ VIEWS: dict[str, str] = {
     """,
     "heartbeats": """
         select concat('scheduler_', user_id % 5) as scheduler_key, ts(ts) as last_heartbeat_at,
+               case when event_id % 3 <> 0 then ts(ts) end as last_tick_started_at,
+               case when event_type <> 'error' then ts(ts) end as last_tick_completed_at,
                case when event_type = 'error' then concat('tick ', event_id, ' failed') else '' end as last_error
         from @events
     """,

@@ -72,11 +72,12 @@ def latest_metadata(published: DataFrame) -> DataFrame:
 
 
 def latest_heartbeats(heartbeats: DataFrame) -> DataFrame:
-    """Newest heartbeat of every scheduler."""
-    return heartbeats.groupBy("scheduler_key").agg(
-        F.max("last_heartbeat_at").alias("last_heartbeat_at"),
-        F.max_by("last_error", "last_heartbeat_at").alias("last_error"),
+    """Newest heartbeat of every scheduler, whole: it replaces all fields of the one before."""
+    fields = ["last_tick_started_at", "last_tick_completed_at", "last_error"]
+    newest = heartbeats.groupBy("scheduler_key").agg(
+        F.max("last_heartbeat_at").alias("last_heartbeat_at"), F.max_by(F.struct(*fields), "last_heartbeat_at").alias("newest")
     )
+    return newest.select("scheduler_key", "last_heartbeat_at", "newest.*")
 
 
 def heartbeat_age(latest: DataFrame, now: Column) -> DataFrame:
