@@ -25,8 +25,10 @@ HEADLINE = (
     "I8_topological_order",
     "I14_reachable_pairs",
     "I16_skipped_steps",
+    "I19_step_inputs",
     "J4_occurrences",
     "J9_timeline",
+    "K2_fanned_out_runs",
     "M4_index_records",
     "M8_trailing_day_features",
 )

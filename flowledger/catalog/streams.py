@@ -63,7 +63,20 @@ query("A3_stream_source", "select id, queue_id, partition_key from @queue_items"
 )
 
 
+#: The ingestion of a folder runs once in a session; its tables are read from there.
+_ingestions: dict[tuple[str, str], sinks.BatchSink] = {}
+
+
 def _ingested(h: History, table: str) -> DataFrame:
+    key = (h.spark.sparkContext.applicationId, h.folder)
+    if key not in _ingestions:
+        _ingestions[key] = _ingest(h)
+    sink = _ingestions[key]
+    schema = h.spark.read.parquet(f"{sink.folder}/{table}/batch=0").schema
+    return sink.read(h.spark, table, schema).drop("batch")
+
+
+def _ingest(h: History) -> sinks.BatchSink:
     arrivals = _streamed(h).queue_items.select(
         "queue_id",
         F.concat(F.lit("q"), "queue_id").alias("queue_key"),
@@ -78,8 +91,7 @@ def _ingested(h: History, table: str) -> DataFrame:
         sink, F.col("raw_key"), literal_time(NOW), F.col("source_key").cast("long"), h.queue_jobs, h.job_nodes
     )
     _drain(h, arrivals, on_batch)
-    schema = h.spark.read.parquet(f"{sink.folder}/{table}/batch=0").schema
-    return sink.read(h.spark, table, schema).drop("batch")
+    return sink
 
 
 _ITEMS_SQL = f"""
@@ -118,6 +130,14 @@ query(
 query("K2_fanned_out_links", f"with {_RUNS_SQL} select queue_item_key, job_id, run_key from r")(
     lambda h: _ingested(h, "links")
 )
+query(
+    "K2_fanned_out_events",
+    f"""with {_RUNS_SQL}
+        select run_key, '' as step_key, 'run_queued' as event_type, 'info' as level, 'run queued' as message,
+               '{{"external_key":"' || external_key || '","parent_run_id":"0","partition_key":"' || partition_key
+               || '","queue_item_id":"' || id || '","queue_key":"' || queue_key
+               || '","rerun_step_key":"","triggered_by":"queue:' || queue_key || '"}}' as event_data_json from r""",
+)(lambda h: _ingested(h, "events"))
 query(
     "K2_fanned_out_steps",
     f"with {_RUNS_SQL} select r.run_key, n.step_key from r join @job_nodes n on n.job_id = r.job_id",

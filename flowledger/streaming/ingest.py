@@ -12,6 +12,7 @@ from flowledger.functions.text import clean
 from flowledger.operators.joins import fan_out_items
 from flowledger.operators.steps import split_by_partition_key
 from flowledger.operators.store import QueuedRuns, insert_queued_runs, stable_key
+from flowledger.session import materialize
 from flowledger.streaming.sinks import BatchSink
 
 
@@ -81,7 +82,11 @@ def fan_out(
 def ingest_batches(
     sink: BatchSink, key: Column, now: Column, item_id: Column, queue_jobs: DataFrame, nodes: DataFrame
 ) -> Callable[[DataFrame, int], None]:
-    """Batch function of the whole ingestion: five tables and the rejects, one commit."""
+    """Batch function of the whole ingestion: five tables and the rejects, one commit.
+
+    The nodes of the queues' jobs are written once at the start, so no batch scans the whole node table.
+    """
+    nodes = materialize(nodes.join(queue_jobs.select("job_id").distinct(), "job_id", "left_semi"), "queue-nodes")
 
     def on_batch(arrivals: DataFrame, batch_id: int) -> None:
         arrivals.persist()
