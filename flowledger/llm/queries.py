@@ -54,7 +54,20 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-@query("op5_embedding_near_dedup")
+@query(
+    "op5_embedding_near_dedup",
+    """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+       ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0
+              AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+       p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+             WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+       r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+       n AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY 1),
+       c AS (SELECT a AS vec_id, min(b) AS low FROM r GROUP BY 1)
+       SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+              vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+       FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)""",
+)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -72,7 +85,7 @@ def _spans_sql() -> str:
         parts.append(
             f"SELECT row, doc_id, {rank} AS rank, '{rule.kind}' AS kind, whole, part, starts FROM (SELECT row, doc_id, "
             f"unnest(whole) AS whole, unnest(part) AS part, unnest(list_transform(range(1, len(whole) + 1), "
-            f"i -> list_sum(list_transform(between[1:i], x -> length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], x -> length(x))), 0))) AS starts "
+            f"lambda i: list_sum(list_transform(between[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0))) AS starts "
             f"FROM (SELECT row, doc_id, regexp_extract_all(text, '{p}') AS whole, regexp_extract_all(text, '{p}', {rule.group}) AS part, "
             f"string_split_regex(text, '{p}') AS between FROM docs WHERE regexp_matches(text, '{p}'))) WHERE length(part) >= {rule.least}"
         )
