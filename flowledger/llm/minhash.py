@@ -38,7 +38,7 @@ LEAST_AGREEMENT = 40
 #: Width of the table of document frequencies.
 WIDTH = 1 << 18
 #: Random triples the samples draw on; a multiply-shift hash per sample picks one for each shingle.
-POOL_BITS = 16
+POOL_BITS = 14
 
 SKETCH = "doc_id long, key1 long, key2 long, bands array<long>, samples binary"
 
@@ -94,26 +94,25 @@ class Sampler:
         self.beta = rng.random(size, dtype=np.float32)
         self.log_c = np.log(rng.gamma(2, 1, size)).astype(np.float32)
         self.inverse_r = 1 / self.r
+        self.offset = self.log_c - self.r
         self.factors = (rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
     def __call__(self, found: np.ndarray, weight: np.ndarray) -> np.ndarray:
         log_w = np.log(weight).astype(np.float32)
-        out = np.empty(SAMPLES, np.uint64)
+        chosen, steps = np.empty(SAMPLES, np.intp), np.empty(SAMPLES, np.float32)
         for lo in range(0, SAMPLES, 8):
-            at = ((found[None, :] * self.factors[lo : lo + 8, None]) >> np.uint64(64 - POOL_BITS)).astype(np.int64)
-            beta = self.beta[at]
+            at = ((found[None, :] * self.factors[lo : lo + 8, None]) >> np.uint64(64 - POOL_BITS)).astype(np.intp)
             step = self.inverse_r[at]
             step *= log_w
-            step += beta
+            value = self.beta[at]
+            step += value
             np.floor(step, out=step)
-            beta -= step
-            beta -= 1
-            beta *= self.r[at]
-            beta += self.log_c[at]  # log c - r (step - beta + 1)
-            best = beta.argmin(axis=1)
-            steps = step[np.arange(8), best].astype(np.int64).view(np.uint64)
-            out[lo : lo + 8] = mix(found[best] ^ mix(steps, 1), 2)
-        return out
+            value -= step
+            value *= self.r[at]
+            value += self.offset[at]  # log c - r (step - beta + 1)
+            best = chosen[lo : lo + 8] = value.argmin(axis=1)
+            steps[lo : lo + 8] = step[np.arange(8), best]
+        return mix(found[chosen] ^ mix(steps.astype(np.int64).view(np.uint64), 1), 2)
 
 
 def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
