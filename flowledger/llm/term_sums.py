@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,13 +74,12 @@ def _postings(described: list[pa.StructArray], numbers: list[np.ndarray], terms:
         yield pa.RecordBatch.from_arrays([pa.array(["t" + t for t in terms[lo:hi]], pa.string()), pa.array(np.full(hi - lo, block), pa.int64()), part], names=names)
 
 
-def postings(docs: DataFrame, read: Callable[[], tuple[Callable, Numbering]]) -> DataFrame:
+def postings(docs: DataFrame, read: Callable[[], tuple[Callable, Numbering]], block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows (key, block, at): key "d<block>" holds a block's documents, and "t<term>" the 16-bit positions
     in the block of the documents that hold the term.
 
-    ``read()`` is called once per task. It gives a function from an Arrow batch to (struct array that
-    describes its rows; per row its term-number tuples and its characters), and the numbering those
-    numbers refer to. The order of rows within an input partition must not change when a task is
+    ``read()`` is called once per task. It gives a function and the numbering of terms. The function yields, for an
+    Arrow batch, runs of its rows: (struct array that describes them; per row its term-number tuples and its characters). The order of rows within an input partition must not change when a task is
     repeated, which holds for file scans.
     """
 
@@ -105,17 +105,17 @@ def postings(docs: DataFrame, read: Callable[[], tuple[Callable, Numbering]]) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            start = 0
-            rows, each = parse(batch)
-            for i, (tuples, size) in enumerate(each):
-                numbers.append(np.fromiter((n for t in tuples for n in t), dtype=np.int32))
-                chars += size
-                if len(numbers) >= BLOCK_ROWS or chars >= BLOCK_CHARS:
-                    described.append(rows.slice(start, i + 1 - start))
-                    start = i + 1
-                    yield from flush()
-            if start < batch.num_rows:
-                described.append(rows.slice(start))
+            for rows, each in parse(batch):
+                start = 0
+                for i, (tuples, size) in enumerate(each):
+                    numbers.append(np.fromiter(chain.from_iterable(tuples), dtype=np.int32))
+                    chars += size
+                    if len(numbers) >= BLOCK_ROWS or chars >= block_chars:
+                        described.append(rows.slice(start, i + 1 - start))
+                        start = i + 1
+                        yield from flush()
+                if start < len(rows):
+                    described.append(rows.slice(start))
         if numbers:
             yield from flush()
 

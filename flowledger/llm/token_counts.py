@@ -81,7 +81,7 @@ def _reader(path: str):
             texts = batch.column("text")
             sizes = pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0)
             rows = pa.StructArray.from_arrays([batch.column("doc_id"), sizes], names=ROW.fieldNames())
-            return rows, ((map(numbering.__getitem__, chunks(t.as_py() or "")), n.as_py()) for t, n in zip(texts, sizes, strict=True))
+            yield rows, ((map(numbering.__getitem__, chunks(t.as_py() or "")), n.as_py()) for t, n in zip(texts, sizes, strict=True))
 
         return parse, numbering
 
