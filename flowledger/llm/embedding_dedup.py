@@ -33,7 +33,8 @@ from flowledger.session import discard, materialize
 THRESHOLD = 0.93
 NEIGHBOURS = 8
 TABLES, BITS, RUN = 4, 32, 64
-ROUNDS = 3
+#: Rounds at most, and the share of entries below which a round that brought so few is the last.
+ROUNDS, SETTLED = 3, 0.01
 #: Nodes whose links are found by brute force to measure recall, the share that must be found, and further attempts.
 AUDITED, TARGET, ATTEMPTS = 256, 0.99, 3
 #: Rows of a block of a large component.
@@ -77,11 +78,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _top(sims: np.ndarray, k: int, floor: np.ndarray | float = -2.0, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Places (row, column) of each row's k best entries, and of all that reach the threshold, above the row's floor."""
+def _top(sims: np.ndarray, k: int, floor: np.ndarray | float = -2.0) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of each row's k best entries above the row's floor."""
     sims = sims.copy()
     np.fill_diagonal(sims, -3)
-    best = sims >= threshold
+    best = np.zeros(sims.shape, bool)
     k = min(k, len(sims) - 1)
     if k > 0:
         at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
@@ -165,17 +166,20 @@ def _cut(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Itera
 
 
 def lists(edges: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """u, v, sim, rank: each node's list, as long as ``sizes`` (u, k) says and with every entry at the threshold."""
-    distinct = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    """u, v, sim, rank, k, entered: each node's list, as long as ``sizes`` (u, k) says and with every entry at the threshold.
+
+    ``edges`` says of each entry whether it is ``new``; one that is found again isn't.
+    """
+    distinct = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("entered"))
     ranked = distinct.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v")))
     k = F.coalesce("k", F.lit(NEIGHBOURS))
-    return ranked.join(sizes, "u", "left").filter((F.col("rank") <= k) | (F.col("sim") >= threshold)).select("u", "v", "sim", "rank", k.alias("k"))
+    return ranked.join(sizes, "u", "left").filter((F.col("rank") <= k) | (F.col("sim") >= threshold)).select("u", "v", "sim", "rank", k.alias("k"), "entered")
 
 
-def descend(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """One round: pairs among the neighbours of each node that beat the worst entry of a list."""
     floors = graph.groupBy("u").agg(F.min(F.when(F.col("rank") <= F.col("k"), F.col("sim"))).alias("worst"), F.count("*").alias("n"), F.max("k").alias("k"))
-    floors = floors.select(F.col("u").alias("node"), F.when(F.col("n") >= F.col("k"), F.least("worst", F.lit(threshold - 1e-12))).otherwise(-2.0).alias("floor"))
+    floors = floors.select(F.col("u").alias("node"), F.when(F.col("n") >= F.col("k"), F.col("worst")).otherwise(-2.0).alias("floor"))
     near = graph.filter("rank <= k").select(F.col("u").alias("at"), F.col("v").alias("node"), "sim", "k")
     back = graph.filter("rank <= k").select(F.col("v").alias("at"), F.col("u").alias("node"), "sim", "k")
     back = back.withColumn("nth", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("sim"), "node"))).filter(F.col("nth") <= 2 * NEIGHBOURS).drop("nth")
@@ -191,7 +195,7 @@ def descend(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
                 continue
             x, ids = _vectors(group.column("embedding").combine_chunks()), group.column("node").to_numpy()
             sims = x @ x.T
-            i, j = _top(sims, NEIGHBOURS, group.column("floor").to_numpy(), threshold)
+            i, j = _top(sims, NEIGHBOURS, group.column("floor").to_numpy())
             found.append((ids[i], ids[j], sims[i, j]))
             size += len(i)
             if size > 50_000:
@@ -203,8 +207,11 @@ def descend(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return held.repartition("at").sortWithinPartitions("at").mapInArrow(compare, EDGES).groupBy("u", "v").agg(F.max("sim").alias("sim"))
 
 
-def audit_recall(graph: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, audited: int = AUDITED) -> tuple[int, int]:
-    """(links found, links there are) of a bounded number of nodes, by brute force against all nodes of their label."""
+def audit_recall(parts: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, audited: int = AUDITED) -> tuple[int, int]:
+    """(links whose ends ``parts`` (node, component) joins, links there are) of a bounded number of nodes, by brute force.
+
+    A link within a component is counted exactly later, so a link is found when both ends are in one component.
+    """
     queries = nodes.orderBy(F.xxhash64("node")).limit(audited).select("node", "label", "embedding").toArrow()
     if not queries.num_rows:
         return 0, 0
@@ -228,36 +235,47 @@ def audit_recall(graph: DataFrame, nodes: DataFrame, threshold: float = THRESHOL
                     yield _edges(u[u != v], v[u != v], sims[i, j][u != v])
 
     there = nodes.select("node", "label", "embedding").mapInArrow(brute, EDGES)
-    found = there.join(graph.select("u", "v", F.lit(1).alias("hit")), ["u", "v"], "left").agg(F.count("hit"), F.count("*")).first()
+    ends = there.join(parts.toDF("u", "cu"), "u", "left").join(parts.toDF("v", "cv"), "v", "left")
+    found = ends.agg(F.count(F.when(F.col("cu") == F.col("cv"), 1)), F.count("*")).first()
     return found[0], found[1]
 
 
-def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The lists after the descent, written to the scratch folder."""
-    sizes = nodes.sparkSession.createDataFrame([], "u long, k int")
-    graph = materialize(lists(_both(projected(nodes, list(range(TABLES)))), sizes, threshold), "neighbours")
-    for attempt in range(ATTEMPTS + 1):
-        for _ in range(ROUNDS):
-            sizes = materialize(_list_sizes(graph, threshold), "list-sizes")
-            found = materialize(_both(descend(graph, nodes, threshold)), "new-neighbours")
-            then = materialize(lists(graph.select("u", "v", "sim").union(found), sizes, threshold), "neighbours")
-            entered = then.select("u", "v").join(graph.select("u", "v"), ["u", "v"], "left_anti").count()
-            total = then.count()
-            for old in (graph, found, sizes):
-                discard(old)
-            graph = then
-            if entered <= 0.01 * total:
-                break
-        hits, there = audit_recall(graph, nodes, threshold)
-        if hits >= TARGET * there:
+def refined(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The lists after rounds of the descent, written to the scratch folder."""
+    for _ in range(ROUNDS):
+        edges = _old(graph).union(_both(descend(graph, nodes), 1))
+        then = materialize(lists(edges, _list_sizes(graph, threshold), threshold), "neighbours")
+        entered, total = then.agg(F.coalesce(F.sum("entered"), F.lit(0)), F.count("*")).first()
+        discard(graph)
+        graph = then
+        if entered <= SETTLED * total:
             break
-        more = projected(nodes, list(range(TABLES * (attempt + 1), TABLES * (attempt + 2))))
-        graph = materialize(lists(_both(more).union(graph.select("u", "v", "sim")), _list_sizes(graph, threshold), threshold), "neighbours")
     return graph
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.union(edges.select("v", "u", "sim"))
+def connected(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """node, component of every node with a link: the descent, the links it gives, and the audit of their recall."""
+    sizes = nodes.sparkSession.createDataFrame([], "u long, k int")
+    graph = materialize(lists(_both(projected(nodes, list(range(TABLES))), 1), sizes, threshold), "neighbours")
+    for attempt in range(1, ATTEMPTS + 2):
+        graph = refined(graph, nodes, threshold)
+        links = graph.filter((F.col("sim") >= threshold) & (F.col("u") < F.col("v"))).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        parts = materialize(connected_components(links), "vector-components")
+        found, there = audit_recall(parts, nodes, threshold)
+        if found >= TARGET * there or attempt > ATTEMPTS:
+            return parts
+        more = projected(nodes, list(range(TABLES * attempt, TABLES * (attempt + 1))))
+        graph = materialize(lists(_both(more, 1).union(_old(graph)), _list_sizes(graph, threshold), threshold), "neighbours")
+    return parts
+
+
+def _both(edges: DataFrame, new: int) -> DataFrame:
+    flag = F.lit(new).alias("new")
+    return edges.select("u", "v", "sim", flag).union(edges.select("v", "u", "sim", flag))
+
+
+def _old(graph: DataFrame) -> DataFrame:
+    return graph.select("u", "v", "sim", F.lit(0).alias("new"))
 
 
 def _list_sizes(graph: DataFrame, threshold: float) -> DataFrame:
@@ -296,9 +314,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     """Per row: vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.col(label).alias("label"))
     nodes = materialize(classes(rows.filter(usable())), "vector-classes")
-    graph = neighbour_graph(nodes, threshold)
-    links = graph.filter((F.col("sim") >= threshold) & (F.col("u") < F.col("v"))).select(F.col("u").alias("a"), F.col("v").alias("b"))
-    parts = materialize(connected_components(links), "vector-components")
+    parts = connected(nodes, threshold)
     counted = component_links(nodes, parts, threshold)
     per_class = nodes.join(parts, "node", "left").join(counted, "node", "left").select(
         "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")
