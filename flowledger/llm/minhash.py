@@ -6,9 +6,9 @@
 2. Each text gets ``BANDS`` x ``ROWS`` samples: two texts share a sample with the probability of their weighted
    Jaccard similarity. Texts with equal words form a class, of which one document takes part further.
 3. Classes that agree in two bands meet in a bucket. In each bucket the most connected classes lead: those of
-   other groups are compared with them, first by samples and then exactly. What reaches the threshold is linked
-   and leads no more; a bucket has four times the leaders each round, until it holds one group or every class has
-   led or been linked. So each pair of a bucket is compared, but for those that links already connect.
+   other groups are compared with them, first by samples and then exactly. What a leader reached is linked and leads
+   after those that none reached; a bucket has four times the leaders each round, until what has not led is one
+   group. So each pair of a bucket is compared, but for those that links already connect.
 4. Links give the groups.
 
 Defined results: a null text, or one without words, is alone; fewer than five words are one shingle; a row
@@ -191,7 +191,7 @@ def links(rows: DataFrame, leads: DataFrame, idf: np.ndarray, threshold: float =
     spark = rows.sparkSession
     open_ = materialize(buckets(leads), "buckets")
     rank = open_.groupBy("node").agg(F.sum("members").alias("weight"))
-    now = materialize(open_.select("bucket", "node").join(rank, "node").withColumns({"free": F.lit(True), "label": F.col("node")}), "buckets")
+    now = materialize(open_.select("bucket", "node").join(rank, "node").withColumns({"reached": F.lit(False), "label": F.col("node")}), "buckets")
     discard(open_)
     nodes = materialize(now.select("node").distinct(), "bucket-nodes")
     samples = materialize(leads.join(nodes, "node", "left_semi").select("node", "samples"), "bucket-samples")
@@ -204,22 +204,22 @@ def links(rows: DataFrame, leads: DataFrame, idf: np.ndarray, threshold: float =
     found = [spark.createDataFrame([], "leader long, node long, sim double")]
     leading = 1
     while not now.isEmpty():
-        order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
-        leaders = now.filter("free").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= leading).select("bucket", F.col("node").alias("leader"), F.col("label").alias("leads"))
+        order = Window.partitionBy("bucket").orderBy("reached", F.desc("weight"), "node")
+        leaders = now.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= leading).select("bucket", F.col("node").alias("leader"), F.col("label").alias("leads"))
         leaders = materialize(leaders, "leaders")
         pairs = now.join(leaders, "bucket").filter("leads <> label").select("leader", "node").distinct()
         sims = materialize(compare(pairs, samples, texts, idf).filter(F.col("sim") >= threshold), "similar")
         found.append(sims)
-        # what has led is done; what reached a leader of its bucket leads no more, and stays while others are free
+        # what has led met all of its bucket and is done; what a leader of its bucket reached leads later
         led = leaders.select("bucket", F.col("leader").alias("node"))
-        reached = leaders.join(sims, "leader").select("bucket", "node").distinct().withColumn("hit", F.lit(True))
-        rest = now.drop("label").join(led, ["bucket", "node"], "left_anti").join(reached, ["bucket", "node"], "left")
-        rest = rest.select("bucket", "node", "weight", (F.col("free") & F.col("hit").isNull()).alias("free"))
-        # classes that links so far connect need no comparison, so a bucket of one group is done
+        hits = leaders.join(sims, "leader").select("bucket", "node").distinct().withColumn("hit", F.lit(True))
+        rest = now.drop("label").join(led, ["bucket", "node"], "left_anti").join(hits, ["bucket", "node"], "left")
+        rest = rest.select("bucket", "node", "weight", (F.col("reached") | F.col("hit").isNotNull()).alias("reached"))
+        # classes that links so far connect need no comparison, so a bucket is done when the rest of it is one group
         group = connected_components(_union(found).select(F.col("leader").alias("a"), F.col("node").alias("b")))
         rest = rest.join(materialize(group.toDF("node", "label"), "groups"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        state = rest.groupBy("bucket").agg(F.bool_or("free").alias("free"), F.min("label").alias("low"), F.max("label").alias("high"))
-        then = materialize(rest.join(state.filter("free and low <> high").select("bucket"), "bucket", "left_semi"), "buckets")
+        state = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        then = materialize(rest.join(state.filter("low <> high").select("bucket"), "bucket", "left_semi"), "buckets")
         discard(now)
         now, leading = then, leading * LEADERS_GROW
     return _union(found).select(F.col("leader").alias("a"), F.col("node").alias("b"))

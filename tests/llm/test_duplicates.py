@@ -89,6 +89,17 @@ def test_text_groups_equal_brute_force(spark, source):
     )
 
 
+def test_classes_that_different_leaders_reached_are_compared(spark):
+    """A chain H1-B-C-H2 of which only neighbours are similar; both ends lead before B and C."""
+    chain = lambda at: " ".join(f"word{i}" for i in range(8 * at, 8 * at + 100))
+    other = lambda name: " ".join(f"{name}{i}" for i in range(100))
+    texts = {1: other("z"), 2: chain(0), 3: chain(3), 4: other("y"), 5: other("x"), 6: chain(1), 7: chain(2)}
+    leads = spark.createDataFrame([(n, [1, 2], bytes(2 * minhash.SAMPLES)) for n in texts], "node long, bands array<long>, samples binary")
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = [(r.a, r.b) for r in minhash.links(rows, leads, np.ones(minhash.WIDTH)).collect()]
+    assert groups(found, texts) == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5, 6: 2, 7: 2}
+
+
 def test_deduplicate_leaves_one_of_each_group(spark):
     docs = documents(spark)
     want = plain_groups([(r.doc_id, r.text) for r in docs.collect()])
