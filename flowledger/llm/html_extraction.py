@@ -1,8 +1,8 @@
 """Main text of web pages with a site style tree.
 
 The pages of a host are merged into one tree: a node is the path of (tag, class, id) from the root. For
-each node it is counted, over the host's pages, which child layouts (presentation) and which texts
-(content) occur. The entropy of those counts, with the number of occurrences as base, is the node's
+each node it is counted, over the host's distinct pages, which child layouts (presentation) and which texts
+(content) occur; a page that a host repeats counts once, so copies don't make an article template. The entropy of those counts, with the number of occurrences as base, is the node's
 importance: a branch that always looks and reads the same tells nothing and is template. From each page
 the branches of low importance are removed, along with those whose tag, role or class names a part that
 is no article text.
@@ -13,7 +13,7 @@ the article itself stays, however often a site repeats it.
 
 Defined results: a null or empty page has an empty text; markup that is not closed runs to the end of
 the element around it; a null or odd URL belongs to the host "", whose pages are one site; repeated rows
-give a row each and count each; further columns are ignored; an empty table gives an empty result.
+give a row each and count once; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowledger.llm.id_filter import listed, unlisted
 from flowledger.session import materialize
 
 #: A branch is template when a host has it at least so often and its importance is below the threshold.
@@ -239,9 +240,17 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from out()
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """host, html of each distinct page of a host. Only pages whose hash occurs again are shuffled."""
+    hashed = pages.select("host", "html", F.xxhash64("host", "html").alias("page"))
+    again = materialize(hashed.groupBy("page").count().filter("count > 1").select("page"), "repeated-pages")
+    copies = listed(hashed, again, "page").dropDuplicates(["page", "host", "html"])
+    return unlisted(hashed, again, "page").unionByName(copies).select("host", "html")
+
+
 def node_importance(pages: DataFrame) -> DataFrame:
     """Per (host, node): seen, and its importance, the larger of both entropies on a scale from 0 to 1."""
-    counted = pages.mapInArrow(_count_features, "host string, node long, kind string, key long, n long")
+    counted = distinct_pages(pages).mapInArrow(_count_features, "host string, node long, kind string, key long, n long")
     by_key = counted.groupBy("host", "node", "kind", "key").agg(F.sum("n").alias("n"))
     by_kind = by_key.groupBy("host", "node", "kind").agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.log("n")).alias("inner"))
     entropy = F.when(F.col("seen") > 1, (F.log("seen") - F.col("inner") / F.col("seen")) / F.log("seen")).otherwise(1.0)

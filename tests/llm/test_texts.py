@@ -96,6 +96,16 @@ def test_a_branch_that_always_reads_the_same_goes(spark):
     assert html_extraction.main_text(pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<html><body><main><div class='post'><p>{}</p></div></main></body></html>"
+    rows = [(i, "https://five.example/", page.format("the only story")) for i in range(5)]
+    rows += [(100 + i, "https://many.example/", page.format("a story often told")) for i in range(990)]
+    rows += [(2000 + i, "https://many.example/", page.format(f"story {i} tells {i * i}")) for i in range(10)]
+    got = {r.page_id: r.text for r in html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "the only story" for i in range(5)) and all(got[100 + i] == "a story often told" for i in range(990))
+    assert [got[2000 + i] for i in range(10)] == [f"story {i} tells {i * i}" for i in range(10)]
+
+
 # -- archives ----------------------------------------------------------------------------------------
 
 PAGES = [(7, "u\r\nx", None), (1, None, "x" * 100), (2, "u", "x" * 100), (None, "u", "x" * 100), (5, "u", "y" * 99), (6, "u", "y" * 99), (1, "again", "x" * 100), (9, "é", "WARC/1.1\r\n\r\n" * 20)]
