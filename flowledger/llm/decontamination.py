@@ -3,9 +3,9 @@
 A text becomes a template: numbers, names (capitalised words, not in capitals throughout, inside a sentence) and units after numbers turn
 into typed placeholders, other words are lower-cased and signs dropped. Windows of five template words are
 hashed and joined to the windows of the benchmark. A document leaks an item when it holds at least 0.8 of the
-item's windows, on alignments whose slots are consistent: within one alignment each value of the item
-stands for one value in the document. So a question with other numbers or names is caught and a text that
-merely has slots at the same places, filled at odds, is not.
+item's windows whose slots are consistent: within one alignment each value of the item stands for one value in
+the document, else the windows that cover it don't count, but for those with the item's own values. So a question
+with other numbers or names is caught and a text that merely has slots at the same places, filled at odds, is not.
 
 Defined results: null texts and items hold no windows; an item with fewer than five words, or without a
 window of at least two plain words, can't be told from chance and matches nothing; a window that an item holds
@@ -96,10 +96,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     places = aligned.select("doc_id", "item_id", "shift", F.explode(F.sequence("item_place", F.col("item_place") + (WINDOW - 1))).alias("place")).distinct()
     filled = places.join(item_slots.withColumnRenamed("value", "asked"), ["item_id", "place"]).withColumn("at", F.col("place") + F.col("shift"))
     filled = filled.join(doc_slots.select("doc_id", F.col("place").alias("at"), "kind", "value"), ["doc_id", "at", "kind"])
-    per_value = filled.groupBy("doc_id", "item_id", "shift", "asked").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    judged = per_value.groupBy("doc_id", "item_id", "shift").agg(F.max(F.col("low") != F.col("high")).alias("odd"), F.max(F.col("low") != F.col("asked")).alias("changed"))
+    alignment = ["doc_id", "item_id", "shift"]
+    at_odds = filled.groupBy(*alignment, "asked").agg((F.min("value") != F.max("value")).alias("odd"))
+    # rows that share an id may fill one place several times; one of them with the item's own value is enough
+    per_place = filled.groupBy(*alignment, "place", "asked").agg((~F.bool_or(F.col("value") == F.col("asked"))).alias("changed"))
+    per_place = per_place.join(at_odds, [*alignment, "asked"]).select(*alignment, "place", "odd", "changed")
+    covers = aligned.withColumn("place", F.explode(F.sequence("item_place", F.col("item_place") + (WINDOW - 1))))
+    judged = covers.join(per_place, [*alignment, "place"]).groupBy(*alignment, "item_place").agg(F.bool_or("odd").alias("odd"), F.bool_or("changed").alias("changed"))
     judged = materialize(judged, "leak-slots")
-    consistent = aligned.join(judged.filter("odd"), ["doc_id", "item_id", "shift"], "left_anti")
+    consistent = aligned.join(judged.filter("odd and changed"), [*alignment, "item_place"], "left_anti")
     changed = judged.filter("changed and not odd").select("doc_id", "item_id").distinct().withColumn("changed", F.lit(True))
     return covered(consistent).join(changed, ["doc_id", "item_id"], "left").select(
         "doc_id", "item_id", (F.col("n") / F.col("of")).alias("coverage"), F.when(F.col("changed"), "template").otherwise("exact").alias("kind")

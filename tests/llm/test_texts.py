@@ -241,6 +241,15 @@ def test_templates_and_slots(spark):
     assert decontamination.leaks(documents(spark), items.limit(0)).count() == 0
 
 
+def test_one_odd_slot_spoils_only_its_windows(spark):
+    plain = lambda name, n: " ".join(name + chr(97 + i) for i in range(n))
+    item = f"{plain('first', 19)} 5 {plain('second', 19)} 5 {plain('third', 19)}"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [(1, item), (2, item[::-1].replace("5", "6", 1)[::-1]), (3, item.replace("5", "7")), (4, item.replace("5", "6", 1).replace(" 5", " 8"))]
+    got = {r.doc_id: (round(r.coverage * 55), r.kind) for r in decontamination.leaks(documents(spark, texts), items).collect()}
+    assert got == {1: (55, "exact"), 2: (50, "exact"), 3: (55, "template"), 4: (45, "exact")}
+
+
 def test_planted_passages(spark):
     docs, items = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
     words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
