@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowledger.llm import decontamination, embedding_dedup, html_extraction, language_id, lm_scoring, minhash, secret_scan, sentencepiece_codec, token_counts, warc
+from flowledger.llm import decontamination, embedding_dedup, html_extraction, language_id, lm_scoring, minhash, secret_scan, sentencepiece_codec, spelling, token_counts, warc
 from flowledger.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,29 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     archives = warc.write_archives(warc.mark_revisits(table(spark, folder, "pages")), scratch_path(spark, "warc"))
     return warc.page_records(warc.read_archives(materialize(archives, "warc-manifest")))
+
+
+#: Runs of letters with a checksum by a table of 256 entries, near words by the words without each of their letters.
+_SPELLING_SQL = """WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+         lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+       runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{7,}')),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+       each AS (SELECT id, run, count(*) AS n, flatten(list_transform(string_split(id || ':' || run, ''),
+         lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes FROM runs GROUP BY id, run),
+       sums AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(bytes, lambda x: CAST(x AS BIGINT))),
+         lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)]))) AS h FROM each, t),
+       cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM sums),
+       v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+       less AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+       one AS (SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+               UNION SELECT less.word, v.word FROM less JOIN v ON less.rest = v.word UNION SELECT v.word, less.word FROM less JOIN v ON less.rest = v.word),
+       best AS (SELECT one.a AS word, count(*) AS n_near, arg_min(one.b, (-v.n, one.b)) AS near, max(v.n) AS near_n FROM one JOIN v ON v.word = one.b GROUP BY 1),
+       formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form,
+                  CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+       walk AS (SELECT word, word AS here, 0 AS steps FROM formed UNION ALL SELECT w.word, f.form, steps + 1 FROM walk w JOIN formed f ON f.word = w.here WHERE f.form IS NOT NULL)
+       SELECT f.*, w.root FROM formed f JOIN (SELECT word, arg_max(here, steps) AS root FROM walk GROUP BY 1) w USING (word)"""
+
+
+@query("op13_spelling_variants", _SPELLING_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
