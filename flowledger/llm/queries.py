@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowledger.llm import decontamination, embedding_dedup, html_extraction, language_id, lm_scoring, minhash, secret_scan, sentencepiece_codec, spelling, token_counts, warc
+from flowledger.llm import decontamination, embedding_dedup, html_extraction, language_id, lm_scoring, minhash, nearest, secret_scan, sentencepiece_codec, spelling, token_counts, warc
 from flowledger.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +128,20 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_records(warc.read_archives(materialize(archives, "warc-manifest")))
 
 
+@query(
+    "op12_nearest_neighbours",
+    """WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL),
+       ok AS (SELECT * FROM v WHERE len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x)))
+              AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+       s AS (SELECT q.vec_id AS query_id, q.e, c.vec_id, list_inner_product(q.e, c.e) AS score FROM ok q JOIN ok c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id
+             WHERE q.vec_id % 20 = 0)
+       SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+       FROM (SELECT *, row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 #: Runs of letters with a checksum by a table of 256 entries, near words by the words without each of their letters.
 _SPELLING_SQL = """WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
          lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
