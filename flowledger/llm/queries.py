@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowledger.llm import decontamination, embedding_dedup, html_extraction, language_id, lm_scoring, minhash, nearest, secret_scan, sentencepiece_codec, spelling, token_counts, warc
+from flowledger.llm import decontamination, embedding_dedup, html_extraction, language_id, lm_scoring, minhash, nearest, secret_scan, sentencepiece_codec, spelling, token_counts, warc, whitening
 from flowledger.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_records(warc.read_archives(materialize(archives, "warc-manifest")))
 
 
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(table(spark, folder, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long")).withColumn("component", F.col("component").cast("int"))
+
+
 @query(
     "op12_nearest_neighbours",
     """WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL),
