@@ -8,17 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowledger.functions.cron import (
-    cron_matches,
-    cron_spec,
-    day_matches,
-    local_time,
-    schedule_key,
-    zone_known,
-    zone_or_utc,
-)
+from flowledger.functions.cron import cron_spec, schedule_key, zone_known, zone_or_utc
 from flowledger.functions.text import clean
-from flowledger.functions.times import minute_of
+from flowledger.operators.calendars import DAY, calendar, minute_number, minute_time, parsed_specs, tasks
 from flowledger.operators.latest import capped_occurrences
 from flowledger.operators.ranking import rank_within
 from flowledger.session import materialize
@@ -33,8 +25,9 @@ HORIZON_DAYS = 5 * 366
 # The next run is looked for in windows of so many days, each only for schedules without a tick so far.
 NEXT_RUN_WINDOWS = (1, 31, 366, HORIZON_DAYS)
 
-_DAY = "interval 1 day"
-_MINUTE = "interval 1 minute"
+
+def _expression() -> Column:
+    return F.lower(clean(F.coalesce("cron_expr", F.lit(""))))
 
 
 def occurrences(
@@ -43,68 +36,32 @@ def occurrences(
     end: Column,
     keys: Sequence[str] = KEYS,
     cap: int | None = None,
+    specs: DataFrame | None = None,
 ) -> DataFrame:
     """Minutes in (start, end] at which each schedule fires, as (keys, tick).
 
-    Malformed expressions give no ticks; unknown zones count as UTC. Each UTC minute is tested by its
-    local time, so an hour skipped by a clock change gives nothing and a repeated hour fires twice.
-    Days are kept first by their local date, then hours, then minutes; the kept days are spread over
-    all tasks before they are expanded, so one busy schedule does not fill one task.
+    Malformed expressions give no ticks; unknown zones count as UTC. An hour skipped by a clock change gives
+    nothing and a repeated hour fires twice. The calendar is made once per distinct expression and zone, joined to the
+    schedules by day, and the days are spread over all tasks before they become minutes, so one busy schedule
+    does not fill one task.
     """
     keys = list(keys)
-    first = minute_of(start) + F.expr(_MINUTE)
-    last = minute_of(end)
-    bounded = schedules.repartition(*keys).select(
+    bounded = schedules.select(
         *keys,
-        cron_spec(F.col("cron_expr")).alias("spec"),
+        _expression().alias("expr"),
         zone_or_utc(F.col("timezone")).alias("zone"),
-        first.alias("first"),
-        last.alias("last"),
-    )
-
-    # Matching dates of the local calendar, then the UTC days they can overlap.
-    local_first, local_last = (F.to_date(local_time(F.col(c), F.col("zone"))) for c in ("first", "last"))
-    dates = F.filter(F.sequence(local_first, local_last, F.expr(_DAY)), lambda d: day_matches(F.col("spec"), d))
-    around = F.transform(dates, lambda d: F.array(F.date_sub(d, 1), d, F.date_add(d, 1)))
-    days = F.filter(
-        F.array_distinct(F.flatten(around)), lambda d: d.between(F.to_date("first"), F.to_date("last"))
-    )
-    usable = F.when(F.col("spec.valid") & (F.col("first") <= F.col("last")), days)
-    by_day = bounded.withColumn("day", F.explode(usable)).repartition(*keys, "day")
-    by_day = by_day.withColumn("day", F.col("day").cast("timestamp"))
-
-    hours = by_day.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn(
-        "hour", F.col("day") + F.make_dt_interval(hours=F.col("hour"))
-    )
-    local_start = F.hour(local_time(F.col("hour"), F.col("zone")))
-    local_end = F.hour(local_time(F.col("hour") + F.expr("interval 59 minutes"), F.col("zone")))
-    allowed = F.col("spec.hour")
-    hours = hours.filter(
-        (F.col("hour") <= F.col("last"))
-        & (F.col("hour") + F.expr("interval 59 minutes") >= F.col("first"))
-        & (
-            F.array_contains(allowed, local_start)
-            | F.array_contains(allowed, (local_start + 1) % 24)
-            | F.array_contains(allowed, local_end)
-        )
-    )
-    # UTC minutes of the hour at which the local clock shows an allowed minute, under the offset at
-    # the start or at the end of the hour; the exact test below settles hours with a clock change.
-    shift_start = F.minute(local_time(F.col("hour"), F.col("zone")))
-    shift_end = (F.minute(local_time(F.col("hour") + F.expr("interval 59 minutes"), F.col("zone"))) + 1) % 60
-    shifted = hours.withColumn("shifts", F.array_distinct(F.array(shift_start, shift_end)))
-    candidates = F.array_distinct(
-        F.flatten(
-            F.transform("shifts", lambda s: F.transform(F.col("spec.minute"), lambda m: (m - s + 60) % 60))
-        )
+        (minute_number(start) + 1).alias("first"),
+        minute_number(end).alias("last"),
     )
-    minutes = shifted.withColumn("tick", F.explode(candidates)).withColumn(
-        "tick", F.col("hour") + F.make_dt_interval(mins=F.col("tick"))
+    pairs = bounded.groupBy("expr", "zone").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    days = bounded.join(calendar(pairs, specs), ["expr", "zone"]).select(
+        *keys, "base", "minutes", F.greatest("first", "low").alias("low"), F.least("last", "high").alias("high")
     )
-    ticks = minutes.filter(
-        F.col("tick").between(F.col("first"), F.col("last"))
-        & cron_matches(F.col("spec"), local_time(F.col("tick"), F.col("zone")))
-    ).select(*keys, "tick")
+    some = days.filter((F.col("low") <= F.col("high")) & (F.col("base") <= F.col("high")) & (F.col("base") + DAY > F.col("low")))
+    spread = some.repartition(tasks(schedules.sparkSession), *keys, "base")
+    minute = F.col("base") + F.col("minute")
+    ticks = spread.select(*keys, "base", "low", "high", F.explode("minutes").alias("minute")).filter(minute.between(F.col("low"), F.col("high")))
+    ticks = ticks.select(*keys, minute_time(minute).alias("tick"))
     return ticks if cap is None else capped_occurrences(ticks, keys, cap)
 
 
@@ -114,13 +71,15 @@ def next_ticks(
     """First tick of each schedule later than ``after``; no row where there is none in the last window.
 
     ``windows`` are days after ``after``, ascending. What a window finds is written, and the next one takes
-    only the schedules that are left.
+    only the schedules that are left. Expressions are parsed once for all windows.
     """
-    left = schedules.withColumn("_after", after).withColumn("_from", F.col("_after"))
+    wanted = schedules.select(*keys, _expression().alias("cron_expr"), zone_or_utc(F.col("timezone")).alias("timezone"), after.alias("_after"))
+    left = materialize(wanted, "next-run-schedules").withColumn("_from", F.col("_after"))
+    specs = materialize(parsed_specs(left.select(F.col("cron_expr").alias("expr"))), "next-run-specs")
     found = None
     for days in windows:
         until = F.col("_after") + F.make_dt_interval(days=F.lit(days))
-        ticks = occurrences(left, F.col("_from"), until, keys).groupBy(*keys).agg(F.min("tick").alias("next_run_at"))
+        ticks = occurrences(left, F.col("_from"), until, keys, specs=specs).groupBy(*keys).agg(F.min("tick").alias("next_run_at"))
         first = materialize(ticks, "next-runs")
         found = first if found is None else found.unionByName(first)
         left = left.join(first.select(*keys), list(keys), "left_anti").withColumn("_from", until)
