@@ -1,6 +1,6 @@
 """Streams run to the end of their input (operators A2, A3, K1-K8); results equal the batch answer."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
@@ -169,16 +169,41 @@ _ITEM_STATUS = StructType(
 )
 
 
-def _item_status(h: History, **options) -> DataFrame:
+def _in_turn(rows: DataFrame, part: Column, files: int = 3) -> DataFrame:
+    """Rows streamed in as many micro-batches as there are parts, in order of ``part`` (0, 1, ...)."""
+    path = scratch_path(rows.sparkSession, "stream-input")
+    for i in range(files):
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return sinks.table_stream(rows.sparkSession, rows.schema, path, files_per_batch=1)
+
+
+def _item_status(h: History) -> DataFrame:
+    """A third of the links comes with the first states, a third with the last ones, a third after them."""
     sink = sinks.BatchSink(scratch_path(h.spark, "item-status"))
-    item_status.sync_item_status(
-        _as_stream(_run_changes(h)), h.queue_item_runs, sink, scratch_path(h.spark, "stream-state"), **options
-    ).awaitTermination()
+    changes = _in_turn(_run_changes(h), F.col("change_id") % 2, files=2)
+    links = _in_turn(h.queue_item_runs, F.col("id") % 3)
+    item_status.sync_item_status(changes, links, sink, scratch_path(h.spark, "stream-state")).awaitTermination()
     return sink.latest(h.spark, item_status.TABLE, _ITEM_STATUS, "queue_item_id")
 
 
 query("K3_item_status", LIFECYCLE_SQL)(_item_status)
-query("K3_item_status_of_wide_items", LIFECYCLE_SQL)(lambda h: _item_status(h, max_slots=1))
+
+
+def _grown_items(h: History) -> DataFrame:
+    """Streams of part of the links first; a second start from the same state brings the others, so items grow across it."""
+    sink, state = sinks.BatchSink(scratch_path(h.spark, "item-status")), scratch_path(h.spark, "stream-state")
+    paths = [scratch_path(h.spark, "stream-input") for _ in range(2)]
+    for part in range(2):
+        h.queue_item_runs.filter(F.col("id") % 2 == part).write.mode("append").parquet(paths[0])
+        _run_changes(h).filter(F.col("change_id") % 2 == part).write.mode("append").parquet(paths[1])
+        links, changes = (
+            sinks.table_stream(h.spark, rows.schema, path) for rows, path in zip((h.queue_item_runs, _run_changes(h)), paths, strict=True)
+        )
+        item_status.sync_item_status(changes, links, sink, state).awaitTermination()
+    return sink.latest(h.spark, item_status.TABLE, _ITEM_STATUS, "queue_item_id")
+
+
+query("K3_item_status_of_wide_items", LIFECYCLE_SQL)(_grown_items)
 
 
 def _published(h: History) -> DataFrame:

@@ -1,32 +1,150 @@
-"""Queue item status kept up to date over a stream of run changes.
+"""Queue item status kept up to date over two streams: links of runs to items, and changes of runs.
 
-``changes`` is (run_id, change_id, status, started_at, completed_at, error_message) with the status
-normalised; a higher ``change_id`` is a later change. ``links`` is (id, queue_item_id, run_id, created_at).
+``links`` is (id, queue_item_id, run_id, created_at), one per run. ``changes`` is (run_id, change_id, status,
+started_at, completed_at, error_message) with the status normalised; a higher ``change_id`` is a later change. Either may
+come first.
+
+Two stateful operators follow one another. The first is keyed by run: it keeps the run's link and its latest
+change and hands on changes with their item; a change that waits for its link is forgotten after a stated
+time, if one is given. The second is keyed by item: it keeps the latest change of each run as an entry of its own, so an
+item may grow to any number of runs, and a batch reads and writes only the entries that it touches before it rolls
+up the item in one pass over them. State is in RocksDB, which need not fit memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from flowledger.operators.counts import item_lifecycle
-from flowledger.operators.joins import touched_links
 from flowledger.streaming.fold import updates_to
 from flowledger.streaming.sinks import BatchSink, run_stream
 
 TABLE = "item_status"
-# Items with up to this many runs are rolled up inside the state of one aggregation.
-MAX_SLOTS = 32
-CHANGE = ("status", "started_at", "completed_at", "error_message")
+STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+LINK = "queue_item_id long, link_id long, linked_at long"
+CHANGE = "change_id long, status string, started_at long, completed_at long, error_message string"
+LINKED = f"{LINK}, run_id long, {CHANGE}"
+STATUS = "queue_item_id long, status string, started_at long, completed_at long, error_message string"
+
+#: Rows of the two operators, by the names above.
+LINKED_ROW, STATUS_ROW = (Row(*(field.split()[0] for field in kind.split(", "))) for kind in (LINKED, STATUS))
+
+
+class LinkRuns(StatefulProcessor):
+    """Per run: its changes with its item, as soon as both are known; only the latest change is kept."""
+
+    def __init__(self, wait_ms: int | None = None):
+        self.wait_ms = wait_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.link = handle.getValueState("link", LINK)
+        self.change = handle.getValueState("change", CHANGE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        link, change = self.link.get(), self.change.get()
+        known, moved = link is not None, False
+        for row in rows:
+            if row.queue_item_id is not None:
+                link = (row.queue_item_id, row.link_id, row.linked_at)
+            elif change is None or row.change_id > change[0]:
+                change, moved = (row.change_id, row.status, row.started_at, row.completed_at, row.error_message), True
+        if link is not None and not known:
+            self.link.update(link)
+        if moved:
+            self.change.update(change)
+        if link is not None:
+            for timer in () if known or self.wait_ms is None else list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if change is not None and (moved or not known):
+                yield LINKED_ROW(*link, key[0], *change)
+        elif moved and self.wait_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """No link came in time: the run is none of an item, and its state goes."""
+        if not self.link.exists():
+            self.change.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class RollUpItems(StatefulProcessor):
+    """Per item: the status of each batch that brings changes, rolled up over the latest change of each run."""
+
+    def init(self, handle) -> None:
+        self.runs = handle.getMapState("runs", "run_id long", f"link_id long, linked_at long, {CHANGE}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        latest: dict[int, tuple] = {}
+        for row in rows:
+            if row.run_id not in latest or row.change_id > latest[row.run_id][2]:
+                latest[row.run_id] = (
+                    row.link_id, row.linked_at, row.change_id, row.status, row.started_at, row.completed_at, row.error_message
+                )
+        for run_id, change in latest.items():
+            self.runs.updateValue((run_id,), change)
+        yield self._rolled_up(key[0])
+
+    def _rolled_up(self, item: int) -> Row:
+        all_queued, any_open, all_success = True, False, True
+        first_start, last_end, first_error = None, None, None
+        for link_id, linked_at, _, status, started, completed, error in self.runs.values():
+            all_queued &= status == "queued"
+            any_open |= status in ("queued", "running")
+            all_success &= status == "success"
+            if started is not None and (first_start is None or started < first_start):
+                first_start = started
+            if completed is not None and (last_end is None or completed > last_end):
+                last_end = completed
+            place = (linked_at is not None, linked_at, link_id)  # absent times come first
+            if error and (first_error is None or place < first_error[0]):
+                first_error = (place, error)
+        status = "queued" if all_queued else "running" if any_open else "complete" if all_success else "failed"
+        ended, failed = status in ("complete", "failed"), status != "complete" and first_error
+        return STATUS_ROW(item, status, first_start, last_end if ended else None, first_error[1] if failed else "")
+
+    def close(self) -> None:
+        pass
+
+
+def _micros(name: str) -> Column:
+    return F.unix_micros(F.col(name).cast("timestamp"))
+
+
+def _arrivals(changes: DataFrame, links: DataFrame) -> DataFrame:
+    """Links and changes as rows of one stream; a row is a link if it names an item. Times travel as microseconds."""
+    none = F.lit(None)
+    link_rows = links.select(
+        "run_id", F.col("queue_item_id").cast("long"), F.col("id").cast("long").alias("link_id"), _micros("created_at").alias("linked_at"),
+        none.cast("long").alias("change_id"), none.cast("string").alias("status"), none.cast("long").alias("started_at"),
+        none.cast("long").alias("completed_at"), none.cast("string").alias("error_message"),
+    ).filter("queue_item_id is not null")
+    change_rows = changes.select(
+        "run_id", *[none.cast("long").alias(c) for c in ("queue_item_id", "link_id", "linked_at")], F.col("change_id").cast("long"), "status",
+        _micros("started_at").alias("started_at"), _micros("completed_at").alias("completed_at"), "error_message",
+    )
+    return link_rows.unionByName(change_rows).withColumn("run_id", F.col("run_id").cast("long")).filter("run_id is not null")
 
 
-def widest_item(links: DataFrame) -> int:
-    """Largest number of runs any item has."""
-    sizes = links.groupBy("queue_item_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 1
+def item_statuses(changes: DataFrame, links: DataFrame, wait_ms: int | None = None) -> DataFrame:
+    """queue_item_id, status, started_at, completed_at, error_message: a row per item and batch that touches it."""
+    linked = (
+        _arrivals(changes, links).groupBy("run_id")
+        .transformWithState(LinkRuns(wait_ms), LINKED, "append", "none" if wait_ms is None else "processingTime")
+    )
+    rolled = linked.groupBy("queue_item_id").transformWithState(RollUpItems(), STATUS, "append", "none")
+    times = {c: F.timestamp_micros(F.col(c)) for c in ("started_at", "completed_at")}
+    return rolled.withColumns(times)
 
 
 def sync_item_status(
@@ -35,75 +153,21 @@ def sync_item_status(
     sink: BatchSink,
     checkpoint: str,
     poll_every: str | None = None,
-    max_slots: int = MAX_SLOTS,
+    wait_ms: int | None = None,
 ) -> StreamingQuery:
-    """Write the status of every item whose runs changed to ``item_status`` of ``sink``.
+    """Write the status of every item whose runs or links changed to ``item_status`` of ``sink``.
 
-    Ordinary items, one run per job of their queue, are kept whole in the state of one aggregation.
-    Where some item has more runs than ``max_slots``, only the latest change per run is kept in state
-    and the touched items are rolled up per batch with map-side combining.
+    ``wait_ms`` needs ``poll_every``: timers by the clock fire in later batches, and a query that drains and ends has none.
     """
-    slots = widest_item(links)
-    if slots <= max_slots:
-        statuses = item_statuses(changes.join(link_slots(links), "run_id"), slots)
-        return run_stream(statuses, checkpoint, updates_to(sink, TABLE), poll_every, "update")
-    return run_stream(latest_changes(changes), checkpoint, roll_up_batches(sink, links), poll_every, "update")
-
-
-def latest_changes(changes: DataFrame) -> DataFrame:
-    newest = changes.groupBy("run_id").agg(F.max_by(F.struct(*CHANGE), "change_id").alias("c"))
-    return newest.select("run_id", "c.*")
-
-
-def roll_up_batches(sink: BatchSink, links: DataFrame) -> Callable[[DataFrame, int], None]:
-    """Batch function: roll up the items of the changed runs over all their runs."""
-
-    def on_batch(rows: DataFrame, batch_id: int) -> None:
-        changed = sink.put(batch_id, "run_state", rows)
-        before = sink.latest(rows.sparkSession, "run_state", rows.schema, "run_id", before=batch_id)
-        state = changed.unionByName(before.join(changed.select("run_id"), "run_id", "left_anti"))
-        linked = touched_links(links, changed).select("id", "queue_item_id", "run_id", "created_at").join(state, "run_id")
-        renamed = linked.withColumnsRenamed({"status": "run_status", "error_message": "run_error_message"})
-        sink.write(batch_id, **{TABLE: item_lifecycle(renamed)})
-
-    return on_batch
-
-
-def link_slots(links: DataFrame) -> DataFrame:
-    """Links with their place among the links of the item, from 0."""
-    in_order = Window.partitionBy("queue_item_id").orderBy("created_at", "id")
-    return links.select("run_id", "queue_item_id", (F.row_number().over(in_order) - 1).alias("slot"))
-
-
-def item_statuses(changes: DataFrame, slots: int) -> DataFrame:
-    """Item status in one stateful aggregation.
-
-    ``changes`` carries (queue_item_id, slot) of its run as well. State holds the latest change of each
-    of the ``slots`` runs an item can have.
-    """
-    change = F.struct(*CHANGE)
-
-    def newest(slot: int) -> Column:
-        here = F.col("slot") == slot
-        return F.max_by(F.when(here, change), F.when(here, F.col("change_id"))).alias(f"run_{slot}")
-
-    latest = changes.groupBy("queue_item_id").agg(*[newest(slot) for slot in range(slots)])
-    runs = F.filter(F.array(*[F.col(f"run_{slot}") for slot in range(slots)]), lambda r: r.isNotNull())
-    status = (
-        F.when(F.forall("runs", lambda r: r["status"] == "queued"), F.lit("queued"))
-        .when(F.exists("runs", lambda r: r["status"].isin("queued", "running")), F.lit("running"))
-        .when(F.forall("runs", lambda r: r["status"] == "success"), F.lit("complete"))
-        .otherwise(F.lit("failed"))
-    )
-    errors = F.filter(F.transform("runs", lambda r: r["error_message"]), lambda e: e != "")
-    return latest.select("queue_item_id", runs.alias("runs")).select(
-        "queue_item_id",
-        status.alias("status"),
-        F.array_min(F.transform("runs", lambda r: r["started_at"])).alias("started_at"),
-        F.when(
-            status.isin("complete", "failed"), F.array_max(F.transform("runs", lambda r: r["completed_at"]))
-        ).alias("completed_at"),
-        F.when(status == "complete", F.lit("")).otherwise(F.coalesce(F.get(errors, F.lit(0)), F.lit(""))).alias(
-            "error_message"
-        ),
-    )
+    if wait_ms is not None and not poll_every:
+        raise ValueError("wait_ms needs poll_every")
+    conf = changes.sparkSession.conf
+    before = conf.get(STORE_CONF, None)
+    conf.set(STORE_CONF, STORE)  # a query takes the settings that hold when it starts
+    try:
+        return run_stream(item_statuses(changes, links, wait_ms), checkpoint, updates_to(sink, TABLE), poll_every)
+    finally:
+        if before is None:
+            conf.unset(STORE_CONF)
+        else:
+            conf.set(STORE_CONF, before)
