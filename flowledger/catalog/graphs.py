@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from flowledger.catalog.core import query
 from flowledger.functions.times import literal_time
-from flowledger.operators import counts, execution, graph
+from flowledger.operators import counts, execution, graph, layers
 
 
 def _jobs(h):
@@ -56,7 +56,7 @@ query(
          stuck as (select job_id, a as step_key from cyc
                    union select r.job_id, r.b from r join cyc c on c.job_id = r.job_id and c.a = r.a)
         select job_id, count(*) as stuck_steps from stuck group by 1""",
-)(lambda h: graph.cyclic_jobs(graph.graph_order(h.draft_nodes, h.draft_edges)))
+)(lambda h: graph.cyclic_jobs(layers.graph_layers(h.draft_nodes, h.draft_edges)))
 query(
     "I8_topological_order",
     """with recursive n as materialized (select job_id, step_key from @mixed_nodes),
@@ -101,8 +101,36 @@ def _order(h):
 
 
 query("I9_depth", f"with recursive {_DEPTH_SQL} select job_id, step_key, depth from depths")(
-    lambda h: _order(h).select("job_id", "step_key", "depth")
+    lambda h: layers.graph_layers(h.job_nodes, h.job_edges).select("job_id", "step_key", "depth")
 )
+query(
+    "I9_depth_of_a_long_chain",
+    """select 1::bigint as job_id, 'c' || lpad(cast(999999999999 - c_custkey as varchar), 12, '0') as step_key,
+              row_number() over (order by c_custkey) - 1 as depth, false as stuck from @customer""",
+)(lambda h: layers.graph_layers(*_customer_chain(h)))
+
+
+def _wide_graph(h):
+    """One graph: all customers, the orders that depend on them, and one last step that depends on all orders."""
+    job = F.lit(1).cast("long").alias("job_id")
+    orders = h.orders.select(job, F.concat(F.lit("c"), "o_custkey").alias("from_step_key"), F.concat(F.lit("o"), "o_orderkey").alias("to_step_key"))
+    last = orders.select("job_id", F.col("to_step_key").alias("from_step_key"), F.lit("end").alias("to_step_key"))
+    customers = h.customer.select(job, F.concat(F.lit("c"), "c_custkey").alias("step_key"))
+    nodes = customers.unionByName(orders.select("job_id", F.col("to_step_key").alias("step_key"))).unionByName(last.select("job_id", F.lit("end").alias("step_key")).distinct())
+    return nodes, orders.unionByName(last)
+
+
+def _with_shortcuts(nodes, edges):
+    """The edges, and one from every customer straight to the last step, which its orders make redundant."""
+    orders = edges.filter("to_step_key <> 'end'").select("job_id", "from_step_key", F.lit("end").alias("to_step_key"))
+    return edges.unionByName(orders.distinct())
+
+
+query(
+    "I9_depth_of_a_wide_graph",
+    """select 1::bigint as job_id, 'c' || c_custkey as step_key, 0::bigint as depth, false as stuck from @customer
+       union all select 1, 'o' || o_orderkey, 1, false from @orders union all select 1, 'end', 2, false""",
+)(lambda h: layers.graph_layers(*_wide_graph(h)))
 query(
     "I10_adjacency",
     f"""with e as {_KNOWN_DRAFT}
@@ -125,7 +153,7 @@ query(
                b.depth - a.depth >= 2 as long_span, a.depth >= b.depth as back_edge
         from @job_edges e join depths a on a.job_id = e.job_id and a.step_key = e.from_step_key
         join depths b on b.job_id = e.job_id and b.step_key = e.to_step_key""",
-)(lambda h: graph.edge_spans(h.job_edges, _order(h)))
+)(lambda h: graph.edge_spans(h.job_edges, layers.graph_layers(h.job_nodes, h.job_edges)))
 query(
     "I13_neighbourhood",
     """select job_id, step_key, step_key as related from @job_nodes
@@ -145,7 +173,12 @@ query(
         select e.job_id, e.from_step_key, e.to_step_key from @job_edges e where not exists (
             select 1 from @job_edges f join r on r.job_id = f.job_id and r.from_step_key = f.to_step_key
             where f.job_id = e.job_id and f.from_step_key = e.from_step_key and r.to_step_key = e.to_step_key)""",
-)(lambda h: graph.reduced_edges(h.job_edges))
+)(lambda h: layers.reduced_edges(h.job_edges))
+query(
+    "I14_reduced_edges_of_a_wide_graph",
+    """select 1::bigint as job_id, 'c' || o_custkey as from_step_key, 'o' || o_orderkey as to_step_key from @orders
+       union all select 1, 'o' || o_orderkey, 'end' from @orders""",
+)(lambda h: layers.reduced_edges(_with_shortcuts(*_wide_graph(h))))
 query(
     "I15_ready_steps",
     """select s.run_id, s.step_key from @run_steps s where s.status = 'pending' and not exists (
@@ -162,6 +195,22 @@ query(
        select x.run_id, x.step_key, 'skipped' as status, 'dependency output unavailable' as error_message
        from x join @run_steps s on s.run_id = x.run_id and s.step_key = x.step_key where s.status = 'pending'""",
 )(lambda h: execution.skipped_steps(h.run_steps, _edges(h)))
+
+
+def _skip_chain(h):
+    """A run over all customers, in which the first of each ten thousand fails and all others wait for the one before."""
+    nodes, edges = _customer_chain(h)
+    nth = F.lit(10**12 - 1) - F.substring("step_key", 2, 12).cast("long")
+    steps = nodes.select(F.col("job_id").alias("run_id"), "step_key", F.when(nth % 10000 == 1, F.lit("failed")).otherwise(F.lit("pending")).alias("status"))
+    return steps, edges.withColumnRenamed("job_id", "run_id")
+
+
+query(
+    "I16_skips_along_a_long_chain",
+    """select 1::bigint as run_id, 'c' || lpad(cast(999999999999 - c_custkey as varchar), 12, '0') as step_key, 'skipped' as status,
+              'dependency output unavailable' as error_message
+       from @customer where c_custkey % 10000 <> 1 and c_custkey > (select min(c_custkey) from @customer where c_custkey % 10000 = 1)""",
+)(lambda h: execution.skipped_steps(*_skip_chain(h)))
 query(
     "I17_rerun_plan",
     """with r as (select id as run_id, parent_run_id, rerun_step_key from @runs where rerun_step_key <> ''),

@@ -86,30 +86,21 @@ query(
         join (select id as job_id, job_key from @jobs) j on j.job_id = r.job_id
         join @schedules s on s.job_key = j.job_key where s.kind not in (5, 6) and {FIRES}""",
 )(
-    lambda h: joins.runs_with_jobs(h.runs, h.jobs)
-    .join(
-        h.schedules.select(
-            "job_key",
-            "schedule_key",
-            cron.cron_spec(F.col("cron_expr")).alias("spec"),
-            cron.zone_or_utc(F.col("timezone")).alias("zone"),
-        ).filter("spec.valid"),
-        "job_key",
-    )
-    .filter(cron.cron_matches(F.col("spec"), cron.local_time(F.col("queued_at"), F.col("zone"))))
-    .select("id", "schedule_key")
+    lambda h: schedules.matching_schedules(
+        joins.runs_with_jobs(h.runs, h.jobs).select("id", "job_key", "queued_at"), h.schedules, "queued_at"
+    ).select("id", "schedule_key")
 )
 query(
     "J3_local_parts",
     """with x as (select e.event_id, e.ts, s.schedule_key,
                         case s.kind when 2 then 'America/New_York' when 7 then 'Asia/Kolkata' else 'UTC' end as zone,
                         s.timezone <> 'Mars/Olympus' as known
-                 from @events e join @schedules s on s.sort_index = e.event_id % 10),
+                 from @events e join @schedules s on s.sort_index = e.event_id % (select count(*) from @schedules)),
           p as (select *, timezone(zone, timezone('UTC', ts)) as l from x)
        select event_id, schedule_key, known, minute(l) as minute, hour(l) as hour, day(l) as dom, month(l) as month,
               dayofweek(l) as dow from p""",
 )(
-    lambda h: h.events.withColumn("sort_index", F.col("event_id") % 10)
+    lambda h: h.events.withColumn("sort_index", F.col("event_id") % h.schedules.agg(F.count(F.lit(1))).scalar())
     .join(h.schedules, "sort_index")
     .withColumn("l", cron.local_time(F.col("ts").cast("timestamp"), cron.zone_or_utc(F.col("timezone"))))
     .select(

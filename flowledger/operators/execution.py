@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowledger.functions.status import exec_status
 from flowledger.functions.times import step_duration_ms
 from flowledger.operators.joins import parent_outputs
-from flowledger.session import materialize, scratch_path
+from flowledger.operators.layers import reached_from
 
 STEP = ["run_id", "step_key"]
 # Messages written with a skipped step.
@@ -40,32 +40,14 @@ def ready_steps(steps: DataFrame, edges: DataFrame) -> DataFrame:
 def skipped_steps(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """Pending steps that can no longer run because a step upstream did not succeed.
 
-    Each round follows the edges of the steps reached in the round before, and appends what is new to one
-    written table, so there are as many rounds as the longest chain of skips has edges.
+    A skip travels only along edges that end in a pending step; chains of any length cost a logarithm of rounds.
     """
-    spark = steps.sparkSession
     front = steps.filter(exec_status(F.col("status")).isin("failed", "canceled", "skipped")).select(*STEP)
     pending = steps.filter("status = 'pending'").select("run_id", F.col("step_key").alias("to_step_key"))
-    # Edges that end in a pending step are the only ones a skip can travel along.
-    paths = materialize(edges.distinct().join(pending, ["run_id", "to_step_key"], "left_semi"), "skip-edges")
-    reached = scratch_path(spark, "skip-reached")
-    schema = steps.select(*STEP).schema
-    front.limit(0).write.parquet(reached)
-    while True:
-        hit = (
-            front.withColumnRenamed("step_key", "from_step_key")
-            .join(paths, ["run_id", "from_step_key"])
-            .select("run_id", F.col("to_step_key").alias("step_key"))
-            .distinct()
-        )
-        new = materialize(hit.join(spark.read.schema(schema).parquet(reached), STEP, "left_anti"), "skip-round")
-        if new.isEmpty():
-            break
-        new.write.mode("append").parquet(reached)
-        front = new
-    return spark.read.schema(schema).parquet(reached).withColumns(
-        {"status": F.lit("skipped"), "error_message": F.lit(SKIPPED_BY_DEPENDENCY)}
-    )
+    # Only edges out of steps that are, or can become, skipped matter.
+    sources = front.unionByName(pending.withColumnRenamed("to_step_key", "step_key")).select("run_id", F.col("step_key").alias("from_step_key"))
+    paths = edges.join(pending, ["run_id", "to_step_key"], "left_semi").join(sources, ["run_id", "from_step_key"], "left_semi")
+    return reached_from(front, paths, "run_id").withColumns({"status": F.lit("skipped"), "error_message": F.lit(SKIPPED_BY_DEPENDENCY)})
 
 
 def rerun_plan(runs: DataFrame, steps: DataFrame, edges: DataFrame) -> DataFrame:

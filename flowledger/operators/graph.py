@@ -40,7 +40,7 @@ def known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def graph_errors(jobs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Structural errors as (job_id, problem, subject, detail); cycles are found by ``graph_order``."""
+    """Structural errors as (job_id, problem, subject, detail); cycles are found by ``graph_layers``."""
 
     def found(rows: DataFrame, problem: str, subject: Column, detail: Column) -> DataFrame:
         return rows.select(
@@ -219,9 +219,3 @@ def reachable(edges: DataFrame) -> DataFrame:
 
 def _has_cycle(pairs: DataFrame) -> bool:
     return not pairs.filter("from_step_key = to_step_key").isEmpty()
-
-
-def reduced_edges(edges: DataFrame) -> DataFrame:
-    """Edges of acyclic graphs that no longer path makes redundant."""
-    redundant = reachable(edges).filter("indirect").select(*EDGE)
-    return edges.select(*EDGE).distinct().join(redundant, EDGE, "left_anti")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowledger.functions.cron import cron_spec, schedule_key, zone_known, zone_or_utc
+from flowledger.functions.cron import cron_spec, day_matches, local_time, schedule_key, zone_known, zone_or_utc
 from flowledger.functions.text import clean
 from flowledger.operators.calendars import DAY, calendar, minute_number, minute_time, parsed_specs, tasks
 from flowledger.operators.latest import capped_occurrences
@@ -65,6 +65,26 @@ def occurrences(
     return ticks if cap is None else capped_occurrences(ticks, keys, cap)
 
 
+def matching_schedules(runs: DataFrame, schedules: DataFrame, time: str) -> DataFrame:
+    """(run columns, schedule_key): the schedules of a run's job that fire in the minute of the run's ``time``.
+
+    Distinct expressions become rows per minute of the day and meet runs on (job, zone, local minute of the day),
+    so a run meets only what fires at that time of day; the day is then tested once per expression and zone.
+    """
+    wanted = schedules.select("job_key", "schedule_key", _expression().alias("expr"), zone_or_utc(F.col("timezone")).alias("zone"))
+    wanted = materialize(wanted, "matched-schedules")
+    specs = materialize(parsed_specs(wanted), "matched-specs")
+    minutes = F.flatten(F.transform("spec.hour", lambda h: F.transform(F.col("spec.minute"), lambda m: (h * 60 + m).cast("short"))))
+    by_minute = wanted.select("job_key", "expr", "zone").distinct().join(specs, "expr").select("job_key", "expr", "zone", F.explode(minutes).alias("minute"))
+    # The time zone database has some hundred names, so the list of those in use is bounded.
+    zones = wanted.agg(F.collect_set("zone").alias("zones")).scalar()
+    local = local_time(F.col(time), F.col("zone"))
+    placed = runs.withColumn("zone", F.explode(zones)).withColumn("minute", (F.hour(local) * 60 + F.minute(local)).cast("short"))
+    same_time = placed.join(by_minute, ["job_key", "zone", "minute"]).join(specs, "expr")
+    fired = same_time.filter(day_matches(F.col("spec"), F.to_date(local)))
+    return fired.join(wanted, ["job_key", "expr", "zone"]).select(*runs.columns, "schedule_key")
+
+
 def next_ticks(
     schedules: DataFrame, after: Column, keys: Sequence[str] = KEYS, windows: Sequence[int] = NEXT_RUN_WINDOWS
 ) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowledger.functions import cron, times
-from flowledger.operators import contracts, content, counts, execution, filters, graph, schedules
+from flowledger.operators import contracts, content, counts, execution, filters, graph, layers, schedules
 from flowledger.operators.ranking import rank_within
 from flowledger.session import scratch_root
 from flowledger.streaming import fold, ingest, sinks
@@ -105,7 +105,7 @@ def test_reachability_of_a_chain_and_of_cycles(spark):
 
 def test_transitive_reduction(spark):
     edges = spark.createDataFrame([(1, "a", "b"), (1, "a", "c"), (1, "b", "c")], EDGES)
-    assert table(graph.reduced_edges(edges)) == [(1, "a", "b"), (1, "b", "c")]
+    assert table(layers.reduced_edges(edges)) == [(1, "a", "b"), (1, "b", "c")]
 
 
 def test_skips_travel_down_deep_chains(spark):
