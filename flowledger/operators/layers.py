@@ -24,10 +24,10 @@ def follow(pointers: DataFrame, key: str) -> DataFrame:
     """Each row's pointer followed to the end: (key, step_key, up, steps, open).
 
     ``pointers`` is (key, step_key, up), one row per step; ``up`` ends at a step without a pointer of its own, ``steps``
-    pointers away. ``open`` rows lie on a cycle or point into one.
+    pointers away. ``open`` rows lie on a cycle or point into one. Store ``pointers`` first.
     """
-    now = materialize(pointers.select(key, "step_key", "up", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("open")), "pointers")
-    for _ in range(math.ceil(math.log2(now.count() + 1)) + 1):
+    now = pointers.select(key, "step_key", "up", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("open"))
+    for nth in range(math.ceil(math.log2(now.count() + 1)) + 1):
         if now.filter("open").isEmpty():
             break
         ahead = now.select(key, F.col("step_key").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("open").alias("_open"))
@@ -36,7 +36,8 @@ def follow(pointers: DataFrame, key: str) -> DataFrame:
             F.coalesce("_open", F.lit(False)).alias("open"),
         )
         then = materialize(now.filter("not open").unionByName(moved), "pointers")
-        discard(now)
+        if nth:
+            discard(now)
         now = then
     return now
 
@@ -52,10 +53,11 @@ def graph_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     them count for their depth. Edges from or to unknown steps, and repeated edges, don't count.
     """
     spark = nodes.sparkSession
-    keys = nodes.select(*NODE).distinct()
+    keys = materialize(nodes.select(*NODE).distinct(), "graph-nodes")
     known = edges.select("job_id", "from_step_key", "to_step_key").distinct()
     for end in ("from_step_key", "to_step_key"):
         known = known.join(keys.withColumnRenamed("step_key", end), ["job_id", end], "left_semi")
+    known = materialize(known, "graph-edges")
     needs = known.groupBy("job_id", F.col("to_step_key").alias("step_key")).agg(
         F.count(F.lit(1)).alias("need"), F.min("from_step_key").alias("one")
     )
@@ -101,32 +103,32 @@ def reached_from(front: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
     In each phase every step that isn't reached points at one step before it, a reached one if there is any, and the
     pointers are followed: what ends at a reached step is reached. Chains cost a logarithm of rounds; a further
-    phase is needed only where the pointer of a step led elsewhere than another of its dependencies does.
+    phase is needed only where the pointer of a step led elsewhere than another of its dependencies does. No edge
+    may lead into ``front``; store it first.
     """
     spark = front.sparkSession
     path = scratch_path(spark, "reached")
     schema = front.select(key, "step_key").schema
-    front = materialize(front.select(key, "step_key").distinct(), "reach-front")
-    is_start = front.select(key, F.col("step_key").alias("to_step_key"))
-    left = materialize(edges.select(key, "from_step_key", "to_step_key").distinct().join(is_start, [key, "to_step_key"], "left_anti"), "reach-edges")
-    front.limit(0).write.parquet(path)
+    front.limit(0).select(key, "step_key").write.parquet(f"{path}/phase=0")
+    left = materialize(edges.select(key, "from_step_key", "to_step_key"), "reach-edges")
     phase = 0
     while True:
-        flagged = left.join(front.select(key, F.col("step_key").alias("from_step_key"), F.lit(True).alias("hit")), [key, "from_step_key"], "left")
+        phase += 1
+        hit = front.select(key, F.col("step_key").alias("from_step_key"), F.lit(True).alias("hit")).distinct()
         best = F.struct(F.col("hit").isNull(), F.xxhash64("from_step_key", F.lit(phase)))
-        pointers = materialize(
-            flagged.groupBy(key, F.col("to_step_key").alias("step_key")).agg(F.min_by("from_step_key", best).alias("up"), F.count("hit").alias("hits")), "reach-pointers"
-        )
+        pointed = left.join(hit, [key, "from_step_key"], "left").groupBy(key, F.col("to_step_key").alias("step_key"))
+        pointers = materialize(pointed.agg(F.min_by("from_step_key", best).alias("up"), F.count("hit").alias("hits")), "reach-pointers")
         if pointers.filter("hits > 0").isEmpty():
             break
         ends = follow(pointers, key).filter("not open")
-        new = materialize(ends.join(front.withColumnRenamed("step_key", "up"), [key, "up"], "left_semi").select(key, "step_key"), "reach-new")
-        _append(new, path)
+        new = ends.join(hit.withColumnRenamed("from_step_key", "up"), [key, "up"], "left_semi").select(key, "step_key")
+        new.write.parquet(f"{path}/phase={phase}")
+        front = spark.read.schema(schema).parquet(f"{path}/phase={phase}")
         # Edges into what is reached have done their work; edges out of it lead to the next phase.
-        then = materialize(left.join(new.withColumnRenamed("step_key", "to_step_key"), [key, "to_step_key"], "left_anti"), "reach-edges")
+        then = materialize(left.join(front.withColumnRenamed("step_key", "to_step_key"), [key, "to_step_key"], "left_anti"), "reach-edges")
         discard(left)
-        left, front, phase = then, new, phase + 1
-    return spark.read.schema(schema).parquet(path)
+        left = then
+    return spark.read.schema(schema).parquet(*[f"{path}/phase={i}" for i in range(phase)])
 
 
 def ancestor_bits(edges: DataFrame, layers: DataFrame) -> tuple[DataFrame, DataFrame]:
