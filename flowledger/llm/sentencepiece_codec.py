@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Distinct words a task remembers before it starts anew.
-REMEMBERED = 600_000
+#: Bytes of words and ids, and of the objects that hold them, that a task remembers before it starts anew.
+REMEMBERED, ENTRY = 48_000_000, 150
 
 WORD_AND_SIGNS = re.compile(r"(\w+)([^\w\0]+)")
 
@@ -157,6 +157,7 @@ class Codec:
         #: Ids as bytes, which takes a fraction of the memory and joins at once; and those of the generation before.
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.size = 0
         self.kind = "H" if len(self.model.pieces) <= 1 << 16 else "I"
         self.differ: set[str] = set()
         self.check = None
@@ -195,8 +196,8 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that aren't known yet, in one batch over the backend's threads."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.before = {}, self.known
+        if self.size > REMEMBERED:
+            self.known, self.before, self.size = {}, self.known, 0
         whole, split = set(), {}
         for word in words:
             if word in self.known:
@@ -213,6 +214,7 @@ class Codec:
         new = [w for w in whole if w not in self.known]
         ids = [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([self._whole(w) for w in new], add_special_tokens=False)] if new else []
         self.known.update(zip(new, ids, strict=True))
+        self.size += sum(map(len, new)) + sum(map(len, ids)) + ENTRY * (len(new) + len(split))
         if self.check and self.by_word and self.model.dummy_prefix:
             # the library puts the first marker before a word by itself, so it takes no empty or markless word
             alone = [w for w in new if w and w[0] != "\0"]
@@ -224,6 +226,10 @@ class Codec:
             if a in self.differ:
                 self.differ.add(word)
 
+    def forget(self) -> None:
+        """Drop what a task has learnt: worker processes live on, and their memory is shared with what runs next."""
+        self.known, self.before, self.differ, self.size = {}, {}, set(), 0
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.encode_checked(texts)[0]
 
@@ -267,16 +273,19 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
-            sizes = [len(t) for t in batch.column("text").to_pylist()]
-            for lo, hi in slices(sizes):
-                part = batch.slice(lo, hi - lo)
-                texts = part.column("text").to_pylist()
-                ids, same = own.encode_checked(texts)
-                lengths = np.array([len(x) for x in ids], dtype=np.int64)
-                ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))
-                trip = [own.decode(x) == t for x, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lengths), lists, pa.array(trip), pa.array(same)], names=["doc_id", "n_tokens", "ids", "round_trip", "parity"])
+        try:
+            for batch in batches:
+                sizes = [len(t) for t in batch.column("text").to_pylist()]
+                for lo, hi in slices(sizes):
+                    part = batch.slice(lo, hi - lo)
+                    texts = part.column("text").to_pylist()
+                    ids, same = own.encode_checked(texts)
+                    lengths = np.array([len(x) for x in ids], dtype=np.int64)
+                    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))
+                    trip = [own.decode(x) == t for x, t in zip(ids, texts, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lengths), lists, pa.array(trip), pa.array(same)], names=["doc_id", "n_tokens", "ids", "round_trip", "parity"])
+        finally:
+            own.forget()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, round_trip boolean, parity boolean")
