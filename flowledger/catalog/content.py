@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from flowledger.catalog.core import query
-from flowledger.operators import content, contracts, graph, steps
-from flowledger.session import scratch_path
+from flowledger.operators import content, contracts, dictionary, graph, steps
+from flowledger.session import materialize, scratch_path
 from flowledger.sources import artifacts
 
 BASE = ["Page", "Workflow"]
@@ -238,6 +238,25 @@ query(
         + [f"select url, '{t}' as entity from @pages where contains(html, '{t}')" for t in TERMS]
     ),
 )(lambda h: _pages(h).select("url", F.explode(content.page_entities(F.col("body"), BASE, TERMS)).alias("entity")))
+# A dictionary of its own table: all words of the benchmark, all part names' words and all nations.
+_DICTIONARY_SQL = """select distinct unnest(string_split(text, ' ')) as term from benchmark
+    union select distinct unnest(string_split(p_name, ' ')) from part union select n_name from nation"""
+
+
+def _dictionary(h):
+    words = lambda rows, column: rows.select(F.explode(F.split(column, " ")).alias("term"))
+    benchmark = h.spark.read.parquet(f"{h.folder}/benchmark.parquet")
+    part = h.spark.read.parquet(f"{h.folder}/part.parquet")
+    nation = h.spark.read.parquet(f"{h.folder}/nation.parquet")
+    every = words(benchmark, "text").unionByName(words(part, "p_name")).unionByName(nation.select(F.col("n_name").alias("term")))
+    return materialize(every.distinct(), "dictionary")
+
+
+query(
+    "M2_dictionary_entities",
+    f"""with t as ({_DICTIONARY_SQL}) select url, term from (select distinct url, html from @pages) p join t on contains(html, term)
+        where term <> '' group by url, term""",
+)(lambda h: dictionary.terms_in(_pages(h), _dictionary(h), "url"))
 query(
     "M3_page_links",
     """select url, url as link from @pages
