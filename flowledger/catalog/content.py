@@ -28,6 +28,21 @@ def _page_artifacts(h):
     return artifacts.artifacts(h.pages, F.concat(F.lit("pages/"), "page_id", F.lit(".html")), F.col("html"), "entities")
 
 
+def _page_files(h):
+    """Each page's body as an object of its own; the writer ends it with a line feed."""
+    path = scratch_path(h.spark, "page-files")
+    h.pages.select("page_id", F.col("html").alias("value")).repartition("page_id").write.partitionBy("page_id").text(path)
+    return path
+
+
+query(
+    "A5_listed_objects",
+    "select cast(page_id as varchar) as page_id, cast(strlen(html) + 1 as bigint) as length from @pages",
+)(
+    lambda h: artifacts.object_scan(h.spark, f"{_page_files(h)}/*/*.txt").select(
+        F.regexp_extract("path", "page_id=([0-9]+)/", 1).alias("page_id"), "length"
+    )
+)
 query(
     "A5_existing_objects",
     """select 'pages/' || e.event_id || '.html' as blob_path from @events e

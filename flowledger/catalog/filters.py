@@ -29,8 +29,8 @@ query("B2_run_by_id", "select id, run_key, job_id, status from @runs where id =
 )
 query(
     "B2_step_by_run_and_key",
-    "select run_id, step_key, status, duration_ms from @run_steps where run_id = 42 and step_key = 's3'",
-)(lambda h: lookup.find(h.run_steps, run_id=42, step_key="s3").select("run_id", "step_key", "status", "duration_ms"))
+    "select run_id, step_key, status, duration_ms from @run_steps where run_id = 13 and step_key = 's5'",
+)(lambda h: lookup.find(h.run_steps, run_id=13, step_key="s5").select("run_id", "step_key", "status", "duration_ms"))
 query("B2_item_link_by_run", "select id, queue_item_id, job_id, run_id from @queue_item_runs where run_id = 77")(
     lambda h: lookup.find(h.queue_item_runs, run_id=77).select("id", "queue_item_id", "job_id", "run_id")
 )
