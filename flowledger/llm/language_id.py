@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowledger.llm.id_filter import unlisted
+from flowledger.llm.memory import tidy
 from flowledger.session import materialize
 
 SLOTS = 1 << 16
@@ -93,7 +94,7 @@ def trigram_table(rows: DataFrame, languages: list[str]) -> np.ndarray:
         i, at = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[i, at])], names=["lang", "slot", "n"])
 
-    got = rows.select("declared", "text").mapInArrow(run, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select("declared", "text").mapInArrow(tidy(run), "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((SLOTS, len(languages)), 0.5)
     table[got.column("slot").to_numpy(), got.column("lang").to_numpy()] += got.column("n").to_numpy()
     return np.log(table / table.sum(axis=0)).astype(np.float32)
@@ -118,7 +119,7 @@ def text_evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists, pa.array(sizes, pa.int64())], names=[*names, "by_text", "trigrams"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text", "declared", "suffix", "host").mapInArrow(run, f"doc_id {kind}, declared string, suffix string, host string, by_text array<double>, trigrams long")
+    return rows.select("doc_id", "text", "declared", "suffix", "host").mapInArrow(tidy(run), f"doc_id {kind}, declared string, suffix string, host string, by_text array<double>, trigrams long")
 
 
 def _vector(languages: list[str]) -> Column:

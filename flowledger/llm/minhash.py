@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from flowledger.llm.components import connected_components
 from flowledger.llm.id_filter import listed, unlisted
+from flowledger.llm.memory import tidy
 from flowledger.llm.words import SHINGLE, WordHashes, mix, shingles
 from flowledger.session import discard, materialize
 
@@ -59,7 +60,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["slot", "n"])
 
     out = np.zeros(WIDTH + 1, np.int64)
-    got = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("text").mapInArrow(tidy(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     return out
 
@@ -145,7 +146,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                     names=["doc_id", "key1", "key2", "bands", "samples"],
                 )
 
-    return docs.mapInArrow(run, SKETCH)
+    return docs.mapInArrow(tidy(run), SKETCH)
 
 
 def buckets(leads: DataFrame) -> DataFrame:
@@ -182,8 +183,8 @@ def compare(pairs: DataFrame, samples: DataFrame, texts: DataFrame, idf: np.ndar
             yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node"), pa.array(sims, pa.float64())], names=["leader", "node", "sim"])
 
     own = lambda t, c: t.select(F.col("node").alias("leader"), F.col(c).alias("own"))
-    likely = pairs.join(samples, "node").join(own(samples, "samples"), "leader").mapInArrow(agree, "leader long, node long")
-    return likely.join(texts, "node").join(own(texts, "text"), "leader").select("leader", "own", "node", "text").mapInArrow(exact, "leader long, node long, sim double")
+    likely = pairs.join(samples, "node").join(own(samples, "samples"), "leader").mapInArrow(tidy(agree), "leader long, node long")
+    return likely.join(texts, "node").join(own(texts, "text"), "leader").select("leader", "own", "node", "text").mapInArrow(tidy(exact), "leader long, node long, sim double")
 
 
 def links(rows: DataFrame, leads: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:

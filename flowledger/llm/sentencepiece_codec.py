@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowledger.llm.memory import tidy
+
 MARK = "▁"
 #: Bytes of words and ids, and of the objects that hold them, that a task remembers before it starts anew.
 REMEMBERED, ENTRY = 48_000_000, 150
@@ -255,7 +257,7 @@ def codec(path: str, verify: bool = True) -> Codec:
     return Codec(path, verify)
 
 
-def slices(sizes: list[int], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(sizes: list[int], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows with so many characters together at most, or a single row."""
     start = held = 0
     for i, n in enumerate(sizes):
@@ -275,7 +277,7 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         own = codec(path)
         try:
             for batch in batches:
-                sizes = [len(t) for t in batch.column("text").to_pylist()]
+                sizes = [len(t.as_py()) for t in batch.column("text")]
                 for lo, hi in slices(sizes):
                     part = batch.slice(lo, hi - lo)
                     texts = part.column("text").to_pylist()
@@ -288,4 +290,4 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         finally:
             own.forget()
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, round_trip boolean, parity boolean")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, round_trip boolean, parity boolean")
