@@ -1,11 +1,14 @@
 """Writes, set logic and retention (operators A6-A11, D15, G2-G4)."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowledger.catalog.core import query
+from flowledger.catalog.core import ORACLES, query
 from flowledger.functions.times import literal_time
-from flowledger.operators import counts, joins, retention, store
-from flowledger.session import scratch_path
+from flowledger.operators import counts, joins, monthly, retention, store
+from flowledger.session import materialize, scratch_path
 
 NOW = "2001-08-01 00:00:00"
 
@@ -245,6 +248,60 @@ query(
     "G3_kept_events",
     f"with {_GONE_SQL} select id, run_id from @run_events where run_id not in (select id from gone)",
 )(lambda h: retention_of(h)["run_events"].kept.select("id", "run_id"))
+
+
+def _by_month(h):
+    """The six tables stored by month: runs and items by their own end, what hangs on a run by the run's."""
+    ended = counts.item_lifecycle(joins.links_with_runs(h.queue_item_runs, h.runs)).select(F.col("queue_item_id").alias("id"), "completed_at")
+    months = h.runs.select(F.col("id").alias("run_id"), monthly.month_of(F.col("completed_at")).alias("month"))
+    own = {"runs": h.runs, "queue_items": h.queue_items.join(ended, "id", "left")}
+    rows = {name: table.withColumn("month", monthly.month_of(F.col("completed_at"))) for name, table in own.items()}
+    for name in ("run_steps", "run_events", "queue_item_runs", "queue_item_step_metadata"):
+        rows[name] = getattr(h, name).join(months, "run_id", "left").withColumn("month", F.coalesce("month", F.lit(monthly.OPEN)))
+    tables = {name: monthly.MonthlyTable(scratch_path(h.spark, f"monthly-{name}"), table.schema) for name, table in rows.items()}
+    for name, table in rows.items():
+        tables[name].append(table)
+    return tables
+
+
+def _purged_months(h):
+    tables = _by_month(h)
+    monthly.purge_months(h.spark, tables, literal_time(RETENTION_NOW), RETENTION_DAYS)
+    parts = [table.read(h.spark).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows") for name, table in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+query(
+    "G3_kept_by_month",
+    f"""with {_GONE_SQL}
+        select 'runs' as table_name, count(*) as rows from @runs where id not in (select id from gone)
+        union all select 'queue_items', count(*) from @queue_items where id not in (select id from gone_items)
+        union all select 'run_steps', count(*) from @run_steps where run_id not in (select id from gone)
+        union all select 'run_events', count(*) from @run_events where run_id not in (select id from gone)
+        union all select 'queue_item_runs', count(*) from @queue_item_runs
+                  where run_id not in (select id from gone) and queue_item_id not in (select id from gone_items)
+        union all select 'queue_item_step_metadata', count(*) from @queue_item_step_metadata
+                  where run_id not in (select id from gone) and queue_item_id not in (select id from gone_items)""",
+)(_purged_months)
+
+
+def _deleted_months(h):
+    """The runs that were canceled deleted from the months that hold them, with all that hangs on them."""
+    tables = _by_month(h)
+    gone = materialize(h.runs.filter("status = 'cancelled'").select("id"), "canceled-runs")
+    for name in ("run_steps", "run_events", "queue_item_runs", "queue_item_step_metadata"):
+        tables[name].remove(gone, "run_id")
+    tables["runs"].remove(gone, "id")
+    names = {"runs": "parent"}
+    parts = [
+        table.read(h.spark).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(names.get(name, name)).alias("table_name"), "rows")
+        for name, table in tables.items()
+        if name != "queue_items"
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+query("A11_delete_cascade_by_month", ORACLES["A11_delete_cascade"])(_deleted_months)
 query(
     "D15_retention_counts",
     f"""with {_GONE_SQL}
