@@ -13,7 +13,6 @@ from flowledger.functions.status import exec_status
 from flowledger.functions.times import step_duration_ms
 from flowledger.operators.joins import parent_outputs
 from flowledger.operators.layers import reached_from
-from flowledger.session import materialize
 
 STEP = ["run_id", "step_key"]
 # Messages written with a skipped step.
@@ -44,13 +43,12 @@ def skipped_steps(steps: DataFrame, edges: DataFrame) -> DataFrame:
     A skip travels only along edges that end in a pending step; chains of any length cost a logarithm of rounds.
     """
     ended, waits = exec_status(F.col("status")).isin("failed", "canceled", "skipped"), F.col("status") == "pending"
-    state = materialize(steps.select(*STEP, ended.alias("ended"), waits.alias("waits")).filter("ended or waits"), "skip-steps")
+    state = steps.select(*STEP, ended.alias("hit"), waits.alias("waits")).filter("hit or waits")
     # Only edges from a step that is, or can become, skipped to a pending one matter.
-    paths = edges.join(state.filter("waits").withColumnRenamed("step_key", "to_step_key").select("run_id", "to_step_key"), ["run_id", "to_step_key"], "left_semi").join(
-        state.withColumnRenamed("step_key", "from_step_key").select("run_id", "from_step_key"), ["run_id", "from_step_key"], "left_semi"
-    )
-    front = state.filter("ended")
-    return reached_from(front, paths, "run_id").withColumns({"status": F.lit("skipped"), "error_message": F.lit(SKIPPED_BY_DEPENDENCY)})
+    pending = state.filter("waits").select("run_id", F.col("step_key").alias("to_step_key"))
+    sources = state.select("run_id", F.col("step_key").alias("from_step_key"), "hit")
+    paths = edges.join(pending, ["run_id", "to_step_key"], "left_semi").join(sources, ["run_id", "from_step_key"])
+    return reached_from(paths, "run_id").withColumns({"status": F.lit("skipped"), "error_message": F.lit(SKIPPED_BY_DEPENDENCY)})
 
 
 def rerun_plan(runs: DataFrame, steps: DataFrame, edges: DataFrame) -> DataFrame:

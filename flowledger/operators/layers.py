@@ -21,21 +21,22 @@ NODE = ["job_id", "step_key"]
 
 
 def follow(pointers: DataFrame, key: str) -> DataFrame:
-    """Each row's pointer followed to the end: (key, step_key, up, steps, open).
+    """Each row's pointer followed to the end: (key, step_key, up, last, steps, open).
 
-    ``pointers`` is (key, step_key, up), one row per step; ``up`` ends at a step without a pointer of its own, ``steps``
-    pointers away. ``open`` rows lie on a cycle or point into one. Store ``pointers`` first.
+    ``pointers`` is (key, step_key, up, last), one row per step; ``up`` ends at a step without a pointer of its own, ``steps``
+    pointers away, and ``last`` is that of the last row on the way. ``open`` rows lie on a cycle or point into
+    one. Store ``pointers`` first.
     """
-    now = pointers.select(key, "step_key", "up", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("open"))
+    now = pointers.select(key, "step_key", "up", "last", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("open"))
     for nth in range(math.ceil(math.log2(now.count() + 1)) + 1):
-        if now.filter("open").isEmpty():
+        if nth and now.filter("open").isEmpty():
             break
-        ahead = now.select(key, F.col("step_key").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("open").alias("_open"))
+        ahead = now.select(key, F.col("step_key").alias("up"), *[F.col(c).alias(f"_{c}") for c in ("up", "last", "steps", "open")])
         moved = now.filter("open").join(ahead, [key, "up"], "left").select(
-            key, "step_key", F.coalesce("_up", "up").alias("up"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-            F.coalesce("_open", F.lit(False)).alias("open"),
+            key, "step_key", F.coalesce("_up", "up").alias("up"), F.when(F.col("_up").isNull(), F.col("last")).otherwise(F.col("_last")).alias("last"),
+            (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.coalesce("_open", F.lit(False)).alias("open"),
         )
-        then = materialize(now.filter("not open").unionByName(moved), "pointers")
+        then = materialize(now.filter("not open").unionByName(moved) if nth else moved, "pointers")
         if nth:
             discard(now)
         now = then
@@ -62,7 +63,7 @@ def graph_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("need"), F.min("from_step_key").alias("one")
     )
     steps = materialize(keys.join(needs, NODE, "left").select(*NODE, F.coalesce("need", F.lit(0)).alias("need"), "one"), "graph-steps")
-    attached = follow(steps.filter("need = 1").select(*NODE, F.col("one").alias("up")), "job_id")
+    attached = follow(steps.filter("need = 1").select(*NODE, F.col("one").alias("up"), F.lit(None).cast("boolean").alias("last")), "job_id")
 
     # Arcs between steps with no or several dependencies, as long as the path they stand for. An arc behind a
     # cycle is left out, so what it leads to is never free.
@@ -98,37 +99,34 @@ def graph_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def reached_from(front: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """(key, step_key) of the steps that ``edges`` (key, from_step_key, to_step_key) lead to from ``front`` (key, step_key).
+def reached_from(edges: DataFrame, key: str) -> DataFrame:
+    """(key, step_key) of the steps that ``edges`` lead to from the starts.
 
-    In each phase every step that isn't reached points at one step before it, a reached one if there is any, and the
-    pointers are followed: what ends at a reached step is reached. Chains cost a logarithm of rounds; a further
-    phase is needed only where the pointer of a step led elsewhere than another of its dependencies does. No edge
-    may lead into ``front``; store it first.
+    ``edges`` is (key, from_step_key, to_step_key, hit), where ``hit`` says that the source is a start; none leads into a
+    start. In each phase every step that isn't reached points at one step before it, a reached one if there is
+    any, and the pointers are followed: what ends at a reached step is reached. Chains cost a logarithm of rounds; a
+    further phase is needed only where the pointer of a step led elsewhere than another of its dependencies does.
     """
-    spark = front.sparkSession
+    spark = edges.sparkSession
     path = scratch_path(spark, "reached")
-    schema = front.select(key, "step_key").schema
-    front.limit(0).select(key, "step_key").write.parquet(f"{path}/phase=0")
-    left = materialize(edges.select(key, "from_step_key", "to_step_key"), "reach-edges")
+    left = materialize(edges.select(key, "from_step_key", "to_step_key", "hit"), "reach-edges")
+    schema = left.select(key, F.col("to_step_key").alias("step_key")).schema
+    left.limit(0).select(key, F.col("to_step_key").alias("step_key")).write.parquet(f"{path}/phase=0")
     phase = 0
-    while True:
+    while not left.filter("hit").isEmpty():
         phase += 1
-        hit = front.select(key, F.col("step_key").alias("from_step_key"), F.lit(True).alias("hit")).distinct()
-        best = F.struct(F.col("hit").isNull(), F.xxhash64("from_step_key", F.lit(phase)))
-        pointed = left.join(hit, [key, "from_step_key"], "left").groupBy(key, F.col("to_step_key").alias("step_key"))
-        pointers = materialize(pointed.agg(F.min_by("from_step_key", best).alias("up"), F.count("hit").alias("hits")), "reach-pointers")
-        if pointers.filter("hits > 0").isEmpty():
-            break
-        ends = follow(pointers, key).filter("not open")
-        new = ends.join(hit.withColumnRenamed("from_step_key", "up"), [key, "up"], "left_semi").select(key, "step_key")
-        new.write.parquet(f"{path}/phase={phase}")
-        front = spark.read.schema(schema).parquet(f"{path}/phase={phase}")
+        best = F.struct(~F.col("hit"), F.xxhash64("from_step_key", F.lit(phase)))
+        pointed = left.groupBy(key, F.col("to_step_key").alias("step_key")).agg(F.min_by("from_step_key", best).alias("up"), F.bool_or("hit").alias("last"))
+        ends = follow(materialize(pointed, "reach-pointers"), key)
+        ends.filter("last and not open").select(key, "step_key").write.parquet(f"{path}/phase={phase}")
+        new = spark.read.schema(schema).parquet(f"{path}/phase={phase}")
         # Edges into what is reached have done their work; edges out of it lead to the next phase.
-        then = materialize(left.join(front.withColumnRenamed("step_key", "to_step_key"), [key, "to_step_key"], "left_anti"), "reach-edges")
+        rest = left.drop("hit").join(new.withColumnRenamed("step_key", "to_step_key"), [key, "to_step_key"], "left_anti")
+        sources = new.select(key, F.col("step_key").alias("from_step_key"), F.lit(True).alias("found"))
+        then = materialize(rest.join(sources, [key, "from_step_key"], "left").select(key, "from_step_key", "to_step_key", F.coalesce("found", F.lit(False)).alias("hit")), "reach-edges")
         discard(left)
         left = then
-    return spark.read.schema(schema).parquet(*[f"{path}/phase={i}" for i in range(phase)])
+    return spark.read.schema(schema).parquet(*[f"{path}/phase={i}" for i in range(phase + 1)])
 
 
 def ancestor_bits(edges: DataFrame, layers: DataFrame) -> tuple[DataFrame, DataFrame]:
