@@ -3,9 +3,11 @@
 The pages of a host are merged into one tree: a node is the path of (tag, class, id) from the root. For
 each node it is counted, over the host's distinct pages, which child layouts (presentation) and which texts
 (content) occur; a page that a host repeats counts once, so copies don't make an article template. The entropy of those counts, with the number of occurrences as base, is the node's
-importance: a branch that always looks and reads the same tells nothing and is template. From each page
-the branches of low importance are removed, along with those whose tag, role or class names a part that
-is no article text.
+importance: a node that always looks and reads the same tells nothing and is template. A branch of a page is
+removed when it and all nodes below it are of low importance, so a wrapper that never varies stays for the
+varied text in it. Parts whose tag, role or class names what is no article text are removed as well.
+A class or id names such a part by its words alone ("share", "comment-list"), not beside words of
+another meaning ("share-price"); an ``article`` only as a reader's comment.
 
 The article is what stands in ``article`` elements, else in ``main``, else in the body. Inside it only
 container branches can be removed by importance; running text (headings, paragraphs, lists, quotes) of
@@ -57,6 +59,12 @@ DROPPED_WORDS = frozenset(
     "newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus related "
     "recommended recommendations pagination pager toolbar masthead skip".split()
 )
+#: Words that only place or shape a part: they don't change what the words beside them name.
+SHAPE_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons column content container footer form group header holder icons inner item items left links list "
+    "main page panel post posts primary region right rail row secondary section site slot stories thread title top unit wrap wrapper zone".split()
+)
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split())
 #: With one of these, such a word tells of the page's layout: "has-sidebar", "no-ads".
 LAYOUT_WORDS = frozenset("has with without no layout".split())
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre b i em strong a span br code figure figcaption img hr q cite sub sup small u s".split())
@@ -75,11 +83,12 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 class Node:
-    __slots__ = ("tag", "name", "path", "dropped", "children", "running")
+    __slots__ = ("tag", "name", "path", "dropped", "children", "running", "said")
 
     def __init__(self, tag: str, name: str, path: int, dropped: bool, running: bool):
         self.tag, self.name, self.path, self.dropped, self.running = tag, name, path, dropped, running
         self.children: list[str] = []
+        self.said: list[str] = []
 
 
 @lru_cache(maxsize=100_000)
@@ -87,6 +96,15 @@ def _key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _names_part(tag: str, marks: list[str]) -> bool:
+    """Whether a class or the id names a part that is no article text."""
+    named = [set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", mark).lower())) for mark in " ".join(marks).split()]
+    telling = COMMENT_WORDS if tag == "article" else DROPPED_WORDS
+    if tag in ("html", "body", "main") or any(words & LAYOUT_WORDS for words in named):
+        return False
+    return any(words & telling and words <= DROPPED_WORDS | SHAPE_WORDS for words in named)
+
+
 @lru_cache(maxsize=20_000)
 def _element(tag: str, attrs: str) -> tuple[str, bool, bool]:
     """Name of a node in the style tree, whether it is never article text, and whether it is plain running text."""
@@ -94,10 +112,8 @@ def _element(tag: str, attrs: str) -> tuple[str, bool, bool]:
         return tag, tag in DROPPED, tag in RUNNING
     got = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attrs)}
     marks = [got.get("class", ""), got.get("id", "")]
-    words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(marks)).lower()))
     hidden = "hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", got.get("style", ""))
-    whole = tag in ("html", "body", "article", "main")
-    dropped = tag in DROPPED or got.get("role", "").lower() in DROPPED_ROLES or bool(hidden) or bool(words & DROPPED_WORDS) and not words & LAYOUT_WORDS and not (whole and tag != "article")
+    dropped = tag in DROPPED or got.get("role", "").lower() in DROPPED_ROLES or bool(hidden) or _names_part(tag, marks)
     return f"{tag}.{' '.join(sorted(marks[0].split()))}#{marks[1]}", dropped, tag in RUNNING and not any(marks)
 
 
@@ -167,18 +183,17 @@ def walk(page: str) -> Iterator[tuple[str, Node, list[Node], str]]:
 
 def features(page: str) -> Iterator[tuple[int, str, int]]:
     """What a page adds to the style tree: (node, "style" | "text", key of its child layout or of its own text)."""
-    own: dict[int, list[str]] = {}
     for what, node, stack, text in walk(page):
         if what == "text":
-            if stack[-1].path and text.strip():
-                own.setdefault(id(stack[-1]), []).append(text)
+            if text.strip():
+                node.said.append(text)
         elif what == "close" and not node.dropped and not node.running:
-            said = " ".join(" ".join(own.pop(id(node), [])).split())
+            said = " ".join(" ".join(node.said).split())
             yield node.path, "style", _key(" ".join(dict.fromkeys(node.children)))
             yield node.path, "text", _key(said) if said else 0
-        elif what == "close" and node.running and len(stack) > 1:
+        elif what == "close" and node.running:
             # running text counts as text of the container that holds it
-            own.setdefault(id(stack[-1]), []).extend(own.pop(id(node), []))
+            stack[-1].said.extend(node.said)
 
 
 def extract(page: str, removed: frozenset[int] = frozenset()) -> str:
@@ -198,22 +213,40 @@ def extract(page: str, removed: frozenset[int] = frozenset()) -> str:
     inside: Counter = Counter()
     places = lambda: ("body", *(k for k in ("article", "main") if inside[k]))
     where = places()
+    low: list[list] = []  # open nodes of low importance: node, sizes of ``found`` before it, whether a node below it is not low
     for what, node, stack, text in walk(page):
         if what == "text":
             if not off:
                 block.append(text)
             continue
-        if node.tag in BLOCK and not off:
-            flush()
         opens = what == "open" and node.tag not in VOID and node.path
         change = 1 if opens and node.tag not in RAW else -1 if what == "close" and node.path else 0
-        if node.dropped or node.path in removed and not (node.running and inside["article"]) and node.tag not in ("html", "body", "main", "article"):
-            if node.tag not in RAW:
-                flush() if not off else None
-                off += change
-        elif not off and node.tag in ("article", "main"):
+        if not off and (node.tag in BLOCK or node.dropped and node.tag not in RAW):
+            flush()
+        if node.dropped:
+            off += change if node.tag not in RAW else 0
+            continue
+        if off:
+            continue
+        if node.tag in ("article", "main"):
             inside[node.tag] += change
             where = places()
+        if not change:
+            continue
+        template = node.path in removed and not (node.running and inside["article"]) and node.tag not in ("html", "body", "main", "article")
+        if what == "close" and low and low[-1][0] is node:
+            flush()
+            _, sizes, telling = low.pop()
+            if not telling:
+                for kind, size in sizes.items():
+                    del found[kind][size:]
+            elif low:
+                low[-1][2] = True
+        elif what == "open" and template:
+            flush()
+            low.append([node, {kind: len(said) for kind, said in found.items()}, False])
+        elif what == "open" and low and not node.running:
+            low[-1][2] = True
     flush()
     return " ".join(next((x for x in (found["article"], found["main"], found["body"]) if x), []))
 

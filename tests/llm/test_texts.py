@@ -106,6 +106,104 @@ def test_copies_of_a_page_are_no_template(spark):
     assert [got[2000 + i] for i in range(10)] == [f"story {i} tells {i * i}" for i in range(10)]
 
 
+SHAPES = [
+    "<div><div class='inner'><div class='post'><p>{}</p></div></div></div>",
+    "<article><div><section><p>{}</p></section></div></article>",
+    "<main><div><div class='post'><p>{}</p></div></div></main>",
+    "<article><table><tr><td>{}</td><td>cell</td></tr></table></article>",
+    "<article><p>{}</p><div class='share-price'>up {}</div></article>",
+    "<article id='notice-board-story'><section class='related-work'><p>{}</p></section></article>",
+    "<div class='wrap'><div class='strap'>Our daily paper</div><div class='x'><div class='text'>{}</div></div></div>",
+    "<article><p>{}</p><div class='comment-list'><article class='comment'><p>so true {}</p></article></div></article>",
+    "<article><p>{}</p></article><div class='y'></div><nav>go there</nav><div class='y'></div>",
+]
+
+
+def brute_main_texts(pages):
+    """The texts of well-formed pages of one host by a style tree of nested lists, all nodes compared with their definition."""
+    import math
+    from html.parser import HTMLParser
+
+    h = html_extraction
+
+    class Tree(HTMLParser):
+        def __init__(self, page):
+            super().__init__()
+            self.at = [("", (), {}, [])]
+            self.feed(page)
+
+        def handle_starttag(self, tag, attrs):
+            attrs = dict(attrs)
+            name = (tag, attrs.get("class"), attrs.get("id"))
+            node = (tag, (*self.at[-1][1], name), attrs, [])
+            self.at[-1][3].append(node)
+            self.at.append(node)
+
+        def handle_endtag(self, tag):
+            assert self.at.pop()[0] == tag
+
+        def handle_data(self, data):
+            self.at[-1][3].append(data)
+
+    def running(node):
+        return node[0] in h.RUNNING and not node[2]
+
+    def own(node):
+        return " ".join(" ".join(x if isinstance(x, str) else own(x) if running(x) else "" for x in node[3]).split())
+
+    def dropped(node):
+        return node[0] in h.DROPPED or h._names_part(node[0], [node[2].get("class", ""), node[2].get("id", "")])
+
+    looks, says = {}, {}
+
+    def count(node):
+        for child in node[3]:
+            if not isinstance(child, str):
+                count(child)
+        if node[0] and not running(node):
+            looks.setdefault(node[1], []).append(tuple(dict.fromkeys(x[1][-1] for x in node[3] if not isinstance(x, str))))
+            says.setdefault(node[1], []).append(own(node))
+
+    def entropy(seen):
+        n = len(seen)
+        return 1.0 if n < 2 else -sum(seen.count(x) / n * math.log(seen.count(x) / n, n) for x in set(seen))
+
+    def low(node):
+        if running(node):
+            return all(isinstance(x, str) or low(x) for x in node[3])
+        few = len(looks[node[1]]) < h.LEAST_SEEN
+        if few or node[0] in ("html", "body", "main", "article") or max(entropy(looks[node[1]]), entropy(says[node[1]])) >= h.LEAST_IMPORTANCE:
+            return False
+        return all(isinstance(x, str) or dropped(x) or low(x) for x in node[3])
+
+    def text(node):
+        return " ".join(x if isinstance(x, str) else "" if dropped(x) or not running(x) and low(x) else text(x) for x in node[3])
+
+    def inner(node, tag):
+        below = [x for x in node[3] if not isinstance(x, str) and not dropped(x)]
+        return [node] if node[0] == tag else [y for x in below for y in inner(x, tag)]
+
+    trees = [Tree(page).at[0] for page in pages]
+    for tree in {page: tree for page, tree in zip(pages, trees, strict=True)}.values():
+        count(tree)
+    return [" ".join(" ".join(text(x) for x in inner(tree, "article") or inner(tree, "main") or inner(tree, "body")).split()) for tree in trees]
+
+
+def test_nested_containers_against_a_brute_force_style_tree(spark):
+    rows, want = [], {}
+    for s, shape in enumerate(SHAPES):
+        page = f"<html><body><div class='strip'><div>Top of the site</div></div>{shape}</body></html>"
+        pages = [page.replace("{}", f"story {i} of {s} tells {i * i}") for i in range(8)]
+        rows += [(100 * s + i, f"https://h{s}.example/{i}", p) for i, p in enumerate(pages)]
+        want |= {100 * s + i: t for i, t in enumerate(brute_main_texts(pages))}
+    got = {r.page_id: r.text for r in html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    story = lambda s: f"story 3 of {s} tells 9"
+    assert [got[100 * s + 3] for s in range(9)] == [
+        story(0), story(1), story(2), story(3) + " cell", f"{story(4)} up {story(4)}", story(5), story(6), story(7), story(8)
+    ]
+
+
 # -- archives ----------------------------------------------------------------------------------------
 
 PAGES = [(7, "u\r\nx", None), (1, None, "x" * 100), (2, "u", "x" * 100), (None, "u", "x" * 100), (5, "u", "y" * 99), (6, "u", "y" * 99), (1, "again", "x" * 100), (9, "é", "WARC/1.1\r\n\r\n" * 20)]
