@@ -1,14 +1,16 @@
 """WARC archives: a writer that rolls gzip-per-record files and a reader that salvages damaged ones.
 
 The reader checks each record (member checksum, version line, Content-Length, block digest, closing
-line ends). After a failed check it looks for the next offset at which a valid gzip member, or a
-version line, begins, goes on from there and reports the bytes in between as a gap, so later records
-are recovered and nothing is lost silently.
+line ends). After a failed check it looks for the next offset at which a gzip member that holds a version
+line, or a version line, begins, goes on from there and reports the bytes in between as a gap, so later
+records are recovered and nothing is lost silently. An archive may mix plain records and members, and a
+member may hold any number of records; within its data the search for version lines is the same. Of a
+damaged member those records are kept that stand before the damage and whose block digest holds.
 
 Defined results: a null payload is empty; a null id or URI is left out of the record and read back as
 null; line ends in a URI are percent-encoded; repeated rows give a record each (rows that share the
 smallest id of a payload are all responses); an empty table gives no archives and no records. Further
-columns of the input are ignored. A record is held in memory whole, an archive never is.
+columns of the input are ignored. A plain record or a member is held in memory whole, an archive never is.
 """
 
 from __future__ import annotations
@@ -32,13 +34,18 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nConten
 LEAST_REVISIT = 100
 ROLL_BYTES = 32 << 20
 CHUNK = 256 << 10
+STEP = 4096
 ID_PREFIX = "urn:x-page:"
 
 MANIFEST = "path string, records long, bytes long"
 RECORDS = (
     "path string, offset long, length long, gap string, record_type string, record_id string, target_uri string, "
-    "refers_to string, declared_digest string, declared_length long, payload binary"
+    "refers_to string, declared_digest string, declared_length long, payload binary, inner long, inner_length long"
 )
+#: Where a record can begin. A line of a plain record and the magic number of a member.
+START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+LONGEST_START = 10
 
 
 # -- writing ---------------------------------------------------------------------------------------
@@ -147,9 +154,10 @@ class _Source:
         self.file.seek(offset)
         return self.file.read(max(0, min(size, self.size - offset)))
 
-    def find(self, pattern: bytes, start: int) -> int:
-        """Offset of the next ``pattern``, or the end."""
-        while start < self.size:
+    def find(self, pattern: bytes, start: int, most: int) -> int:
+        """Offset of the next ``pattern`` within about ``most`` bytes, or the end."""
+        last = start + most
+        while start < self.size and start <= last:
             data = self.at(start, CHUNK + len(pattern) - 1)
             if (i := data.find(pattern)) >= 0:
                 return start + i
@@ -157,22 +165,26 @@ class _Source:
         return self.size
 
 
-def _inflate(source: _Source, offset: int, most: int | None = None) -> tuple[bytes, int]:
-    """The member at ``offset`` and its compressed length; with ``most``, so many bytes of it unchecked."""
-    unpacker, parts, got, at = zlib.decompressobj(31), [], 0, offset
-    while not unpacker.eof:
-        data = source.at(at, CHUNK if most is None else 4096)
+def _inflate(source: _Source, offset: int, most: int | None = None) -> tuple[bytes, int, str | None, list[tuple[int, int]]]:
+    """Data of the member at ``offset`` as far as it can be read, its compressed length, what is wrong with it, and (data, offset) where each step began.
+
+    With ``most``, so many bytes of the data, unchecked.
+    """
+    unpacker, parts, got, at, damage, steps = zlib.decompressobj(31), [], 0, offset, None, []
+    while not unpacker.eof and damage is None and (most is None or got < most):
+        # small steps, since what a step gave before an error in it is lost
+        data = source.at(at, STEP)
         if not data:
-            raise Damaged("member cut off")
+            damage = "member cut off"
+            break
+        steps.append((got, at))
         at += len(data)
         try:
             parts.append(unpacker.decompress(data) if most is None else unpacker.decompress(data, most - got))
+            got += len(parts[-1])
         except zlib.error as e:
-            raise Damaged(f"member: {e}") from None
-        got += len(parts[-1])
-        if most is not None and got >= most:
-            break
-    return b"".join(parts), at - offset - len(unpacker.unused_data)
+            damage = f"member: {e}"
+    return b"".join(parts), at - offset - len(unpacker.unused_data), damage, steps
 
 
 def _headers(data: bytes) -> dict[str, str]:
@@ -206,57 +218,86 @@ def _content_length(head: dict[str, str]) -> int:
     return int(n)
 
 
-def _read_member(source: _Source, offset: int) -> tuple[dict, int]:
-    if source.at(offset, 3) != MEMBER:
-        raise Damaged("no member")
-    data, length = _inflate(source, offset)
-    head, found, rest = data.partition(b"\r\n\r\n")
-    if not found:
-        raise Damaged("head cut off")
-    head = _headers(head)
-    n = _content_length(head)
-    if rest[n:] != b"\r\n\r\n":
-        raise Damaged("length differs")
-    return _record(head, rest[:n]), length
-
-
-def _read_plain(source: _Source, offset: int) -> tuple[dict, int]:
-    end = source.find(b"\r\n\r\n", offset)
+def _member_rows(data: bytes, whole: bool) -> Iterator[dict]:
+    """Records and gaps in the data of a member, by place; of a damaged member only what a block digest vouches for."""
+    at = 0
+    while at < len(data):
+        try:
+            end = data.find(b"\r\n\r\n", at)
+            if end < 0:
+                raise Damaged("head cut off")
+            head = _headers(data[at:end])
+            start, n = end + 4, _content_length(head)
+            if data[start + n : start + n + 4] != b"\r\n\r\n":
+                raise Damaged("length differs")
+            if not whole and not head.get("warc-block-digest", "").startswith("sha256:"):
+                raise Damaged("in a damaged member, without digest")
+            yield {"inner": at, "inner_length": start + n + 4 - at, "gap": None} | _record(head, data[start : start + n])
+            at = start + n + 4
+        except Damaged as e:
+            found = VERSION_LINE.search(data, at + 1)
+            to = found.start() if found else len(data)
+            yield {"inner": at, "inner_length": to - at, "gap": str(e)}
+            at = to
+
+
+def _read_member(source: _Source, offset: int) -> Iterator[dict]:
+    """The rows of the member at ``offset``. All tell its place; only the first counts its bytes."""
+    data, length, damage, steps = _inflate(source, offset)
+    rows = list(_member_rows(data, damage is None))
+    if damage:
+        # the bytes up to the last record that holds are this member's for certain
+        rows = [r for r in rows if not r["gap"]]
+        sure = max((r["inner"] + r["inner_length"] for r in rows), default=0)
+        length = _next_start(source, max((at for got, at in steps if got <= sure), default=offset)) - offset
+        rows.append({"inner": None, "inner_length": None, "gap": damage})
+    elif not rows:
+        rows = [{"inner": 0, "inner_length": 0, "gap": "empty member"}]
+    for i, row in enumerate(rows):
+        yield {"offset": offset, "length": 0 if i else length} | row
+
+
+def _read_plain(source: _Source, offset: int) -> Iterator[dict]:
+    """The record whose version line stands at ``offset``."""
+    end = source.find(b"\r\n\r\n", offset, 4 * CHUNK)
     if end == source.size or end - offset > 4 * CHUNK:
         raise Damaged("head cut off")
     head = _headers(source.at(offset, end - offset))
     start, n = end + 4, _content_length(head)
     if start + n + 4 > source.size or source.at(start + n, 4) != b"\r\n\r\n":
         raise Damaged("length differs")
-    return _record(head, source.at(start, n)), start + n + 4 - offset
+    yield {"offset": offset, "length": start + n + 4 - offset, "gap": None, "inner": None, "inner_length": None} | _record(head, source.at(start, n))
 
 
-def _next_start(source: _Source, offset: int, packed: bool) -> int:
-    """The next offset after ``offset`` at which a member holding a version line, or a version line, begins."""
-    while True:
-        offset = source.find(MEMBER if packed else b"WARC/1.", offset + 1)
-        if offset >= source.size or not packed and re.fullmatch(rb"WARC/1\.[01]\r\n", source.at(offset, 10)):
-            return offset
-        if packed:
-            try:
-                if _inflate(source, offset, 7)[0] == b"WARC/1.":
-                    return offset
-            except Damaged:
-                pass
+def _next_start(source: _Source, offset: int) -> int:
+    """The next offset after ``offset`` at which a version line, or a member that holds one, begins; else the end."""
+    at = offset + 1
+    while at < source.size:
+        data = source.at(at, CHUNK + LONGEST_START - 1)
+        for found in START.finditer(data):
+            start = at + found.start()
+            if found[0] != MEMBER or VERSION_LINE.match(_inflate(source, start, LONGEST_START)[0]):
+                return start
+        at += CHUNK
+    return source.size
 
 
 def salvage(file) -> Iterator[dict]:
-    """Records and gaps of an open archive, in order; together they cover every byte."""
+    """Records and gaps of an open archive, in order; the lengths of all cover every byte once."""
     source, offset = _Source(file), 0
-    packed = source.find(MEMBER, 0) < source.find(b"WARC/1.", 0)
     while offset < source.size:
         try:
-            record, length = (_read_member if packed else _read_plain)(source, offset)
-            yield {"offset": offset, "length": length, "gap": None} | record
+            if source.at(offset, 3) == MEMBER:
+                rows = _read_member(source, offset)
+            else:
+                rows = _read_plain(source, offset)
+            row = next(rows)
         except Damaged as e:
-            length = _next_start(source, offset, packed) - offset
-            yield {"offset": offset, "length": length, "gap": str(e)}
-        offset += length
+            length = _next_start(source, offset) - offset
+            row, rows = {"offset": offset, "length": length, "gap": str(e)}, iter(())
+        yield row
+        yield from rows
+        offset += row["length"]
 
 
 def read_archives(paths: DataFrame) -> DataFrame:
@@ -265,8 +306,8 @@ def read_archives(paths: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        names = ["path", "offset", "length", "gap", "record_type", "record_id", "target_uri", "refers_to", "declared_digest", "declared_length", "payload"]
-        kinds = {"offset": pa.int64(), "length": pa.int64(), "declared_length": pa.int64(), "payload": pa.binary()}
+        names = ["path", "offset", "length", "gap", "record_type", "record_id", "target_uri", "refers_to", "declared_digest", "declared_length", "payload", "inner", "inner_length"]
+        kinds = {"offset": pa.int64(), "length": pa.int64(), "declared_length": pa.int64(), "payload": pa.binary(), "inner": pa.int64(), "inner_length": pa.int64()}
         schema = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
         rows, size = [], 0
         for batch in batches:
@@ -275,7 +316,7 @@ def read_archives(paths: DataFrame) -> DataFrame:
                 with system.open_input_file(at) as file:
                     for row in salvage(file):
                         rows.append({"path": path} | row)
-                        size += row["length"] + len(row.get("payload") or b"")
+                        size += 200 + len(row.get("payload") or b"")
                         if size > 8 << 20 or len(rows) >= 5_000:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows, size = [], 0
@@ -286,8 +327,8 @@ def read_archives(paths: DataFrame) -> DataFrame:
 
 
 def quarantine(read: DataFrame) -> DataFrame:
-    """The byte ranges that held no valid record, with the reason."""
-    return read.filter(F.col("gap").isNotNull()).select("path", "offset", "length", F.col("gap").alias("reason"))
+    """The byte ranges that held no valid record, with the reason; ``inner`` and ``inner_length`` are the range in the data of a valid member."""
+    return read.filter(F.col("gap").isNotNull()).select("path", "offset", "length", "inner", "inner_length", F.col("gap").alias("reason"))
 
 
 def page_records(read: DataFrame) -> DataFrame:

@@ -267,6 +267,34 @@ def test_salvage_of_a_lying_length():
     assert [r["record_id"] for r in warc.salvage(io_file(b"".join(parts))) if not r["gap"]] == ["0", "1", "3", "4", "5"]
 
 
+def test_salvage_of_mixed_archives_and_members_of_many_records():
+    plain, packed = records(9, compress=False), records(9)
+
+    def ids(data):
+        found = list(warc.salvage(io_file(data)))
+        assert sum(r["length"] for r in found) == len(data)
+        return [int(r["record_id"]) for r in found if not r["gap"]], [r for r in found if r["gap"]]
+
+    three = b"".join(plain[2:5])
+    assert ids(warc._member(three)) == ([2, 3, 4], [])
+    assert ids(packed[0] + plain[1] + plain[2]) == ([0, 1, 2], [])
+    assert ids(plain[0] + plain[1] + packed[2] + plain[3] + warc._member(three) + packed[5]) == ([0, 1, 2, 3, 2, 3, 4, 5], [])
+    # damage between the two kinds, within a member of many records, and of such a member
+    got, gaps = ids(plain[0] + packed[1][:-20] + plain[2] + b"noise" + packed[3])
+    assert got == [0, 2, 3] and len(gaps) == 2
+    got, gaps = ids(warc._member(plain[0] + plain[1][40:] + plain[2]) + plain[3])
+    assert got == [0, 2, 3] and [(g["inner"], g["inner_length"]) for g in gaps] == [(len(plain[0]), len(plain[1]) - 40)]
+    noise = [hashlib.sha256(bytes([i])).hexdigest().encode() * 400 for i in range(6)]
+    long = [warc.format_record(i, "u", n, hashlib.sha256(n).hexdigest(), None) for i, n in enumerate(noise)]
+    member = zlib.compressobj(0, zlib.DEFLATED, 31)
+    member = member.compress(b"".join(long)) + member.flush()
+    at = member.find(long[4][:60])
+    got, gaps = ids(member[: at - 500] + bytes(b ^ 255 for b in member[at - 500 : at - 400]) + member[at - 400 :] + plain[7])
+    # records after the damage stand in a stored block, so their version lines are found again; the member's trailer is a gap
+    assert got == [0, 1, 2, 4, 5, 7] and gaps[0]["gap"].startswith("member") and [g["length"] for g in gaps[1:]] == [13]
+    assert ids(warc._member(b"")) == ([], [{"offset": 0, "length": 20, "inner": 0, "inner_length": 0, "gap": "empty member"}])
+
+
 def io_file(data):
     class File(io.BytesIO):
         def size(self):
