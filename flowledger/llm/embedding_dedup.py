@@ -5,10 +5,14 @@
    projections and compared within short runs of that order, for several projections.
 3. A round of the descent joins each node's neighbours, forward and backward, and compares them with one
    another; what beats a node's worst neighbour enters its list. A list whose entries all reach the
-   threshold is saturated, and doubles. No entry that reaches the threshold is ever dropped.
-4. The recall of links is audited against brute force for a bounded number of nodes; below the target, further
-   projections and rounds follow.
-5. Links at the threshold give the components. Within each component every pair is then compared exactly, in blocks of
+   threshold is saturated, and doubles.
+4. Links at the threshold give the components. A component with more nodes than a list has entries can fill its
+   members' lists and hide a weaker link to another one, so the descent goes on between components: the members of
+   such components keep lists of neighbours in other components only, until no round finds a link between two
+   components and hardly anything enters a list. What it links is one component from then on.
+5. The recall of links is audited against brute force for a bounded number of nodes, half of them drawn from all nodes
+   and half one per component; below the target, further projections and rounds follow, until it is met.
+6. Within each component every pair is then compared exactly, in blocks of
    bounded size that are counted and not listed, so the number of links is exact for what the descent connected.
 
 Defined results: a vector that is null, empty, zero, or holds a null or non-finite component, and a vector
@@ -35,8 +39,8 @@ NEIGHBOURS = 8
 TABLES, BITS, RUN = 4, 32, 64
 #: Rounds at most, and the share of entries below which a round that brought so few is the last.
 ROUNDS, SETTLED = 3, 0.01
-#: Nodes whose links are found by brute force to measure recall, the share that must be found, and further attempts.
-AUDITED, TARGET, ATTEMPTS = 256, 0.99, 3
+#: Nodes whose links are found by brute force to measure recall, and the share that must be found.
+AUDITED, TARGET = 256, 0.99
 #: Rows of a block of a large component.
 CHUNK = 256
 
@@ -78,10 +82,12 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _top(sims: np.ndarray, k: int, floor: np.ndarray | float = -2.0) -> tuple[np.ndarray, np.ndarray]:
-    """Places (row, column) of each row's k best entries above the row's floor."""
+def _top(sims: np.ndarray, k: int, floor: np.ndarray | float = -2.0, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of each row's k best entries above the row's floor; with ``part``, among the columns of other parts."""
     sims = sims.copy()
     np.fill_diagonal(sims, -3)
+    if part is not None:
+        sims[part[:, None] == part[None, :]] = -3
     best = np.zeros(sims.shape, bool)
     k = min(k, len(sims) - 1)
     if k > 0:
@@ -104,7 +110,9 @@ def usable() -> Column:
 
 
 def projected(nodes: DataFrame, tables: list[int]) -> DataFrame:
-    """Neighbours within short runs of the order of projection signs."""
+    """Neighbours within short runs of the order of projection signs; where ``nodes`` tell their component, those in other components."""
+    apart = "component" in nodes.columns
+    extra = ["component"] if apart else []
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,8 +122,8 @@ def projected(nodes: DataFrame, tables: list[int]) -> DataFrame:
                     planes = np.random.default_rng([t, x.shape[1]]).normal(size=(x.shape[1], BITS))
                     code = ((x @ planes) > 0).astype(np.int64) @ (1 << np.arange(BITS, dtype=np.int64)[::-1])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), t), pa.int32()), part.column("label"), pa.array(np.full(len(x), x.shape[1]), pa.int32()), pa.array(code), part.column("node"), part.column("embedding")],
-                        names=["t", "label", "dim", "code", "node", "embedding"],
+                        [pa.array(np.full(len(x), t), pa.int32()), part.column("label"), pa.array(np.full(len(x), x.shape[1]), pa.int32()), pa.array(code), part.column("node"), part.column("embedding"), *(part.column(c) for c in extra)],
+                        names=["t", "label", "dim", "code", "node", "embedding", *extra],
                     )
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +131,13 @@ def projected(nodes: DataFrame, tables: list[int]) -> DataFrame:
             if group.num_rows > 1:
                 x, ids = _vectors(group.column("embedding").combine_chunks()), group.column("node").to_numpy()
                 sims = x @ x.T
-                i, j = _top(sims, NEIGHBOURS)
+                i, j = _top(sims, NEIGHBOURS, part=group.column("component").to_numpy() if apart else None)
                 yield _edges(ids[i], ids[j], sims[i, j])
 
     kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
-    coded = nodes.select("node", "label", "embedding").mapInArrow(signs, f"t int, label {kinds['label']}, dim int, code long, node long, embedding {kinds['embedding']}")
+    coded = nodes.select("node", "label", "embedding", *extra).mapInArrow(
+        signs, f"t int, label {kinds['label']}, dim int, code long, node long, embedding {kinds['embedding']}" + ", component long" * apart
+    )
     keys = ["t", "label", "dim", "code", "node"]
     return coded.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(runs, EDGES)
 
@@ -182,7 +192,7 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     floors = floors.select(F.col("u").alias("node"), F.when(F.col("n") >= F.col("k"), F.col("worst")).otherwise(-2.0).alias("floor"))
     near = graph.filter("rank <= k").select(F.col("u").alias("at"), F.col("v").alias("node"), "sim", "k")
     back = graph.filter("rank <= k").select(F.col("v").alias("at"), F.col("u").alias("node"), "sim", "k")
-    back = back.withColumn("nth", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("sim"), "node"))).filter(F.col("nth") <= 2 * NEIGHBOURS).drop("nth")
+    back = back.withColumn("nth", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("sim"), "node"))).filter(F.col("nth") <= 2 * F.col("k")).drop("nth")
     own = nodes.select(F.col("node").alias("at"), "node")
     members = near.select("at", "node").union(back.select("at", "node")).union(own).distinct()
     held = members.join(nodes.select("node", "embedding").join(floors, "node", "left"), "node").select("at", "node", "embedding", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
@@ -207,12 +217,82 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return held.repartition("at").sortWithinPartitions("at").mapInArrow(compare, EDGES).groupBy("u", "v").agg(F.max("sim").alias("sim"))
 
 
+def _across(edges: DataFrame, where: DataFrame) -> DataFrame:
+    """u, v, sim, new, rank of the best entries that lead from a large component to another one; ``where`` is (node, component, large)."""
+    known = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    known = known.join(where.select(F.col("node").alias("u"), F.col("component").alias("cu"), "large"), "u").filter("large")
+    known = known.join(where.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v").filter("cu <> cv")
+    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v")))
+    return ranked.filter(F.col("rank") <= NEIGHBOURS).select("u", "v", "sim", "new", "rank")
+
+
+def descend_across(across: DataFrame, graph: DataFrame, nodes: DataFrame, where: DataFrame) -> DataFrame:
+    """One round between components: u, v, sim of pairs that beat the worst entry of u's list ``across``.
+
+    At each node meet its own neighbours and those across, forward and backward, so what one member of a
+    component knows of other components reaches the members around it.
+    """
+    known = graph.filter(F.col("rank") <= NEIGHBOURS).select("u", "v", "sim").union(across.select("u", "v", "sim"))
+    back = known.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))).filter(F.col("nth") <= 2 * NEIGHBOURS)
+    own = where.select(F.col("node").alias("at"), "node")
+    members = known.select(F.col("u").alias("at"), F.col("v").alias("node")).union(back.select(F.col("v").alias("at"), F.col("u").alias("node"))).union(own).distinct()
+    # only where a member of a large component meets another component is there anything to compare
+    placed = members.join(where, "node")
+    useful = placed.groupBy("at").agg(F.bool_or("large").alias("any"), (F.min("component") != F.max("component")).alias("two")).filter("any and two").select("at")
+    floors = across.groupBy("u").agg(F.min("sim").alias("worst"), F.count("*").alias("n")).filter(F.col("n") >= NEIGHBOURS).select(F.col("u").alias("node"), F.col("worst").alias("floor"))
+    floor = F.when(F.col("large"), F.coalesce("floor", F.lit(-2.0))).otherwise(2.0)
+    held = placed.join(useful, "at", "left_semi").join(floors, "node", "left").join(nodes.select("node", "embedding"), "node")
+    held = held.select("at", "node", "component", floor.alias("floor"), "embedding")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["at"]):
+            x, ids = _vectors(group.column("embedding").combine_chunks()), group.column("node").to_numpy()
+            sims = x @ x.T
+            i, j = _top(sims, NEIGHBOURS, group.column("floor").to_numpy(), group.column("component").to_numpy())
+            yield _edges(ids[i], ids[j], sims[i, j])
+
+    return held.repartition("at").sortWithinPartitions("at").mapInArrow(compare, EDGES).groupBy("u", "v").agg(F.max("sim").alias("sim"))
+
+
+def joined_components(links: DataFrame, graph: DataFrame, nodes: DataFrame, tables: list[int], threshold: float) -> DataFrame:
+    """node, component over ``links`` (a, b) and those that the descent between components finds."""
+    found, across = links, None
+    while True:
+        parts = materialize(connected_components(found), "vector-components")
+        large = parts.groupBy("component").agg((F.count("*") > NEIGHBOURS).alias("large")).filter("large")
+        if large.isEmpty():
+            return parts
+        where = nodes.select("node").join(parts, "node", "left").join(large, "component", "left")
+        where = materialize(where.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("large", F.lit(False)).alias("large")), "vector-places")
+        # with the components of now: other lists have become stale, other components large
+        seeds = _both(projected(nodes.join(where.select("node", "component"), "node"), tables), 0).union(_old(graph))
+        if across is not None:
+            seeds = seeds.union(across.select("u", "v", "sim", F.lit(0).alias("new")))
+        across = materialize(_across(seeds, where), "neighbours-across")
+        while True:
+            edges = across.select("u", "v", "sim", F.lit(0).alias("new")).union(_both(descend_across(across, graph, nodes, where), 1))
+            then = materialize(_across(edges, where), "neighbours-across")
+            discard(across)
+            across = then
+            entered, total, linked = then.agg(F.coalesce(F.sum("new"), F.lit(0)), F.count("*"), F.count(F.when(F.col("sim") >= threshold, 1))).first()
+            if linked or entered <= SETTLED * total:
+                break
+        if not linked:
+            return parts
+        found = found.union(materialize(across.filter(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")), "links-across"))
+        discard(where)
+
+
 def audit_recall(parts: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, audited: int = AUDITED) -> tuple[int, int]:
     """(links whose ends ``parts`` (node, component) joins, links there are) of a bounded number of nodes, by brute force.
 
     A link within a component is counted exactly later, so a link is found when both ends are in one component.
+    Half of the nodes stand for components, else large ones would hide what the small ones lack.
     """
-    queries = nodes.orderBy(F.xxhash64("node")).limit(audited).select("node", "label", "embedding").toArrow()
+    order = F.xxhash64("node")
+    firsts = parts.groupBy("component").agg(F.min_by("node", order).alias("node")).select("node")
+    chosen = nodes.select("node").orderBy(order).limit(audited // 2).union(firsts.orderBy(order).limit(audited // 2)).distinct()
+    queries = nodes.join(chosen, "node", "left_semi").select("node", "label", "embedding").toArrow()
     if not queries.num_rows:
         return 0, 0
     ids, labels = queries.column("node").to_numpy(), np.array(queries.column("label").to_pylist(), dtype=object)
@@ -257,16 +337,16 @@ def connected(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node, component of every node with a link: the descent, the links it gives, and the audit of their recall."""
     sizes = nodes.sparkSession.createDataFrame([], "u long, k int")
     graph = materialize(lists(_both(projected(nodes, list(range(TABLES))), 1), sizes, threshold), "neighbours")
-    for attempt in range(1, ATTEMPTS + 2):
+    tables = list(range(TABLES))
+    while True:
         graph = refined(graph, nodes, threshold)
         links = graph.filter((F.col("sim") >= threshold) & (F.col("u") < F.col("v"))).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        parts = materialize(connected_components(links), "vector-components")
+        parts = joined_components(links, graph, nodes, tables, threshold)
         found, there = audit_recall(parts, nodes, threshold)
-        if found >= TARGET * there or attempt > ATTEMPTS:
+        if found >= TARGET * there:
             return parts
-        more = projected(nodes, list(range(TABLES * attempt, TABLES * (attempt + 1))))
-        graph = materialize(lists(_both(more, 1).union(_old(graph)), _list_sizes(graph, threshold), threshold), "neighbours")
-    return parts
+        tables = [t + TABLES for t in tables]
+        graph = materialize(lists(_both(projected(nodes, tables), 1).union(_old(graph)), _list_sizes(graph, threshold), threshold), "neighbours")
 
 
 def _both(edges: DataFrame, new: int) -> DataFrame:

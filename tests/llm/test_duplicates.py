@@ -160,6 +160,29 @@ def test_vector_groups_equal_brute_force(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_a_weak_link_between_dense_groups(spark):
+    """Two groups of near copies fill their members' lists with each other; one pair of 0.94 joins the groups."""
+    draw = np.random.default_rng(5)
+    first, second = np.linalg.qr(draw.normal(size=(32, 2)))[0].T
+    near = lambda c: c + draw.normal(size=(200, 32)) * 0.012
+    # u and v lean towards each other; all others are further from the other group
+    angle = np.arccos(0.86)
+    second = first * np.cos(angle) + second * np.sin(angle)
+    u, v = first * 0.8 + second * 0.2, second * 0.8 + first * 0.2
+    x = np.concatenate([near(first), near(second), [u, v]])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= embedding_dedup.THRESHOLD
+    np.fill_diagonal(linked, False)
+    across = linked.copy()
+    side = np.array([0] * 200 + [1] * 200 + [0, 1])
+    across[side[:, None] == side[None, :]] = False
+    assert across[400, 401] and across.sum() == 2
+    table = spark.createDataFrame([(i, "a", e.tolist()) for i, e in enumerate(x)], "vec_id long, label string, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table).collect()}
+    assert {r.component_id for r in got.values()} == {0}
+    assert [got[i].n_links for i in range(len(x))] == linked.sum(axis=1).tolist()
+
+
 def test_recall_is_measured(spark):
     rng = np.random.default_rng(2)
     centre = rng.normal(size=8)
