@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowledger.functions.cron import cron_spec, day_matches, local_time, schedule_key, zone_known, zone_or_utc
+from flowledger.functions.cron import cron_spec, day_matches, local_time, zone_known, zone_or_utc
 from flowledger.functions.text import clean
 from flowledger.operators.calendars import DAY, calendar, minute_number, minute_time, parsed_specs, tasks
 from flowledger.operators.latest import capped_occurrences
-from flowledger.operators.ranking import rank_within
+from flowledger.operators.schedule_keys import resolved_keys  # noqa: F401  (also offered here)
 from flowledger.session import materialize
 
 KEYS = ("job_key", "schedule_key")
@@ -141,66 +140,3 @@ def next_runs(schedules: DataFrame, due: DataFrame, now: Column, max_due: int =
         .withColumn("after", F.when(F.col("n") >= max_due, F.col("last_due")).otherwise(now))
     )
     return next_ticks(known, F.col("after"))
-
-
-def resolved_keys(declared: DataFrame) -> DataFrame:
-    """Schedule keys in declaration order: the explicit key, or the inferred one made unique.
-
-    ``declared`` is (job_key, schedule_key, cron_expr, sort_index, ...). Equal inferred keys become
-    base, base_2, base_3. Only in jobs where some other key equals such a name does the outcome
-    depend on the order across keys; those jobs are walked in order, all others only ranked.
-    """
-    columns = declared.columns
-    rows = declared.withColumns(
-        {"explicit": clean(F.coalesce("schedule_key", F.lit(""))), "base": schedule_key(F.col("cron_expr"))}
-    )
-    inferred = rows.filter("explicit = ''")
-    bases = inferred.select("job_key", "base").distinct()
-
-    # Names that could be taken by someone else: explicit keys as they are or with their number
-    # removed, and inferred bases with their number removed.
-    numbered = r"^(.*)_([0-9]+)$"
-    explicit = rows.filter("explicit <> ''").select("job_key", F.col("explicit").alias("name"))
-    stems = explicit.unionByName(bases.withColumnRenamed("base", "name")).select(
-        "job_key", F.regexp_extract("name", numbered, 1).alias("base")
-    )
-    claimed = stems.unionByName(explicit.withColumnRenamed("name", "base")).filter("base <> ''")
-    clashing = bases.join(claimed, ["job_key", "base"], "left_semi").select("job_key").distinct()
-
-    free = rows.join(clashing, "job_key", "left_anti")
-    ranked = rank_within(
-        free.filter("explicit = ''"), ["job_key", "base"], [F.col("sort_index").asc()], "place"
-    ).withColumn(
-        "schedule_key",
-        F.when(F.col("place") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("place"))),
-    )
-    explicit_rows = free.filter("explicit <> ''").withColumn("schedule_key", F.col("explicit"))
-
-    tangled = (
-        rows.join(clashing, "job_key", "left_semi")
-        .repartition("job_key")
-        .sortWithinPartitions("job_key", "sort_index")
-    )
-    walked = tangled.mapInPandas(_walk_keys, tangled.schema)
-    return ranked.select(*columns).unionByName(explicit_rows.select(*columns)).unionByName(walked.select(*columns))
-
-
-def _walk_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Give out keys row by row; rows arrive by job and declaration order, batch after batch."""
-    job, taken, reached = None, set(), {}
-    for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            if row.job_key != job:
-                job, taken, reached = row.job_key, set(), {}
-            key = row.explicit
-            if not key:
-                number = reached.get(row.base, 1)
-                key = row.base if number == 1 else f"{row.base}_{number}"
-                while key in taken:
-                    number += 1
-                    key = f"{row.base}_{number}"
-                reached[row.base] = number
-            taken.add(key)
-            out.append(key)
-        yield batch.assign(schedule_key=out)

@@ -151,6 +151,49 @@ def test_long_schedule_lists_are_numbered(spark):
     assert [r[0] for r in got.collect()] == ["hourly"] + [f"hourly_{i}" for i in range(2, 501)]
 
 
+def _walked_keys(data):
+    """Keys by the rule itself, row after row; data is (job, explicit key, base, cron, place)."""
+    want, used = [], {}
+    for job, key, base, _, i in sorted(data, key=lambda r: (r[0], r[4])):
+        taken, reached = used.setdefault(job, (set(), {}))
+        if not key:
+            n = reached.get(base, 1)
+            while (key := base if n == 1 else f"{base}_{n}") in taken:
+                n += 1
+            reached[base] = n
+        taken.add(key)
+        want.append((job, i, key))
+    return sorted(want)
+
+
+def _resolved(spark, data):
+    rows = spark.createDataFrame([(job, key, cron, i) for job, key, _, cron, i in data], "job_key string, schedule_key string, cron_expr string, sort_index long")
+    return table(schedules.resolved_keys(rows).select("job_key", "sort_index", "schedule_key"))
+
+
+def test_schedule_keys_of_bases_that_claim_one_anothers_names(spark):
+    rng = random.Random(8)
+    # the key of the second expression reads like the second key of the first, and so on
+    crons = {"1 2 3 4 *": "cron_1_2_3_4", "1 2 3 4 2": "cron_1_2_3_4_2", "1 2 3 4 3": "cron_1_2_3_4_3", "0 * * * *": "hourly"}
+    names = [""] * 8 + ["cron_1_2_3_4", "cron_1_2_3_4_2_2", "cron_1_2_3_4_5", "cron_1_2_3_4_05", "cron_1_2_3_4_1", "hourly_2", "hourly_99999999999999999999"]
+    data = []
+    for j in range(30):
+        for i in range(rng.randrange(1, 40)):
+            cron = rng.choice(list(crons))
+            data.append((f"j{j}", rng.choice(names), crons[cron], cron, i))
+    assert _resolved(spark, data) == _walked_keys(data)
+
+
+def test_a_crowded_job(spark):
+    """100,000 schedules that collide, with explicit keys before, among and after them."""
+    rng = random.Random(4)
+    data = []
+    for i in range(100_000):
+        key = f"hourly_{rng.randrange(2, 150_000)}" if rng.random() < 0.4 else "hourly" if i == 70 else ""
+        data.append(("j", key, "hourly", "0 * * * *", i))
+    assert _resolved(spark, data) == _walked_keys(data)
+
+
 def _values(field, low, high):
     out = set()
     for part in field.split(","):
