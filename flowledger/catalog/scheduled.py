@@ -152,20 +152,22 @@ query(
 
 def _crowded_job(h):
     """One job over all customers with one expression: every other one has an explicit key, 20 numbers ahead of its place."""
+    place = F.col("c_custkey") + 1
     return h.customer.select(
         F.lit("crowded").alias("job_key"),
-        F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("hourly_"), F.col("c_custkey") + 20)).otherwise(F.lit("")).alias("schedule_key"),
+        F.when(place % 2 == 0, F.concat(F.lit("hourly_"), place + 20)).otherwise(F.lit("")).alias("schedule_key"),
         F.lit("0 * * * *").alias("cron_expr"),
-        F.col("c_custkey").alias("sort_index"),
+        place.alias("sort_index"),
     )
 
 
 # The rth row without a key finds every other number from 22 on taken.
 query(
     "E6_resolved_keys_of_a_crowded_job",
-    """with r as (select c_custkey, case when c_custkey % 2 = 1 then (c_custkey + 1) // 2 end as r from @customer)
-       select 'crowded' as job_key, c_custkey as sort_index,
-              case when r is null then 'hourly_' || (c_custkey + 20) when r = 1 then 'hourly'
+    """with p as (select c_custkey + 1 as sort_index from @customer),
+       r as (select sort_index, case when sort_index % 2 = 1 then (sort_index + 1) // 2 end as r from p)
+       select 'crowded' as job_key, sort_index,
+              case when r is null then 'hourly_' || (sort_index + 20) when r = 1 then 'hourly'
                    when r <= 21 then 'hourly_' || r else 'hourly_' || (2 * r - 21) end as schedule_key from r""",
 )(lambda h: schedules.resolved_keys(_crowded_job(h)).select("job_key", "sort_index", "schedule_key"))
 
