@@ -10,7 +10,7 @@ from flowledger.functions.status import exec_status
 from flowledger.functions.times import literal_time
 from flowledger.session import scratch_path
 from flowledger.sources.derived import History
-from flowledger.streaming import fold, ingest, item_status, sinks, ticks
+from flowledger.streaming import fold, ingest, item_status, run_fold, sinks, ticks
 
 EVENTS = StructType(
     [
@@ -221,24 +221,37 @@ query(
        from @queue_item_step_metadata where run_id % 9 <> 0 and run_id % 7 <> 0 group by 1, 2, 3""",
 )(lambda h: _folded(h, fold.latest_metadata(_as_stream(_published(h))), "queue_item_id", "job_id", "step_key"))
 
-query(
-    "K5_run_states",
-    """with m as (select *, case event_type when 'run_started' then 'running'
+_RUN_STATES_SQL = """with m as (select *, case event_type when 'run_started' then 'running'
                          else json_extract_string(event_data_json, '$.status') end as state
                   from @run_events where step_key = '')
        select run_id, coalesce(arg_min(state, id) filter (where event_type = 'run_completed'), arg_max(state, id)) as status,
               min(created_at) filter (where event_type = 'run_started') as started_at,
               arg_min(created_at, id) filter (where event_type = 'run_completed') as completed_at
-       from m group by 1""",
-)(lambda h: _folded(h, fold.run_states(_as_stream(h.run_events)), "run_id"))
-query(
-    "K5_step_states",
-    """select run_id, step_key, arg_max(case event_type when 'step_started' then 'running' when 'step_failed' then 'failed'
+       from m group by 1"""
+query("K5_run_states", _RUN_STATES_SQL)(lambda h: _folded(h, fold.run_states(_as_stream(h.run_events)), "run_id"))
+_STEP_STATES_SQL = """select run_id, step_key, arg_max(case event_type when 'step_started' then 'running' when 'step_failed' then 'failed'
                                          else 'success' end, id) as status,
               min(created_at) filter (where event_type = 'step_started') as started_at,
               max(created_at) filter (where event_type <> 'step_started') as completed_at
-       from @run_events where step_key <> '' group by 1, 2""",
-)(lambda h: _folded(h, fold.step_states(_as_stream(h.run_events)), "run_id", "step_key"))
+       from @run_events where step_key <> '' group by 1, 2"""
+query("K5_step_states", _STEP_STATES_SQL)(lambda h: _folded(h, fold.step_states(_as_stream(h.run_events)), "run_id", "step_key"))
+
+
+def _bounded_fold(h: History) -> DataFrame:
+    """Entries of all events, a third of the days per micro-batch, with the state of runs dropped a day after their end."""
+    path = scratch_path(h.spark, "stream-input")
+    days = h.run_events.agg(F.min("created_at").alias("first"), (F.datediff(F.max("created_at"), F.min("created_at")) + 1).alias("days")).first()
+    part = F.floor(F.datediff("created_at", F.lit(days["first"])) * 3 / F.lit(days["days"] or 1))
+    for nth in range(3):  # file streams take older files first
+        h.run_events.filter(part == nth).coalesce(1).write.mode("append").parquet(path)
+    sink = sinks.BatchSink(scratch_path(h.spark, "run-fold"))
+    source = sinks.table_stream(h.spark, h.run_events.schema, path, files_per_batch=1)
+    run_fold.sync_run_states(source, sink, scratch_path(h.spark, "stream-state")).awaitTermination()
+    return run_fold.read_entries(h.spark, sink)
+
+
+query("K5_run_states_with_bounded_state", _RUN_STATES_SQL)(lambda h: run_fold.run_states(_bounded_fold(h)))
+query("K5_step_states_with_bounded_state", _STEP_STATES_SQL)(lambda h: run_fold.step_states(_bounded_fold(h)))
 
 
 def _tick_arrivals(h: History) -> DataFrame:

@@ -30,6 +30,13 @@ def _state(events: dict[str, str]) -> Column:
     return out
 
 
+def event_state() -> Column:
+    """The state that an event moves its run, or its step, to; null if it moves nothing."""
+    completed = F.get_json_object("event_data_json", "$.status")
+    of_run = F.when(F.col("event_type") == "run_completed", completed).otherwise(_state(RUN_EVENTS))
+    return F.when(F.coalesce("step_key", F.lit("")) == "", of_run).otherwise(_state(STEP_EVENTS))
+
+
 def run_states(events: DataFrame) -> DataFrame:
     """State of every run: its first terminal event decides, before that its latest event."""
     kind = F.col("event_type")
