@@ -38,8 +38,8 @@ _WORD = r"[\p{L}\p{M}]+"
 
 
 def _spaced(text: Column) -> Column:
-    """A unit that is written onto its number becomes a word of its own."""
-    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"(\p{N})(?=\p{L})", "$1 ")
+    """A unit that is written onto its number becomes a word of its own; signs of the text that equal a placeholder part words as any sign does."""
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), rf"(\p{{N}})(?=\p{{L}})|[{NAME}-{UNIT}]", "$1 ")
 
 
 def template(text: Column) -> Column:

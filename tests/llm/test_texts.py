@@ -367,6 +367,16 @@ def test_templates_and_slots(spark):
     assert decontamination.leaks(documents(spark), items.limit(0)).count() == 0
 
 
+def test_signs_of_a_text_that_equal_placeholders(spark):
+    """Such a sign parts words as any sign does; copies before, around and after it are found, with their own values."""
+    items = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    signs = [decontamination.NAME, decontamination.NUMBER, decontamination.UNIT]
+    texts = [(i, f"See {sign} this. {ITEMS[0][1]} {sign}") for i, sign in enumerate(signs)]
+    texts += [(10 + i, ITEMS[0][1].replace("gives", f"{sign}gives{sign}")) for i, sign in enumerate(signs)]
+    got = sorted((r.doc_id, r.coverage, r.kind) for r in decontamination.leaks(documents(spark, texts), items).collect())
+    assert got == [(i, 1.0, "exact") for i in (0, 1, 2, 10, 11, 12)]
+
+
 def test_one_odd_slot_spoils_only_its_windows(spark):
     plain = lambda name, n: " ".join(name + chr(97 + i) for i in range(n))
     item = f"{plain('first', 19)} 5 {plain('second', 19)} 5 {plain('third', 19)}"
