@@ -69,6 +69,7 @@ def matching_schedules(runs: DataFrame, schedules: DataFrame, time: str) -> Data
 
     Distinct expressions become rows per minute of the day and meet runs on (job, zone, local minute of the day),
     so a run meets only what fires at that time of day; the day is then tested once per expression and zone.
+    What fires is spread over all tasks before it becomes a row per schedule: the result grows with runs times schedules.
     """
     wanted = schedules.select("job_key", "schedule_key", _expression().alias("expr"), zone_or_utc(F.col("timezone")).alias("zone"))
     wanted = materialize(wanted, "matched-schedules")
@@ -80,7 +81,8 @@ def matching_schedules(runs: DataFrame, schedules: DataFrame, time: str) -> Data
     local = local_time(F.col(time), F.col("zone"))
     placed = runs.withColumn("zone", F.explode(zones)).withColumn("minute", (F.hour(local) * 60 + F.minute(local)).cast("short"))
     same_time = placed.join(by_minute, ["job_key", "zone", "minute"]).join(specs, "expr")
-    fired = same_time.filter(day_matches(F.col("spec"), F.to_date(local)))
+    fired = same_time.filter(day_matches(F.col("spec"), F.to_date(local))).select(*runs.columns, "expr", "zone")
+    fired = fired.repartition(tasks(schedules.sparkSession), *fired.columns)
     return fired.join(wanted, ["job_key", "expr", "zone"]).select(*runs.columns, "schedule_key")
 
 

@@ -389,3 +389,11 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_root(Session())
+
+
+def test_runs_that_match_schedules_are_spread_over_tasks(spark):
+    runs = spark.createDataFrame([(i, "j", dt.datetime(2024, 1, 1, 0, i % 60)) for i in range(200)], "id long, job_key string, queued_at timestamp").coalesce(1)
+    declared = spark.createDataFrame([("j", f"s{i}", "* * * * *", "UTC") for i in range(5)], "job_key string, schedule_key string, cron_expr string, timezone string")
+    got = schedules.matching_schedules(runs, declared, "queued_at").select("id", "schedule_key", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.id, r.schedule_key) for r in got) == sorted((i, f"s{k}") for i in range(200) for k in range(5))
+    assert len({r.task for r in got}) > 1
