@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from flowledger.functions.params import queue_params, queue_trigger
 from flowledger.functions.text import clean
+from flowledger.operators.calendars import tasks
 from flowledger.operators.joins import fan_out_items
 from flowledger.operators.steps import split_by_partition_key
 from flowledger.operators.store import QueuedRuns, insert_queued_runs, stable_key
-from flowledger.session import materialize
+from flowledger.session import discard, materialize
 from flowledger.streaming.sinks import BatchSink
 
 
@@ -43,6 +44,11 @@ def ingest(arrivals: DataFrame, key: Column, now: Column) -> tuple[DataFrame, Da
     return items, no_key.unionByName(unreadable)
 
 
+def broken_queues(queue_jobs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """queue_id of the queues with a job that has no nodes."""
+    return queue_jobs.join(nodes.select("job_id"), "job_id", "left_anti").select("queue_id").distinct()
+
+
 def fan_out(
     items: DataFrame, item_id: Column, queue_jobs: DataFrame, nodes: DataFrame, now: Column
 ) -> tuple[QueuedRuns, DataFrame, DataFrame]:
@@ -51,11 +57,7 @@ def fan_out(
     An item is taken whole or not at all: where one job of its queue has no nodes, it is rejected.
     Run keys derive from item and job, so a replayed item starts no second run.
     """
-    broken = (
-        queue_jobs.join(nodes.select("job_id"), "job_id", "left_anti")
-        .select("queue_id")
-        .distinct()
-    )
+    broken = broken_queues(queue_jobs, nodes)
     rejected = items.join(broken, "queue_id", "left_semi").withColumn("error", F.lit("job has no nodes"))
     wanted = fan_out_items(items.join(broken, "queue_id", "left_anti"), queue_jobs)
     requests = wanted.select(
@@ -84,16 +86,21 @@ def ingest_batches(
 ) -> Callable[[DataFrame, int], None]:
     """Batch function of the whole ingestion: five tables and the rejects, one commit.
 
-    The nodes of the queues' jobs are written once at the start, so no batch scans the whole node table.
+    The queues' jobs, their nodes and the queues that can't run are written once at the start, so no batch scans the
+    whole tables, and the planner knows that they are small: items never move to meet them. A batch's arrivals are spread
+    over all tasks, however few files they come in, and its items are written before they fan out.
     """
+    queue_jobs = materialize(queue_jobs.select("queue_id", "job_id", "sort_index"), "queue-jobs")
     nodes = materialize(nodes.join(queue_jobs.select("job_id").distinct(), "job_id", "left_semi"), "queue-nodes")
+    unable = materialize(broken_queues(queue_jobs, nodes), "broken-queues")
 
     def on_batch(arrivals: DataFrame, batch_id: int) -> None:
-        arrivals.persist()
+        spread = arrivals.repartition(tasks(arrivals.sparkSession), "queue_key", "source_key").persist()
         try:
-            items, rejected = ingest(arrivals, key, now)
+            items, rejected = ingest(spread, key, now)
+            items = materialize(items, "ingested-items")
             queued, links, broken = fan_out(items, item_id, queue_jobs, nodes, now)
-            kept = items.join(broken.select("queue_item_key"), "queue_item_key", "left_anti")
+            kept = items.join(unable, "queue_id", "left_anti").select(*items.columns)
             sink.write(
                 batch_id,
                 items=kept,
@@ -103,7 +110,8 @@ def ingest_batches(
                 links=links,
                 rejected=rejected.select("source_key", "error").unionByName(broken.select("source_key", "error")),
             )
+            discard(items)
         finally:
-            arrivals.unpersist()
+            spread.unpersist()
 
     return on_batch

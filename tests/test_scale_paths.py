@@ -397,3 +397,19 @@ def test_runs_that_match_schedules_are_spread_over_tasks(spark):
     got = schedules.matching_schedules(runs, declared, "queued_at").select("id", "schedule_key", F.spark_partition_id().alias("task")).collect()
     assert sorted((r.id, r.schedule_key) for r in got) == sorted((i, f"s{k}") for i in range(200) for k in range(5))
     assert len({r.task for r in got}) > 1
+
+
+def test_a_batch_of_one_file_is_ingested_by_many_tasks(spark, tmp_path):
+    arrivals = spark.createDataFrame(
+        [(1 + i % 2, f"q{1 + i % 2}", str(i), f"e{i}", "{}", dt.datetime(2024, 1, 1), f"k{i}") for i in range(300)],
+        "queue_id long, queue_key string, source_key string, external_key string, payload_json string, queued_at timestamp, raw_key string",
+    ).coalesce(1)
+    queue_jobs = spark.createDataFrame([(1, 7, 0), (2, 8, 0)], "queue_id long, job_id long, sort_index long")
+    nodes = spark.createDataFrame([(7, "a", 1), (7, "b", 2)], "job_id long, step_key string, sort_index long")
+    sink = sinks.BatchSink(f"{tmp_path}/out")
+    ingest.ingest_batches(sink, F.col("raw_key"), F.lit(dt.datetime(2024, 1, 1)), F.col("source_key").cast("long"), queue_jobs, nodes)(arrivals, 0)
+    stored = {name: spark.read.parquet(f"{tmp_path}/out/{name}/batch=0") for name in ("items", "runs", "steps", "events", "links", "rejected")}
+    assert {name: rows.count() for name, rows in stored.items()} == {"items": 150, "runs": 150, "steps": 300, "events": 150, "links": 150, "rejected": 150}
+    assert stored["items"].columns[:2] == ["queue_item_key", "queue_id"]
+    for name in ("items", "runs", "steps", "events", "links"):
+        assert stored[name].select(F.input_file_name()).distinct().count() > 1
