@@ -12,9 +12,15 @@ def page_scan(pages: DataFrame) -> DataFrame:
     return pages.select("url", F.col("html").alias("body"), F.lit(200).cast("long").alias("status"))
 
 
-def object_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Objects under a path: (path, modificationTime, length, content). Unread columns are not loaded."""
-    return spark.read.format("binaryFile").load(path)
+def object_scan(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """Objects under a path: (path, modificationTime, length, content). Unread columns are not loaded.
+
+    With a ``name`` pattern the folders below the path are searched too, many of them by tasks rather than one by one.
+    """
+    objects = spark.read.format("binaryFile")
+    if name is not None:
+        objects = objects.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
+    return objects.load(path)
 
 
 def existing(wanted: DataFrame, listing: DataFrame, column: str = "blob_path") -> DataFrame:
