@@ -150,3 +150,15 @@ def test_unigram_model_is_rebuilt():
 
 def test_odd_rows_are_as_many():
     assert len(ODD) == 12
+
+
+def test_parity_is_told_from_whole_texts():
+    """Signs after a word are encoded apart, and were never compared with the library."""
+    own = sentencepiece_codec.Codec(PIECES)
+    texts = ["wordy words, others", "plain words"]
+    assert own.encode_checked(texts)[1] == [True, True]
+    signs = next(w for w in own.known if w.startswith("\0"))
+    own.forget()
+    own.learn({signs})
+    own.known[signs] += own.known[signs]
+    assert own.encode_checked(texts)[1] == [False, True]
