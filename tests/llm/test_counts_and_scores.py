@@ -162,3 +162,16 @@ def test_parity_is_told_from_whole_texts():
     own.learn({signs})
     own.known[signs] += own.known[signs]
     assert own.encode_checked(texts)[1] == [False, True]
+
+
+def test_the_model_learns_from_every_training_text(spark, monkeypatch):
+    rows = [(i, f"text {i}") for i in range(200)] + [(None, "no id")]
+    learnt = []
+
+    def train(texts, classes, weights, path, rounds):
+        learnt.extend(r.text for r in texts.select("text").collect())
+        return weights
+
+    monkeypatch.setattr(lm_scoring, "train", train)
+    lm_scoring.score_texts(documents(spark, rows), PIECES)
+    assert sorted(learnt) == sorted(t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10)
