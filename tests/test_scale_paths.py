@@ -11,6 +11,7 @@ from flowledger.functions import cron, times
 from flowledger.operators import contracts, content, counts, execution, filters, graph, layers, schedules
 from flowledger.operators.ranking import rank_within
 from flowledger.session import scratch_root
+from flowledger.sources import artifacts
 from flowledger.streaming import fold, ingest, sinks
 
 EDGES = "job_id long, from_step_key string, to_step_key string"
@@ -413,3 +414,11 @@ def test_a_batch_of_one_file_is_ingested_by_many_tasks(spark, tmp_path):
     assert stored["items"].columns[:2] == ["queue_item_key", "queue_id"]
     for name in ("items", "runs", "steps", "events", "links"):
         assert stored[name].select(F.input_file_name()).distinct().count() > 1
+
+
+def test_objects_in_folders_below_are_listed_by_name(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"page_id={i}").mkdir()
+        (tmp_path / f"page_id={i}" / "part.txt").write_bytes(b"x" * (i + 1))
+        (tmp_path / f"page_id={i}" / "part.csv").write_bytes(b"y")
+    assert table(artifacts.object_scan(spark, str(tmp_path), "*.txt").select("length")) == [(i + 1,) for i in range(40)]
