@@ -8,6 +8,7 @@ from flowledger.catalog.core import query
 from flowledger.catalog.counted import LIFECYCLE_SQL
 from flowledger.functions.status import exec_status
 from flowledger.functions.times import literal_time
+from flowledger.operators.calendars import tasks
 from flowledger.session import scratch_path
 from flowledger.sources.derived import History
 from flowledger.streaming import fold, ingest, item_status, run_fold, sinks, ticks
@@ -170,11 +171,12 @@ _ITEM_STATUS = StructType(
 
 
 def _in_turn(rows: DataFrame, part: Column, files: int = 3) -> DataFrame:
-    """Rows streamed in as many micro-batches as there are parts, in order of ``part`` (0, 1, ...)."""
-    path = scratch_path(rows.sparkSession, "stream-input")
+    """Rows streamed in about as many micro-batches as there are parts, in order of ``part`` (0, 1, ...); each task writes a file of a part."""
+    spark = rows.sparkSession
+    path, width = scratch_path(spark, "stream-input"), tasks(spark)
     for i in range(files):
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return sinks.table_stream(rows.sparkSession, rows.schema, path, files_per_batch=1)
+        rows.filter(part == i).repartition(width, "run_id").write.mode("append").parquet(path)
+    return sinks.table_stream(spark, rows.schema, path, files_per_batch=width)
 
 
 def _item_status(h: History) -> DataFrame:

@@ -4,147 +4,129 @@
 started_at, completed_at, error_message) with the status normalised; a higher ``change_id`` is a later change. Either may
 come first.
 
-Two stateful operators follow one another. The first is keyed by run: it keeps the run's link and its latest
-change and hands on changes with their item; a change that waits for its link is forgotten after a stated
-time, if one is given. The second is keyed by item: it keeps the latest change of each run as an entry of its own, so an
-item may grow to any number of runs, and a batch reads and writes only the entries that it touches before it rolls
-up the item in one pass over them. State is in RocksDB, which need not fit memory.
+Each batch is joined to what the batches before left: per run its link and its latest change. Runs whose link and change
+are both known, and one of them new, name their items, and only those items are rolled up again, so a run or an item may
+come back in any batch and an item may have any number of runs. A change that waits for its link is forgotten after a
+stated time, if one is given.
+
+The entries of runs lie in the checkpoint folder, a table per batch with the runs that it touched. Every second table
+takes in the one before, every fourth the three before, and so on: n batches leave at most log2(n) + 1 tables to read, and an
+entry is written at most so many times again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime as dt
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from flowledger.streaming.fold import updates_to
+from flowledger.operators.counts import item_lifecycle
+from flowledger.operators.latest import top_per_group
 from flowledger.streaming.sinks import BatchSink, run_stream
 
 TABLE = "item_status"
-STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-LINK = "queue_item_id long, link_id long, linked_at long"
-CHANGE = "change_id long, status string, started_at long, completed_at long, error_message string"
-LINKED = f"{LINK}, run_id long, {CHANGE}"
-STATUS = "queue_item_id long, status string, started_at long, completed_at long, error_message string"
+LINK = "struct<id: bigint, queue_item_id: bigint, linked_at: timestamp>"
+CHANGE = "struct<change_id: bigint, status: string, started_at: timestamp, completed_at: timestamp, error_message: string>"
+ENTRY = f"run_id long, link {LINK}, change {CHANGE}, waits_since timestamp"
 
-#: Rows of the two operators, by the names above.
-LINKED_ROW, STATUS_ROW = (Row(*(field.split()[0] for field in kind.split(", "))) for kind in (LINKED, STATUS))
 
+def _arrivals(changes: DataFrame, links: DataFrame) -> DataFrame:
+    """Links and changes as rows of one stream: (run_id, link, change), one of the two null."""
+    link = F.struct("id", "queue_item_id", F.col("created_at").alias("linked_at")).cast(LINK)
+    change = F.struct("change_id", "status", "started_at", "completed_at", "error_message").cast(CHANGE)
+    link_rows = links.filter("queue_item_id is not null").select("run_id", link.alias("link"), F.lit(None).cast(CHANGE).alias("change"))
+    change_rows = changes.select("run_id", F.lit(None).cast(LINK).alias("link"), change.alias("change"))
+    return link_rows.unionByName(change_rows).withColumn("run_id", F.col("run_id").cast("long")).filter("run_id is not null")
 
-class LinkRuns(StatefulProcessor):
-    """Per run: its changes with its item, as soon as both are known; only the latest change is kept."""
 
-    def __init__(self, wait_ms: int | None = None):
-        self.wait_ms = wait_ms
+def tables_before(batch_id: int) -> list[int]:
+    """Batches whose tables together hold the entries of all batches before ``batch_id``, newest first."""
+    found = []
+    while batch_id:
+        found.append(batch_id - 1)
+        batch_id &= batch_id - 1
+    return found
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.link = handle.getValueState("link", LINK)
-        self.change = handle.getValueState("change", CHANGE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        link, change = self.link.get(), self.change.get()
-        known, moved = link is not None, False
-        for row in rows:
-            if row.queue_item_id is not None:
-                link = (row.queue_item_id, row.link_id, row.linked_at)
-            elif change is None or row.change_id > change[0]:
-                change, moved = (row.change_id, row.status, row.started_at, row.completed_at, row.error_message), True
-        if link is not None and not known:
-            self.link.update(link)
-        if moved:
-            self.change.update(change)
-        if link is not None:
-            for timer in () if known or self.wait_ms is None else list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if change is not None and (moved or not known):
-                yield LINKED_ROW(*link, key[0], *change)
-        elif moved and self.wait_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        """No link came in time: the run is none of an item, and its state goes."""
-        if not self.link.exists():
-            self.change.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-class RollUpItems(StatefulProcessor):
-    """Per item: the status of each batch that brings changes, rolled up over the latest change of each run."""
-
-    def init(self, handle) -> None:
-        self.runs = handle.getMapState("runs", "run_id long", f"link_id long, linked_at long, {CHANGE}")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        latest: dict[int, tuple] = {}
-        for row in rows:
-            if row.run_id not in latest or row.change_id > latest[row.run_id][2]:
-                latest[row.run_id] = (
-                    row.link_id, row.linked_at, row.change_id, row.status, row.started_at, row.completed_at, row.error_message
-                )
-        for run_id, change in latest.items():
-            self.runs.updateValue((run_id,), change)
-        yield self._rolled_up(key[0])
-
-    def _rolled_up(self, item: int) -> Row:
-        all_queued, any_open, all_success = True, False, True
-        first_start, last_end, first_error = None, None, None
-        for link_id, linked_at, _, status, started, completed, error in self.runs.values():
-            all_queued &= status == "queued"
-            any_open |= status in ("queued", "running")
-            all_success &= status == "success"
-            if started is not None and (first_start is None or started < first_start):
-                first_start = started
-            if completed is not None and (last_end is None or completed > last_end):
-                last_end = completed
-            place = (linked_at is not None, linked_at, link_id)  # absent times come first
-            if error and (first_error is None or place < first_error[0]):
-                first_error = (place, error)
-        status = "queued" if all_queued else "running" if any_open else "complete" if all_success else "failed"
-        ended, failed = status in ("complete", "failed"), status != "complete" and first_error
-        return STATUS_ROW(item, status, first_start, last_end if ended else None, first_error[1] if failed else "")
-
-    def close(self) -> None:
-        pass
-
-
-def _micros(name: str) -> Column:
-    return F.unix_micros(F.col(name).cast("timestamp"))
 
+def taken_in(batch_id: int) -> list[int]:
+    """Earlier batches whose tables the table of ``batch_id`` replaces."""
+    return [nth for nth in tables_before(batch_id) if nth >= batch_id & (batch_id + 1)]
 
-def _arrivals(changes: DataFrame, links: DataFrame) -> DataFrame:
-    """Links and changes as rows of one stream; a row is a link if it names an item. Times travel as microseconds."""
-    none = F.lit(None)
-    link_rows = links.select(
-        "run_id", F.col("queue_item_id").cast("long"), F.col("id").cast("long").alias("link_id"), _micros("created_at").alias("linked_at"),
-        none.cast("long").alias("change_id"), none.cast("string").alias("status"), none.cast("long").alias("started_at"),
-        none.cast("long").alias("completed_at"), none.cast("string").alias("error_message"),
-    ).filter("queue_item_id is not null")
-    change_rows = changes.select(
-        "run_id", *[none.cast("long").alias(c) for c in ("queue_item_id", "link_id", "linked_at")], F.col("change_id").cast("long"), "status",
-        _micros("started_at").alias("started_at"), _micros("completed_at").alias("completed_at"), "error_message",
-    )
-    return link_rows.unionByName(change_rows).withColumn("run_id", F.col("run_id").cast("long")).filter("run_id is not null")
 
+class RunEntries:
+    """Link and latest change of every run, as tables by batch; a repeated batch reads what it read the first time."""
 
-def item_statuses(changes: DataFrame, links: DataFrame, wait_ms: int | None = None) -> DataFrame:
-    """queue_item_id, status, started_at, completed_at, error_message: a row per item and batch that touches it."""
-    linked = (
-        _arrivals(changes, links).groupBy("run_id")
-        .transformWithState(LinkRuns(wait_ms), LINKED, "append", "none" if wait_ms is None else "processingTime")
-    )
-    rolled = linked.groupBy("queue_item_id").transformWithState(RollUpItems(), STATUS, "append", "none")
-    times = {c: F.timestamp_micros(F.col(c)) for c in ("started_at", "completed_at")}
-    return rolled.withColumns(times)
+    def __init__(self, folder: str, wait_ms: int | None = None):
+        self.tables = BatchSink(folder)
+        self.wait_ms = wait_ms
+
+    def _read(self, spark: SparkSession, batches: list[int], touched: DataFrame | None, batch_id: int) -> DataFrame:
+        """Entries of the tables of ``batches`` and those ``touched`` by this batch, with the batch; a run may be in several."""
+        parts = [spark.read.schema(ENTRY).parquet(f"{self.tables.folder}/entries/batch={nth}").withColumn("batch", F.lit(nth)) for nth in batches]
+        if touched is not None:
+            parts.append(touched.drop("announced").withColumn("batch", F.lit(batch_id)))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        return top_per_group(rows, ["run_id"], [F.col("batch").desc()], 1).drop("rank", "batch")
+
+    def _not_forgotten(self, rows: DataFrame, now: Column) -> DataFrame:
+        if self.wait_ms is None:
+            return rows
+        waited = F.unix_millis(now) - F.unix_millis("waits_since")
+        return rows.filter(F.col("link").isNotNull() | (waited <= self.wait_ms))
+
+    def update(self, arrivals: DataFrame, batch_id: int) -> DataFrame:
+        """Take in a batch: the entries of all runs of the items that it changes."""
+        spark, before, now = arrivals.sparkSession, tables_before(batch_id), F.lit(dt.datetime.now(dt.timezone.utc))
+        self._drop(spark, batch_id - 1)
+        arrived = arrivals.groupBy("run_id").agg(F.min("link").alias("new_link"), F.max("change").alias("new_change"))
+        if before:
+            known = self._read(spark, before, None, batch_id).join(arrived.select("run_id"), "run_id", "left_semi")
+            known = self._not_forgotten(self._newest(known), now)
+        else:
+            known = spark.createDataFrame([], ENTRY)
+        first = F.col("change").isNull() & F.col("new_change").isNotNull()
+        moved = first | F.coalesce(F.col("new_change.change_id") > F.col("change.change_id"), F.lit(False))
+        change, link = F.when(moved, F.col("new_change")).otherwise(F.col("change")), F.coalesce("link", "new_link")
+        touched = arrived.join(known, "run_id", "left").select(
+            "run_id", link.alias("link"), change.alias("change"),
+            F.when(link.isNull(), F.when(moved, now).otherwise(F.col("waits_since"))).alias("waits_since"),
+            (link.isNotNull() & change.isNotNull() & (moved | F.col("link").isNull())).alias("announced"),
+        )
+        older = taken_in(batch_id)
+        touched = self.tables.put(batch_id, "touched" if older else "entries", touched)
+        if older:
+            merged = self._newest(self._read(spark, older, touched, batch_id))
+            self.tables.put(batch_id, "entries", self._not_forgotten(merged, now))
+        items = touched.filter("announced").select(F.col("link.queue_item_id").alias("queue_item_id")).distinct()
+        linked = self._read(spark, before, touched, batch_id).filter("link is not null and change is not null")
+        named = linked.withColumn("queue_item_id", F.col("link.queue_item_id")).join(items, "queue_item_id", "left_semi")
+        return self._newest(named) if before else named
+
+    def _drop(self, spark: SparkSession, batch_id: int) -> None:
+        """Delete what a finished batch has replaced."""
+        for name, nth in [("touched", batch_id), *[("entries", nth) for nth in taken_in(batch_id)]] if batch_id > 0 else []:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.tables.folder}/{name}/batch={nth}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def item_statuses(entries: RunEntries, sink: BatchSink) -> Callable[[DataFrame, int], None]:
+    """Batch function: queue_item_id, status, started_at, completed_at, error_message of every item that the batch changes."""
+
+    def on_batch(arrivals: DataFrame, batch_id: int) -> None:
+        runs = entries.update(arrivals, batch_id).select(
+            "queue_item_id", "link.id", F.col("link.linked_at").alias("created_at"), F.coalesce("change.status", F.lit("")).alias("run_status"),
+            "change.started_at", "change.completed_at", F.col("change.error_message").alias("run_error_message"),
+        )
+        sink.write(batch_id, **{TABLE: item_lifecycle(runs)})
+
+    return on_batch
 
 
 def sync_item_status(
@@ -157,17 +139,9 @@ def sync_item_status(
 ) -> StreamingQuery:
     """Write the status of every item whose runs or links changed to ``item_status`` of ``sink``.
 
-    ``wait_ms`` needs ``poll_every``: timers by the clock fire in later batches, and a query that drains and ends has none.
+    ``wait_ms`` needs ``poll_every``: a query that drains and ends leaves no time to wait in.
     """
     if wait_ms is not None and not poll_every:
         raise ValueError("wait_ms needs poll_every")
-    conf = changes.sparkSession.conf
-    before = conf.get(STORE_CONF, None)
-    conf.set(STORE_CONF, STORE)  # a query takes the settings that hold when it starts
-    try:
-        return run_stream(item_statuses(changes, links, wait_ms), checkpoint, updates_to(sink, TABLE), poll_every)
-    finally:
-        if before is None:
-            conf.unset(STORE_CONF)
-        else:
-            conf.set(STORE_CONF, before)
+    entries = RunEntries(f"{checkpoint.rstrip('/')}/run-entries", wait_ms)
+    return run_stream(_arrivals(changes, links), checkpoint, item_statuses(entries, sink), poll_every)

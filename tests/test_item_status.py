@@ -100,3 +100,28 @@ def test_no_rows(spark, tmp_path):
     add(spark, tmp_path, "links", LINKS, [])
     item_status.sync_item_status(*streams(spark, tmp_path), sink, f"{tmp_path}/state").awaitTermination()
     assert sink.latest(spark, item_status.TABLE, spark.createDataFrame([], SCHEMA).schema, "queue_item_id").agg(F.count("*")).first()[0] == 0
+
+
+def test_batches_keep_entries_in_few_tables_and_a_repeated_batch_changes_nothing(spark, tmp_path):
+    entries = item_status.RunEntries(f"{tmp_path}/entries")
+    sink = sinks.BatchSink(f"{tmp_path}/out")
+    on_batch = item_status.item_statuses(entries, sink)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    links, changes = histories(seed=6)
+    for nth in range(6):
+        arrivals = item_status._arrivals(spark.createDataFrame(changes[nth::6], CHANGES), spark.createDataFrame(links[nth::6], LINKS))
+        for _ in range(2 if nth in (2, 3) else 1):
+            on_batch(arrivals, nth)
+    done = sink.latest(spark, item_status.TABLE, schema, "queue_item_id")
+    assert {tuple(r) for r in done.collect()} == expected(spark, links, changes)
+    assert {p.name for p in (tmp_path / "entries" / "entries").iterdir()} == {"batch=3", "batch=4", "batch=5"}  # batch 5 holds 4 as well
+    held = [spark.read.parquet(f"{tmp_path}/entries/entries/batch={nth}").select("run_id").collect() for nth in item_status.tables_before(6)]
+    assert len(held) == 2 and {r.run_id for rows in held for r in rows} == {link[2] for link in links} | {999}
+
+
+def test_no_python_is_called_per_run(spark, tmp_path):
+    add(spark, tmp_path, "changes", CHANGES, [])
+    add(spark, tmp_path, "links", LINKS, [])
+    query = item_status.sync_item_status(*streams(spark, tmp_path), sinks.BatchSink(f"{tmp_path}/out"), f"{tmp_path}/state")
+    query.awaitTermination()
+    assert "PySpark" not in query._jsq.explainInternal(True)
