@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from flowledger.operators import execution, graph, layers
+from flowledger.session import materialize
 
 EDGES = "job_id long, from_step_key string, to_step_key string"
 NODES = "job_id long, step_key string"
@@ -87,3 +88,17 @@ def test_reduction_against_a_walk(spark):
     want = {(j, a, b) for j, a, b in edges if not any(b in below(j, m, set()) for m in after[j, a] if m != b)}
     got = layers.reduced_edges(spark.createDataFrame(edges, EDGES)).select("job_id", "from_step_key", "to_step_key").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_rounds_of_pointers_send_no_side_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def stored(rows, label):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return materialize(rows, label)
+
+    monkeypatch.setattr(layers, "materialize", stored)
+    pointers = spark.range(1, 40).selectExpr("1L as job_id", "cast(id as string) as step_key", "cast(id - 1 as string) as up", "false as last")
+    ends = layers.follow(materialize(pointers, "chain"), "job_id")
+    assert {(int(r.step_key), r.up, r.steps, r.open) for r in ends.collect()} == {(i, "0", i, False) for i in range(1, 40)}
+    assert len(plans) > 3 and not any("Broadcast" in plan for plan in plans)
