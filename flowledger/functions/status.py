@@ -10,6 +10,8 @@ from flowledger.functions.text import clean
 # Display order of run and step statuses.
 STATUS_ORDER = ("failed", "canceled", "running", "queued", "pending", "success", "skipped")
 TERMINAL = ("success", "failed", "canceled")
+# Stored spellings and the status that they show as.
+DISPLAYED = {word: word for word in STATUS_ORDER} | {"cancelled": "canceled", "in_progress": "running", "idle": "pending"}
 # Step groups of the run page.
 STEP_GROUPS = ("preparing", "executing", "failed", "succeeded", "not_executed")
 
@@ -24,25 +26,26 @@ def is_terminal(status: Column) -> Column:
     return exec_status(status).isin(*TERMINAL)
 
 
-def _folded(status: Column) -> Column:
-    word = exec_status(F.coalesce(status, F.lit("")))
-    return F.when(word == "in_progress", F.lit("running")).when(word == "idle", F.lit("pending")).otherwise(word)
+def _looked_up(status: Column, words: dict[str, str], default: str) -> Column:
+    """What ``words`` give for the trimmed status in lower case. Each spelling is listed, so a status is cleaned once a row."""
+    table = F.create_map(*[F.lit(text) for pair in words.items() for text in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(clean(F.coalesce(status, F.lit(""))))), F.lit(default))
+
+
+def _by_spelling(words: dict[str, str]) -> dict[str, str]:
+    """``words`` of shown statuses as words of every spelling."""
+    return {spelling: words[shown] for spelling, shown in DISPLAYED.items() if shown in words}
 
 
 def display_status(status: Column) -> Column:
     """Status shown to users; unknown words show as pending."""
-    word = _folded(status)
-    return F.when(word.isin(*STATUS_ORDER), word).otherwise(F.lit("pending"))
+    return _looked_up(status, DISPLAYED, "pending")
 
 
 def timeline_state(status: Column) -> Column:
     """State of a run on the timeline; unknown words count as running."""
-    word = _folded(status)
-    return (
-        F.when(word.isin("failed", "canceled"), F.lit("failed"))
-        .when(word.isin("success", "skipped"), F.lit("succeeded"))
-        .otherwise(F.lit("running"))
-    )
+    ended = {"failed": "failed", "canceled": "failed", "success": "succeeded", "skipped": "succeeded"}
+    return _looked_up(status, _by_spelling(ended), "running")
 
 
 def queue_status(status: Column) -> Column:
@@ -58,25 +61,13 @@ def queue_status(status: Column) -> Column:
 
 
 def step_group(status: Column) -> Column:
-    word = display_status(status)
-    return (
-        F.when(word.isin("failed", "canceled"), F.lit("failed"))
-        .when(word == "running", F.lit("executing"))
-        .when(word.isin("success", "skipped"), F.lit("succeeded"))
-        .when(word == "queued", F.lit("preparing"))
-        .otherwise(F.lit("not_executed"))
-    )
+    groups = {"failed": "failed", "canceled": "failed", "running": "executing", "success": "succeeded", "skipped": "succeeded", "queued": "preparing"}
+    return _looked_up(status, _by_spelling(groups), "not_executed")
 
 
 def step_visual_state(status: Column) -> Column:
-    word = display_status(status)
-    return (
-        F.when(word.isin("failed", "canceled"), F.lit("failed"))
-        .when(word == "running", F.lit("running"))
-        .when(word == "success", F.lit("succeeded"))
-        .when(word == "skipped", F.lit("executed"))
-        .otherwise(F.lit("not-executed"))
-    )
+    states = {"failed": "failed", "canceled": "failed", "running": "running", "success": "succeeded", "skipped": "executed"}
+    return _looked_up(status, _by_spelling(states), "not-executed")
 
 
 def status_rank(status: Column) -> Column:

@@ -394,3 +394,17 @@ def test_job_without_nodes_is_rejected(spark):
     assert rows(made.runs, "run_key", "triggered_by", "params_json", "parent_run_id") == [("r1", "manual", "{}", 0)]
     assert rows(made.steps, "run_key", "step_key", "status") == [("r1", "a", "pending"), ("r1", "b", "pending")]
     assert rows(made.rejected, "run_key", "error") == [("r2", "job has no nodes")]
+
+
+def test_a_status_is_cleaned_once_a_row(spark):
+    words = spark.createDataFrame([(" Failed ",), ("CANCELLED",), ("in_progress",), ("idle",), ("queued",), ("odd",), (None,)], "s string")
+    shown = {
+        "display": (status.display_status, ["failed", "canceled", "running", "pending", "queued", "pending", "pending"]),
+        "timeline": (status.timeline_state, ["failed", "failed", "running", "running", "running", "running", "running"]),
+        "group": (status.step_group, ["failed", "failed", "executing", "not_executed", "preparing", "not_executed", "not_executed"]),
+        "visual": (status.step_visual_state, ["failed", "failed", "running", "not-executed", "not-executed", "not-executed", "not-executed"]),
+    }
+    for fn, wanted in shown.values():
+        one = words.select(fn(F.col("s")).alias("shown"))
+        assert [r.shown for r in one.collect()] == wanted
+        assert one._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 1
