@@ -153,6 +153,7 @@ _VALUE = StructType([StructField("v", LongType())])
 
 
 def _inputs(h):
+    h = h.stored("job_nodes")
     runs = h.job_nodes.select(F.col("job_id").alias("run_id"), "job_id").distinct()
     produced = h.run_steps.filter("status in ('success', 'failed')").withColumn(
         # Failed steps leave what can't be decoded: cut-off text, a wrong type, a fraction, an array. Some others leave null.

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowledger.session import materialize
+
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
 
 # ``add_secs(ts, n)``, ``ts(x)``, ``idiv(a, b)`` and ``steps(1..3)`` are replaced per engine.
@@ -313,6 +315,12 @@ class History:
                 raise AttributeError(name)
         return self._built[name]
 
+    def stored(self, *names: str) -> History:
+        """The same tables, with the named views written once; for queries that read them several times, by other columns each time."""
+        out = History(self.spark, self.folder)
+        out._built = {name: materialize(getattr(self, name), name.replace("_", "-")) for name in names}
+        return out
+
 
 def with_views(sql: str) -> str:
     """Prefix a checking query with the views it names."""

@@ -7,11 +7,12 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
+from flowledger.catalog import content as content_queries
 from flowledger.functions import cron, times
 from flowledger.operators import contracts, content, counts, execution, filters, graph, layers, schedules
 from flowledger.operators.ranking import rank_within
 from flowledger.session import scratch_root
-from flowledger.sources import artifacts
+from flowledger.sources import artifacts, derived
 from flowledger.streaming import fold, ingest, sinks
 
 EDGES = "job_id long, from_step_key string, to_step_key string"
@@ -422,3 +423,18 @@ def test_objects_in_folders_below_are_listed_by_name(spark, tmp_path):
         (tmp_path / f"page_id={i}" / "part.txt").write_bytes(b"x" * (i + 1))
         (tmp_path / f"page_id={i}" / "part.csv").write_bytes(b"y")
     assert table(artifacts.object_scan(spark, str(tmp_path), "*.txt").select("length")) == [(i + 1,) for i in range(40)]
+
+
+def test_stored_views_are_built_once_from_the_input(spark, tmp_path):
+    columns = "l_orderkey bigint, l_linenumber int, l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double, l_shipdate date"
+    lines = [(o, n, "A", "F" if n % 2 else "O", 3.0 * n, 10.5, dt.date(2024, 1, n)) for o in range(5) for n in range(1, 5)]
+    spark.createDataFrame(lines, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plain = derived.History(spark, str(tmp_path))
+    stored = plain.stored("job_nodes")
+    for name in ("job_nodes", "job_edges", "run_steps", "contract_fields"):
+        rows = getattr(stored, name)
+        assert "lineitem" not in rows._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, rows.collect()), key=repr) == sorted(map(tuple, getattr(plain, name).collect()), key=repr)
+    inputs = content_queries._inputs(plain)
+    assert "l_orderkey" not in inputs._jdf.queryExecution().optimizedPlan().toString()
+    assert inputs.count() > 0
