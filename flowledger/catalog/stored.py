@@ -44,7 +44,10 @@ query(
 
 
 def _queued(h):
-    requests = h.queue_items.join(h.queue_jobs, "queue_id").select(
+    """As in ingestion, the queues' jobs and their nodes are written first: known to be small, they go to the items, which don't move to meet them."""
+    queue_jobs = materialize(h.queue_jobs, "queue-jobs")
+    nodes = materialize(h.job_nodes.join(queue_jobs.select("job_id").distinct(), "job_id", "left_semi"), "queue-nodes")
+    requests = h.queue_items.join(queue_jobs, "queue_id").select(
         store.stable_key("run_", F.col("queue_item_key"), F.col("job_id").cast("string")).alias("run_key"),
         "job_id",
         F.concat(F.lit(" queue:"), F.col("queue_id")).alias("triggered_by"),
@@ -55,7 +58,7 @@ def _queued(h):
         F.lit("").alias("error_message"),
         F.create_map(F.lit("queue_item_id"), F.col("id").cast("string")).alias("event_payload"),
     )
-    return store.insert_queued_runs(requests, h.job_nodes, literal_time(NOW))
+    return store.insert_queued_runs(requests, nodes, literal_time(NOW))
 
 
 _REQUESTS_SQL = """

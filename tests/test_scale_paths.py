@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowledger.catalog import content as content_queries
+from flowledger.catalog import stored as stored_queries
 from flowledger.functions import cron, times
 from flowledger.operators import contracts, content, counts, execution, filters, graph, layers, schedules
 from flowledger.operators.ranking import rank_within
@@ -438,3 +439,19 @@ def test_stored_views_are_built_once_from_the_input(spark, tmp_path):
     inputs = content_queries._inputs(plain)
     assert "l_orderkey" not in inputs._jdf.queryExecution().optimizedPlan().toString()
     assert inputs.count() > 0
+
+
+def test_items_do_not_move_to_meet_the_few_jobs_of_queues(spark, tmp_path):
+    kinds = "case id % 5 when 0 then 'click' when 1 then 'error' when 2 then 'purchase' when 3 then 'signup' else 'view' end"
+    spark.range(30_000).selectExpr(
+        "id as event_id", "timestamp_ntz '2024-01-01 00:00:00' as ts", "xxhash64(id) as user_id", f"{kinds} as event_type", "0D as value", "concat('{\"k\": ', id, '}') as props"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(30_000).selectExpr("id div 3 as l_orderkey", "cast(id % 3 as int) as l_linenumber", "'A' as l_returnflag", "'F' as l_linestatus", "1D as l_quantity", "rand() as l_extendedprice", "date '2024-01-01' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 << 10))
+    try:
+        events = stored_queries._queued(derived.History(spark, str(tmp_path))).events
+        assert "SortMergeJoin" not in events._jdf.queryExecution().executedPlan().toString()
+        assert events.count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
