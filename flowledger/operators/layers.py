@@ -26,12 +26,12 @@ def follow(pointers: DataFrame, key: str) -> DataFrame:
     ``pointers`` is (key, step_key, up, last), one row per step; ``up`` ends at a step without a pointer of its own, ``steps``
     pointers away, and ``last`` is that of the last row on the way. ``open`` rows lie on a cycle or point into
     one. Store ``pointers`` first. Stored keys take far less than they do in memory, and both sides of a round are alike, so
-    they meet by a merge: no round sends a side through the driver.
+    they meet by a merge: no round sends a side through the driver. The nth round ends the rows that are 2^n to 2^(n+1) - 1 steps from
+    their end, and a row further off has one of these on its way: once a round ends none, all that is open hangs on a cycle.
     """
     now = pointers.select(key, "step_key", "up", "last", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("open"))
-    for nth in range(math.ceil(math.log2(now.count() + 1)) + 1):
-        if nth and now.filter("open").isEmpty():
-            break
+    left = now.count()
+    for nth in range(math.ceil(math.log2(left + 1)) + 1):
         ahead = now.select(key, F.col("step_key").alias("up"), *[F.col(c).alias(f"_{c}") for c in ("up", "last", "steps", "open")])
         moved = now.filter("open").join(ahead.hint("merge"), [key, "up"], "left").select(
             key, "step_key", F.coalesce("_up", "up").alias("up"), F.when(F.col("_up").isNull(), F.col("last")).otherwise(F.col("_last")).alias("last"),
@@ -40,7 +40,10 @@ def follow(pointers: DataFrame, key: str) -> DataFrame:
         then = materialize(now.filter("not open").unionByName(moved) if nth else moved, "pointers")
         if nth:
             discard(now)
-        now = then
+        now, before = then, left
+        left = now.filter("open").count()
+        if left in (0, before):
+            break
     return now
 
 

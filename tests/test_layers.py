@@ -102,3 +102,16 @@ def test_rounds_of_pointers_send_no_side_through_the_driver(spark, monkeypatch):
     ends = layers.follow(materialize(pointers, "chain"), "job_id")
     assert {(int(r.step_key), r.up, r.steps, r.open) for r in ends.collect()} == {(i, "0", i, False) for i in range(1, 40)}
     assert len(plans) > 3 and not any("Broadcast" in plan for plan in plans)
+
+
+def test_cycles_cost_no_more_rounds_than_the_chains_beside_them(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(layers, "materialize", lambda df, label: rounds.append(label) or materialize(df, label))
+    ring = [(1, f"r{i:04d}", f"r{(i + 1) % 2000:04d}") for i in range(2000)]
+    chain = [(2, f"c{i}", f"c{i + 1}") for i in range(20)] + [(1, "t0", "r0000"), (2, "x", "x")]
+    pointers = spark.createDataFrame([(*row, row[1] == "c19") for row in ring + chain], "job_id long, step_key string, up string, last boolean")
+    ends = layers.follow(materialize(pointers, "rings"), "job_id")
+    got = {(r.step_key, r.up, r.steps, r.last) for r in ends.filter("not open").collect()}
+    assert got == {(f"c{i}", "c20", 20 - i, True) for i in range(20)}
+    assert ends.filter("open").count() == 2002
+    assert len(rounds) == 6  # one that ends none after chains of 20 to 31 steps; by the rows alone it would be 12
