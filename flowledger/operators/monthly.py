@@ -2,8 +2,8 @@
 
 A run lies in the month in which it completed, ``open`` before that, and what hangs on a run lies in the run's month.
 Removing rows finds the months that hold them, rewrites those by a dynamic partition overwrite, and drops the ones
-that are empty then; files of all other months stay as they are. Kept rows are stored before they replace a month, so a
-lost executor repeats work on either side only, and a purge that broke off can be repeated as a whole.
+that are empty then; files of all other months stay as they are. The overwrite stages all kept rows before it replaces the first
+month, so a lost executor repeats its tasks from files that are still there, and a purge that broke off can be repeated as a whole.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from flowledger.functions.times import retention_cutoff
 from flowledger.operators.filters import purgeable
 from flowledger.operators.joins import without_links
-from flowledger.session import discard, materialize
+from flowledger.session import materialize
 
 OPEN = "open"  # sorts after all months
 
@@ -47,14 +47,15 @@ class MonthlyTable:
         listed = ids.select(F.col(ids.columns[0]).alias(column))
         rows = self.read(spark) if last is None else self.read(spark).filter(F.col("month") <= last)
         # Months of a history are few, whatever its rows.
-        months = [r.month for r in rows.join(listed, column, "left_semi").select("month").distinct().collect()]
-        if not months:
+        gone = {r.month: r["count"] for r in rows.join(listed, column, "left_semi").groupBy("month").count().collect()}
+        if not gone:
             return
-        kept = materialize(self.read(spark, months).join(listed, column, "left_anti").select(*self.schema.names), "kept-months")
-        left = {r.month for r in kept.select("month").distinct().collect()}
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(self.path)
-        discard(kept)
-        for month in set(months) - left:
+        every = {r.month: r["count"] for r in self.read(spark, list(gone)).groupBy("month").count().collect()}
+        left = [month for month, n in gone.items() if n < every[month]]
+        if left:
+            kept = self.read(spark, left).join(listed, column, "left_anti").select(*self.schema.names)
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(self.path)
+        for month in set(gone) - set(left):
             folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/month={month}")
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

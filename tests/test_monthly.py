@@ -69,3 +69,14 @@ def test_months_that_are_empty_go(spark, tmp_path):
     assert not os.path.exists(tmp_path / "t" / "month=2024-01")
     table.remove(spark.createDataFrame([], "id long"), "id")
     assert table.read(spark).count() == 2
+
+
+def test_kept_rows_are_written_once(spark, tmp_path, monkeypatch):
+    stored = []
+    monkeypatch.setattr(monthly, "materialize", lambda df, label: stored.append(label), raising=False)
+    table = monthly.MonthlyTable(str(tmp_path / "t"), spark.createDataFrame([], "id long, note string, month string").schema)
+    table.append(spark.createDataFrame([(i, f"n{i}", f"2024-0{1 + i % 3}") for i in range(30)], "id long, note string, month string"))
+    table.remove(spark.createDataFrame([(i,) for i in (0, 0, 3, 1, None) + tuple(range(2, 30, 3))], "id long"), "id", "2024-03")
+    assert not stored
+    assert {tuple(r) for r in table.read(spark).collect()} == {(i, f"n{i}", f"2024-0{1 + i % 3}") for i in range(30) if i % 3 != 2 and i not in (0, 1, 3)}
+    assert sorted(f for f in os.listdir(tmp_path / "t") if not f.startswith(("_", "."))) == ["month=2024-01", "month=2024-02"]
