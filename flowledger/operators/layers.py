@@ -57,12 +57,16 @@ def graph_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Depth is the longest path from a root. ``stuck`` steps lie on or behind a cycle; only the free steps before
     them count for their depth. Edges from or to unknown steps, and repeated edges, don't count.
     """
-    spark = nodes.sparkSession
     keys = materialize(nodes.select(*NODE).distinct(), "graph-nodes")
     known = edges.select("job_id", "from_step_key", "to_step_key").distinct()
     for end in ("from_step_key", "to_step_key"):
         known = known.join(keys.withColumnRenamed("step_key", end), ["job_id", end], "left_semi")
-    known = materialize(known, "graph-edges")
+    return _layers(keys, materialize(known, "graph-edges"))
+
+
+def _layers(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """:func:`graph_layers` of stored, distinct steps and edges between them."""
+    spark = keys.sparkSession
     needs = known.groupBy("job_id", F.col("to_step_key").alias("step_key")).agg(
         F.count(F.lit(1)).alias("need"), F.min("from_step_key").alias("one")
     )
@@ -77,7 +81,7 @@ def graph_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "job_id", F.coalesce("up", "from_step_key").alias("from_step_key"), "to_step_key", "need", (F.coalesce("steps", F.lit(0)) + 1).alias("length")
     )
     free_path = scratch_path(spark, "graph-free")
-    schema = f"job_id {nodes.schema['job_id'].dataType.simpleString()}, step_key string, depth long"
+    schema = f"job_id {keys.schema['job_id'].dataType.simpleString()}, step_key string, depth long"
     _append(steps.filter("need = 0").select(*NODE, F.lit(0).cast("long").alias("depth")), free_path)
     arcs = materialize(arcs, "graph-arcs")
     front, partial = spark.read.schema(schema).parquet(free_path), None
@@ -164,8 +168,10 @@ def ancestor_bits(edges: DataFrame, layers: DataFrame) -> tuple[DataFrame, DataF
 def reduced_edges(edges: DataFrame) -> DataFrame:
     """Edges that no longer path makes redundant; edges into steps on or behind a cycle all stay."""
     distinct = materialize(edges.select("job_id", "from_step_key", "to_step_key").distinct(), "graph-edges")
+    # Both ends of an edge without nulls are among the steps, so none has to be looked for.
+    known = distinct.filter("job_id is not null and from_step_key is not null and to_step_key is not null")
     ends = distinct.select("job_id", F.explode(F.array("from_step_key", "to_step_key")).alias("step_key")).distinct()
-    layers = materialize(graph_layers(ends, distinct), "graph-layers")
+    layers = materialize(_layers(materialize(ends, "graph-nodes"), known), "graph-layers")
     bits, links = ancestor_bits(distinct, layers)
     behind = bits.filter("behind <> 0").select("job_id", F.col("step_key").alias("to_step_key"), "word", "behind")
     redundant = links.join(behind, ["job_id", "to_step_key", "word"]).filter(F.col("behind").bitwiseAND(F.col("bit")) != 0)

@@ -115,3 +115,12 @@ def test_cycles_cost_no_more_rounds_than_the_chains_beside_them(spark, monkeypat
     assert got == {(f"c{i}", "c20", 20 - i, True) for i in range(20)}
     assert ends.filter("open").count() == 2002
     assert len(rounds) == 6  # one that ends none after chains of 20 to 31 steps; by the rows alone it would be 12
+
+
+def test_reduction_takes_its_edges_as_known(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(layers, "materialize", lambda df, label: labels.append(label) or materialize(df, label))
+    edges = [(1, "a", "b"), (1, "b", "c"), (1, "a", "c"), (1, "a", "b"), (1, None, "c"), (1, "d", None), (None, "a", "b"), (2, "x", "x")]
+    got = layers.reduced_edges(spark.createDataFrame(edges, EDGES)).select("job_id", "from_step_key", "to_step_key").collect()
+    assert {tuple(r) for r in got} == set(edges) - {(1, "a", "c")} and len(got) == 6
+    assert labels.count("graph-edges") == 1
