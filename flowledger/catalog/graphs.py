@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from flowledger.catalog.core import query
 from flowledger.functions.times import literal_time
 from flowledger.operators import counts, execution, graph, layers
+from flowledger.session import materialize
 
 
 def _jobs(h):
@@ -146,6 +147,14 @@ query(
        from @job_nodes a left join i on i.job_id = a.job_id and i.k = a.step_key
        left join o on o.job_id = a.job_id and o.k = a.step_key""",
 )(lambda h: graph.degrees(h.job_nodes, h.job_edges))
+
+
+def _edge_spans(h):
+    """Edges are worked out once and stored: they give the depths and then meet them."""
+    edges = materialize(h.job_edges, "job-edges")
+    return graph.edge_spans(edges, layers.graph_layers(h.job_nodes, edges))
+
+
 query(
     "I12_edge_spans",
     f"""with recursive {_DEPTH_SQL}
@@ -153,7 +162,7 @@ query(
                b.depth - a.depth >= 2 as long_span, a.depth >= b.depth as back_edge
         from @job_edges e join depths a on a.job_id = e.job_id and a.step_key = e.from_step_key
         join depths b on b.job_id = e.job_id and b.step_key = e.to_step_key""",
-)(lambda h: graph.edge_spans(h.job_edges, layers.graph_layers(h.job_nodes, h.job_edges)))
+)(_edge_spans)
 query(
     "I13_neighbourhood",
     """select job_id, step_key, step_key as related from @job_nodes

@@ -1,9 +1,11 @@
 """Depths, cycles, skips and reductions by joins agree with plain walks over the graphs."""
 
 import random
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
+from flowledger.catalog import graphs as graph_queries
 from flowledger.operators import execution, graph, layers
 from flowledger.session import materialize
 
@@ -124,3 +126,13 @@ def test_reduction_takes_its_edges_as_known(spark, monkeypatch):
     got = layers.reduced_edges(spark.createDataFrame(edges, EDGES)).select("job_id", "from_step_key", "to_step_key").collect()
     assert {tuple(r) for r in got} == set(edges) - {(1, "a", "c")} and len(got) == 6
     assert labels.count("graph-edges") == 1
+
+
+def test_spans_read_the_stored_edges(spark, tmp_path):
+    path = str(tmp_path / "edges")
+    spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "a", "c"), (1, "a", "gone")], EDGES).write.parquet(path)
+    nodes = spark.createDataFrame([(1, k) for k in "abc"], NODES)
+    spans = graph_queries._edge_spans(SimpleNamespace(job_nodes=nodes, job_edges=spark.read.parquet(path)))
+    assert not any(path in file for file in spans.inputFiles())
+    got = {(r.from_step_key, r.to_step_key, r.from_depth, r.to_depth, r.long_span, r.back_edge) for r in spans.collect()}
+    assert got == {("a", "b", 0, 1, False, False), ("b", "c", 1, 2, False, False), ("a", "c", 0, 2, True, False)}
