@@ -47,7 +47,7 @@ def graph_errors(jobs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
             "job_id", F.lit(problem).alias("problem"), subject.alias("subject"), detail.cast("string").alias("detail")
         )
 
-    counted = nodes.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(nodes.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n")), "counted-steps")  # read four times
     known = counted.select("job_id", F.col("step_key").alias("from_step_key"))
     unknown = edges.join(known, ["job_id", "from_step_key"], "left_anti")
     empty = jobs.select("job_id").join(counted.select("job_id"), "job_id", "left_anti")

@@ -136,3 +136,15 @@ def test_spans_read_the_stored_edges(spark, tmp_path):
     assert not any(path in file for file in spans.inputFiles())
     got = {(r.from_step_key, r.to_step_key, r.from_depth, r.to_depth, r.long_span, r.back_edge) for r in spans.collect()}
     assert got == {("a", "b", 0, 1, False, False), ("b", "c", 1, 2, False, False), ("a", "c", 0, 2, True, False)}
+
+
+def test_errors_count_the_steps_once(spark, tmp_path):
+    path = str(tmp_path / "nodes")
+    spark.createDataFrame([(1, "a"), (1, "a"), (1, ""), (None, "a"), (2, None)], NODES).write.parquet(path)
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "z", "a"), (None, "a", "b")], EDGES)
+    errors = graph.graph_errors(spark.createDataFrame([(1,), (2,), (3,), (None,)], "job_id long"), spark.read.parquet(path), edges)
+    assert not any(path in file for file in errors.inputFiles())
+    assert sorted(map(tuple, errors.collect()), key=repr) == sorted([
+        (1, "empty step key", "", "1"), (1, "duplicate step", "a", "2"), (1, "unknown dependency", "a", "z"),
+        (None, "unknown dependency", "b", "a"), (3, "no steps", "", ""), (None, "no steps", "", ""),
+    ], key=repr)
