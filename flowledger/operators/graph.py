@@ -155,9 +155,9 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """In and out degree of every step, and whether it is a root or a sink."""
     links = known_edges(nodes, edges)
-    ends = links.select("job_id", F.col("to_step_key").alias("step_key"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(
-        links.select("job_id", F.col("from_step_key").alias("step_key"), F.lit(0).alias("i"), F.lit(1).alias("o"))
-    )
+    # Both ends come from one pass over the links, so no task joins them twice.
+    sides = [F.struct(F.col(end).alias("step_key"), F.lit(i).alias("i"), F.lit(1 - i).alias("o")) for end, i in (("to_step_key", 1), ("from_step_key", 0))]
+    ends = links.select("job_id", F.inline(F.array(*sides)))
     every = nodes.select(*NODE).distinct().withColumns({"i": F.lit(0), "o": F.lit(0)}).unionByName(ends)
     counted = every.groupBy(*NODE).agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
     return counted.withColumns({"is_root": F.col("in_degree") == 0, "is_sink": F.col("out_degree") == 0})

@@ -148,3 +148,14 @@ def test_errors_count_the_steps_once(spark, tmp_path):
         (1, "empty step key", "", "1"), (1, "duplicate step", "a", "2"), (1, "unknown dependency", "a", "z"),
         (None, "unknown dependency", "b", "a"), (3, "no steps", "", ""), (None, "no steps", "", ""),
     ], key=repr)
+
+
+def test_degrees_join_the_edges_once(spark):
+    nodes = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, None), (None, "a"), (2, "x")], NODES)
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "a", "b"), (1, "z", "a"), (1, None, "b"), (None, "a", "b"), (2, "x", "x")], EDGES)
+    degrees = graph.degrees(nodes, edges)
+    assert degrees._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+    assert sorted(map(tuple, degrees.collect()), key=repr) == sorted([
+        (1, "a", 0, 1, True, False), (1, "b", 1, 0, False, True), (1, None, 0, 0, True, True),
+        (None, "a", 0, 0, True, True), (2, "x", 1, 1, False, False),
+    ], key=repr)
