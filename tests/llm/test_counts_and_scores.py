@@ -175,3 +175,23 @@ def test_the_model_learns_from_every_training_text(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "train", train)
     lm_scoring.score_texts(documents(spark, rows), PIECES)
     assert sorted(learnt) == sorted(t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10)
+
+
+def test_codec_takes_many_words_as_one_input():
+    """Distinct words meet the backend in few inputs, also those that hold what stands between words or begin with a NUL."""
+    import sentencepiece
+
+    library, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepiece_codec.Codec(PIECES)
+    inputs, plain = [], own.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, batch, **options):
+            inputs.extend(batch)
+            return plain.encode_batch_fast(batch, **options)
+
+    own.tokenizer = Counted()
+    odd = sentencepiece_codec.BETWEEN
+    texts = [" ".join(f"w{i}x{i * 7}." for i in range(3000)), f"a{odd}b {odd} {odd}{odd}c", "a \0b \0 c", "\0a b", "", odd]
+    ids, same = own.encode_checked(texts)
+    assert [i.tolist() for i in ids] == library.encode(texts) and all(same)
+    assert len(inputs) <= 3010 / sentencepiece_codec.TOGETHER + 1
