@@ -195,3 +195,59 @@ def test_codec_takes_many_words_as_one_input():
     ids, same = own.encode_checked(texts)
     assert [i.tolist() for i in ids] == library.encode(texts) and all(same)
     assert len(inputs) <= 3010 / sentencepiece_codec.TOGETHER + 1
+
+
+def id_net(seed=6):
+    """A model in double precision over a small vocabulary, some of whose classes hold several ids."""
+    pieces = [(f"{'▁' * (i % 2)}p{i}", 0.0, 1) for i in range(120)]
+    classes = lm_scoring.Classes(pieces, np.random.default_rng(seed).integers(0, 50, 120).astype(float))
+    size = lm_scoring.Net.size(classes.size) + lm_scoring.IdNet.own_size(classes)
+    return lm_scoring.IdNet(np.random.default_rng(seed).normal(0, 0.3, size), classes), classes
+
+
+def test_probabilities_of_ids_add_up():
+    model, classes = id_net()
+    z = np.repeat(np.random.default_rng(7).normal(0, 1, (5, lm_scoring.WIDTH)), 121, axis=0)
+    for shift in (False, True):
+        assert np.allclose(np.exp(model.chosen(z, np.tile(np.arange(121), 5), shift)).reshape(5, 121).sum(axis=1), 1)
+
+
+def test_scores_of_ids_are_those_of_classes_and_shares_where_ids_have_no_weights():
+    model, classes = id_net()
+    model.enter[:], model.leave[:], model.lean[:] = 0, 0, classes.share_of_place
+    texts = [np.random.default_rng(8).integers(0, 120, n) for n in (0, 1, 16, 17, 60)]
+    of_classes = lm_scoring.log_scores(lm_scoring.Net(model.flat[: lm_scoring.Net.size(classes.size)], classes.size), [classes.of[t] for t in texts], classes.end)
+    got = lm_scoring.log_scores(model, [classes.place[t] for t in texts], classes.end_place)
+    assert np.allclose(got, of_classes + [classes.log_share[t].sum() for t in texts])
+
+
+def test_gradient_of_ids_by_differences(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CELLS", 6)
+    model, classes = id_net()
+    x, y, scored, _ = lm_scoring.windows([np.random.default_rng(9).integers(0, 120, n) for n in (0, 5, 40)], classes.end_place)
+
+    def loss(flat):
+        other = lm_scoring.IdNet(flat, classes)
+        return -other.chosen(other.attend(x)[-1][scored], y[scored]).sum() / scored.sum()
+
+    gradient = model.gradient(x, y, scored)
+    assert np.count_nonzero(gradient[lm_scoring.Net.size(classes.size) :])
+    for i in np.random.default_rng(10).integers(0, len(model.flat), 200):
+        up, down = model.flat.copy(), model.flat.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        assert abs((loss(up) - loss(down)) / 2e-5 - gradient[i]) < 1e-6
+
+
+def test_ids_of_one_class_are_told_apart_by_what_is_before_them(spark):
+    """Words that are equally frequent share a class; which of them follows is learnt."""
+    pieces = sentencepiece_codec.parse_model(open(PIECES, "rb").read()).pieces
+    found = [p[1:] for p, _, kind in pieces if kind == 1 and p[0] == "▁" and p[1:].isascii() and p[1:].isalpha() and p[1:].islower() and len(p) > 4]
+    single = [w for w in found[:2000] if len(lm_scoring.encoder(PIECES).ids([[w]])[0]) == 1][:64]
+    pairs = list(zip(single[:32], single[32:], strict=True))
+    kept = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 10][:2000]
+    rows = [(i, " ".join(" ".join(pairs[j]) for j in np.random.default_rng(i).integers(0, 32, 128))) for i in kept]
+    held = [i for i in range(100_000, 110_000) if zlib.crc32(str(i).encode()) % 10 == 0][:64]
+    rows += [(held[2 * i + wrong], " ".join(w for j in range(6) for w in (pairs[(i + 5 * j) % 32][0], pairs[(i + 5 * j) % 32 ^ wrong][1]))) for i in range(32) for wrong in (0, 1)]
+    score = {r.doc_id: r.score for r in lm_scoring.score_texts(documents(spark, rows).coalesce(1), PIECES).collect()}
+    assert all(score[held[2 * i]] > score[held[2 * i + 1]] + 10 for i in range(32))
