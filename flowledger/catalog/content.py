@@ -19,8 +19,8 @@ def _pages(h):
 
 query("A4_page_scan", "select url, html as body, cast(200 as bigint) as status from @pages")(_pages)
 query("A5_object_scan")(
-    lambda h: artifacts.object_scan(h.spark, h.folder).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("digest")
+    lambda h: artifacts.object_digests(artifacts.object_scan(h.spark, h.folder), artifacts.whole_bytes(h.spark, h.folder)).select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), "length", "digest"
     )
 )
 

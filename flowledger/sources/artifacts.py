@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
@@ -23,6 +28,43 @@ def object_scan(spark: SparkSession, path: str, name: str | None = None) -> Data
     return objects.load(path)
 
 
+#: Bytes of the largest object whose content a scan gives as a whole; where tasks can't open objects themselves, what a cell can hold.
+WHOLE, CELL = 64 << 20, (1 << 31) - (1 << 20)
+#: Bytes of a larger object that a task holds at a time.
+CHUNK = 8 << 20
+
+
+def whole_bytes(spark: SparkSession, path: str) -> int:
+    """Up to which length objects under the path are read by Spark, whole. Folders that all tasks share they can also open themselves."""
+    store = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return WHOLE if store.getUri().getScheme() == "file" else CELL
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow.fs import FileSystem
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            scheme, _, rest = row["path"].partition(":")
+            store, at = FileSystem.from_uri(f"{scheme}:{'//' if scheme == 'file' else ''}{quote(rest)}")
+            digest = hashlib.sha256()
+            with store.open_input_stream(at, compression=None) as stream:
+                while chunk := stream.read(CHUNK):
+                    digest.update(chunk)
+            yield pa.RecordBatch.from_pylist([row | {"digest": digest.hexdigest()}])
+
+
+def object_digests(objects: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """(path, length, digest) of scanned objects of any size: the SHA-256 of the content, in hexadecimal.
+
+    Content of up to ``whole`` bytes comes from the scan. A larger object is read by one task in chunks, so neither a task's
+    memory nor the two GB of a cell limit its size.
+    """
+    small = objects.filter(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("digest"))
+    large = objects.filter(F.col("length") > whole).select("path", "length")
+    return small.unionByName(large.mapInArrow(_digests, "path string, length long, digest string"))
+
+
 def existing(wanted: DataFrame, listing: DataFrame, column: str = "blob_path") -> DataFrame:
     """Wanted paths that are in the listing."""
     return wanted.join(listing.select(column), column, "left_semi")

@@ -1,12 +1,14 @@
 """The paths taken for hot groups, deep graphs and repeated batches agree with plain answers."""
 
 import datetime as dt
+import hashlib
 import random
 from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
 
+from flowledger.catalog import QUERIES
 from flowledger.catalog import content as content_queries
 from flowledger.catalog import stored as stored_queries
 from flowledger.functions import cron, times
@@ -426,6 +428,22 @@ def test_objects_in_folders_below_are_listed_by_name(spark, tmp_path):
     assert table(artifacts.object_scan(spark, str(tmp_path), "*.txt").select("length")) == [(i + 1,) for i in range(40)]
 
 
+def test_objects_of_any_size_have_a_digest(spark, tmp_path):
+    """One is larger than a cell can be; the others are on both sides of what is read as a whole."""
+    with open(tmp_path / "large 1%2B#.bin", "wb") as file:
+        file.truncate((1 << 31) + 5)
+    (tmp_path / "a.gz").write_bytes(b"\x1f\x8b not packed" * 9)
+    zeros = hashlib.sha256()
+    for _ in range(1 << 8):
+        zeros.update(bytes(1 << 23))
+    zeros.update(bytes(5))
+    want = [("a.gz", 117, hashlib.sha256(b"\x1f\x8b not packed" * 9).hexdigest()), ("large 1%2B#.bin", (1 << 31) + 5, zeros.hexdigest())]
+    assert table(QUERIES["A5_object_scan"](spark, str(tmp_path))) == want
+    for whole in (0, 116, 117):
+        digests = artifacts.object_digests(artifacts.object_scan(spark, str(tmp_path)), whole)
+        assert table(digests.select(F.element_at(F.split("path", "/"), -1), "length", "digest")) == want
+
+
 def test_stored_views_are_built_once_from_the_input(spark, tmp_path):
     columns = "l_orderkey bigint, l_linenumber int, l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double, l_shipdate date"
     lines = [(o, n, "A", "F" if n % 2 else "O", 3.0 * n, 10.5, dt.date(2024, 1, n)) for o in range(5) for n in range(1, 5)]
