@@ -68,7 +68,8 @@ def matching_schedules(runs: DataFrame, schedules: DataFrame, time: str) -> Data
     """(run columns, schedule_key): the schedules of a run's job that fire in the minute of the run's ``time``.
 
     Distinct expressions become rows per minute of the day and meet runs on (job, zone, local minute of the day),
-    so a run meets only what fires at that time of day; the day is then tested once per expression and zone.
+    so a run meets only what fires at that time of day; the day is then tested once per expression and zone. These rows are
+    written first: known to be small, they go to the runs, which don't move, zone by zone, to meet them.
     What fires is spread over all tasks before it becomes a row per schedule: the result grows with runs times schedules.
     """
     wanted = schedules.select("job_key", "schedule_key", _expression().alias("expr"), zone_or_utc(F.col("timezone")).alias("zone"))
@@ -76,6 +77,7 @@ def matching_schedules(runs: DataFrame, schedules: DataFrame, time: str) -> Data
     specs = materialize(parsed_specs(wanted), "matched-specs")
     minutes = F.flatten(F.transform("spec.hour", lambda h: F.transform(F.col("spec.minute"), lambda m: (h * 60 + m).cast("short"))))
     by_minute = wanted.select("job_key", "expr", "zone").distinct().join(specs, "expr").select("job_key", "expr", "zone", F.explode(minutes).alias("minute"))
+    by_minute = materialize(by_minute, "matched-minutes")
     # The time zone database has some hundred names, so the list of those in use is bounded.
     zones = wanted.agg(F.collect_set("zone").alias("zones")).scalar()
     local = local_time(F.col(time), F.col("zone"))

@@ -404,6 +404,21 @@ def test_runs_that_match_schedules_are_spread_over_tasks(spark):
     assert len({r.task for r in got}) > 1
 
 
+def test_runs_do_not_move_to_meet_few_jobs_and_schedules(spark, tmp_path):
+    spark.range(30_000).selectExpr(
+        "id as o_orderkey", "id % 7 as o_custkey", "concat(id % 5 + 1, '-P') as o_orderpriority", "rand() as o_totalprice", "date '2024-01-01' as o_orderdate"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(40).selectExpr("id as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(64 << 10))
+    try:
+        matches = QUERIES["J2_cron_matches_runs"](spark, str(tmp_path))
+        plan = matches._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_a_batch_of_one_file_is_ingested_by_many_tasks(spark, tmp_path):
     arrivals = spark.createDataFrame(
         [(1 + i % 2, f"q{1 + i % 2}", str(i), f"e{i}", "{}", dt.datetime(2024, 1, 1), f"k{i}") for i in range(300)],
