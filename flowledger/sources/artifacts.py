@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from itertools import groupby
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
@@ -34,19 +37,27 @@ WHOLE, CELL = 64 << 20, (1 << 31) - (1 << 20)
 CHUNK = 8 << 20
 
 
-def whole_bytes(spark: SparkSession, path: str) -> int:
-    """Up to which length objects under the path are read by Spark, whole. Folders that all tasks share they can also open themselves."""
+def shared_folder(spark: SparkSession, path: str) -> bool:
+    """Whether the path is in a folder that all tasks share, where they can also open objects themselves."""
     store = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    return WHOLE if store.getUri().getScheme() == "file" else CELL
+    return store.getUri().getScheme() == "file"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyarrow.fs import FileSystem
+def whole_bytes(spark: SparkSession, path: str) -> int:
+    """Up to which length objects under the path are read by Spark, whole."""
+    return WHOLE if shared_folder(spark, path) else CELL
+
+
+def _store(path: str) -> tuple[FileSystem, str]:
+    """The store of an object and the path in it."""
+    scheme, _, rest = path.partition(":")
+    return FileSystem.from_uri(f"{scheme}:{'//' if scheme == 'file' else ''}{quote(rest)}")
+
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            scheme, _, rest = row["path"].partition(":")
-            store, at = FileSystem.from_uri(f"{scheme}:{'//' if scheme == 'file' else ''}{quote(rest)}")
+            store, at = _store(row["path"])
             digest = hashlib.sha256()
             with store.open_input_stream(at, compression=None) as stream:
                 while chunk := stream.read(CHUNK):
@@ -54,6 +65,35 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([row | {"digest": digest.hexdigest()}])
 
 
+def write_objects(bodies: DataFrame, path: str) -> None:
+    """Write the texts of (folder, value), each ended by a line feed, as one object per folder; rows of a folder are in one partition.
+
+    For a shared folder. Tasks write the objects themselves: Spark's writer starts several processes for each, to set permissions
+    of it and of its checksum. An object gets its name when it is whole, so a repeated task does no harm.
+    """
+    spark = bodies.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    shared = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    shared.mkdirs(folder)  # there is a folder even without objects
+    root = shared.makeQualified(folder).toString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _store(root)
+        rows = (row for batch in batches for row in zip(batch.column("folder").to_pylist(), batch.column("value").to_pylist(), strict=True))
+        n = 0
+        for folder, values in groupby(rows, lambda row: row[0]):
+            store.create_dir(f"{top}/{folder}")
+            begun = f"{top}/{folder}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(begun, compression=None) as stream:
+                for _, value in values:
+                    stream.write((value or "").encode() + b"\n")
+            store.move(begun, f"{top}/{folder}/part.txt")
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    bodies.select("folder", "value").sortWithinPartitions("folder").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def object_digests(objects: DataFrame, whole: int = WHOLE) -> DataFrame:
     """(path, length, digest) of scanned objects of any size: the SHA-256 of the content, in hexadecimal.
 

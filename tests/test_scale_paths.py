@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import random
+from pathlib import Path
 from zoneinfo import ZoneInfo
 
 import pytest
@@ -443,6 +444,20 @@ def test_objects_in_folders_below_are_listed_by_name(spark, tmp_path):
     assert table(artifacts.object_scan(spark, str(tmp_path), "*.txt").select("length")) == [(i + 1,) for i in range(40)]
 
 
+def test_pages_are_written_as_one_file_each(spark, tmp_path):
+    """Beside its file Spark's writer puts a checksum, and starts a process for the permissions of each."""
+    pages = [(3, "three"), (1, "é"), (None, "no id"), (3, "again"), (2, None), (4, "")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    history = derived.History(spark, str(tmp_path))
+    path = Path(content_queries._page_files(history).removeprefix("file:"))
+    bodies = {file.parent.name: sorted(file.read_text().split("\n")) for file in path.rglob("*") if file.is_file()}
+    assert bodies == {"page_id=1": ["", "é"], "page_id=2": ["", ""], "page_id=3": ["", "again", "three"], "page_id=4": ["", ""], "page_id=__HIVE_DEFAULT_PARTITION__": ["", "no id"]}
+    assert all(len(list(folder.iterdir())) == 1 for folder in path.iterdir())
+    assert table(QUERIES["A5_listed_objects"](spark, str(tmp_path))) == [("", 6), ("1", 3), ("2", 1), ("3", 12), ("4", 1)]
+    spark.createDataFrame([], "page_id long, html string").write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert table(QUERIES["A5_listed_objects"](spark, f"{tmp_path}/none")) == []
+
+
 def test_objects_of_any_size_have_a_digest(spark, tmp_path):
     """One is larger than a cell can be; the others are on both sides of what is read as a whole."""
     with open(tmp_path / "large 1%2B#.bin", "wb") as file:
